@@ -22,5 +22,5 @@ def register(name: str, sql: str | None = None):
 
 def load_all():
     # importing the suites fills the registry
-    from . import graph_suite  # noqa: F401
+    from . import graph_suite, profile_suite, quality_suite  # noqa: F401
     return QUERIES, ORACLE
