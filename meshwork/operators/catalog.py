@@ -136,21 +136,21 @@ def recommendations(products: DataFrame, columns: DataFrame,
             ", ").alias("popular"))
     p = products.crossJoin(total).crossJoin(popular)
     score = F.col("quality_score")
+    def rule(cond, name, message):
+        return F.when(cond, F.struct(F.lit(name).alias("rule"), message.alias("message")))
+
     arms = F.array(
-        F.when(score.isNotNull() & (score < LOW_SCORE), F.struct(
-            F.lit("low_score").alias("rule"),
-            F.format_string("Quality score is %s/100 — investigate data issues",
-                            F.format_string("%.1f", F.round(score, 1))).alias("message"))),
-        F.when(score.isNotNull() & F.col("quality_grade").isin("D", "F"), F.struct(
-            F.lit("low_grade"), F.lit("Quality grade is below acceptable threshold — "
-                                      "data contract review needed"))),
-        F.when(F.col("contract_compliant") == F.lit(False), F.struct(
-            F.lit("contract"), F.lit("Data contract violations detected — review contract compliance"))),
-        F.when(F.col("owner").isin("unknown", "auto-detected"), F.struct(
-            F.lit("owner"), F.lit("No owner assigned — assign a domain owner for accountability"))),
-        F.when((F.col("total_queries") > BUSY_QUERIES) & (F.col("popular") != ""), F.struct(
-            F.lit("usage"), F.format_string("Most queried columns: %s — consider pre-aggregation",
-                                            "popular"))))
+        rule(score.isNotNull() & (score < LOW_SCORE), "low_score",
+             F.format_string("Quality score is %s/100 — investigate data issues",
+                             F.format_string("%.1f", F.round(score, 1)))),
+        rule(score.isNotNull() & F.col("quality_grade").isin("D", "F"), "low_grade",
+             F.lit("Quality grade is below acceptable threshold — data contract review needed")),
+        rule(F.col("contract_compliant") == F.lit(False), "contract",
+             F.lit("Data contract violations detected — review contract compliance")),
+        rule(F.col("owner").isin("unknown", "auto-detected"), "owner",
+             F.lit("No owner assigned — assign a domain owner for accountability")),
+        rule((F.col("total_queries") > BUSY_QUERIES) & (F.col("popular") != ""), "usage",
+             F.format_string("Most queried columns: %s — consider pre-aggregation", "popular")))
     rules = (p.select("product", F.explode(F.filter(arms, lambda x: x.isNotNull())).alias("r"))
              .select("product", "r.rule", "r.message"))
     return rules.unionByName(nulls)

@@ -45,11 +45,13 @@ def lineage_graphs(runs: DataFrame, catalog_products: DataFrame | None = None):
                  F.lit(TRANSFORM_LABEL).alias("label"),
                  F.create_map(F.lit("cypher"), F.substring(
                      F.coalesce("query_text", F.lit("")), 1, QUERY_TEXT_CHARS)).alias("metadata")),
-        F.struct(t2, F.lit("transform"), F.lit(ANALYSIS_LABEL),
-                 F.create_map(F.lit("agent"), F.lit("analyst_agent"))),
-        F.struct(sk, F.lit("sink"), F.lit(SINK_LABEL),
+        F.struct(t2.alias("node_id"), F.lit("transform").alias("node_type"),
+                 F.lit(ANALYSIS_LABEL).alias("label"),
+                 F.create_map(F.lit("agent"), F.lit("analyst_agent")).alias("metadata")),
+        F.struct(sk.alias("node_id"), F.lit("sink").alias("node_type"),
+                 F.lit(SINK_LABEL).alias("label"),
                  F.create_map(F.lit("rows"), F.coalesce(F.col("row_count"), F.lit(0))
-                              .cast("string"))))
+                              .cast("string")).alias("metadata")))
     other = r.select("trace_id", F.inline(arms))
     nodes = src_nodes.unionByName(other)
     read = src_nodes.select("trace_id", F.col("node_id").alias("from_node"),
@@ -57,7 +59,8 @@ def lineage_graphs(runs: DataFrame, catalog_products: DataFrame | None = None):
                             F.lit("read").alias("operation"))
     rest = r.select("trace_id", F.inline(F.array(
         F.struct(t1.alias("from_node"), t2.alias("to_node"), F.lit("analyze").alias("operation")),
-        F.struct(t2, sk, F.lit("certify")))))
+        F.struct(t2.alias("from_node"), sk.alias("to_node"),
+                 F.lit("certify").alias("operation")))))
     return nodes, read.unionByName(rest)
 
 

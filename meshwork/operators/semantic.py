@@ -69,11 +69,15 @@ def phrases(texts: DataFrame, id_col: str = "query_id",
             text_col: str = "text", max_len: int = 3) -> DataFrame:
     """Whitespace words of the lower-cased text and every phrase of 1 to
     ``max_len`` consecutive words: (id, pos, len, phrase). Whole texts."""
+    # the word array is materialised as a column first: referring to the
+    # split expression inside the lambda would re-split the text per word
     words = F.filter(F.split(F.lower(F.col(text_col)), f"{WS}+"), lambda w: w != "")
-    tri = F.transform(words, lambda w, i: F.struct(
+    staged = texts.select(F.col(id_col).alias("_id"), words.alias("_w"))
+    ws = F.col("_w")
+    tri = F.transform(ws, lambda w, i: F.struct(
         i.alias("pos"), w.alias("w1"),
-        *[F.element_at(words, i + j + 1).alias(f"w{j + 1}") for j in range(1, max_len)]))
-    rows = texts.select(F.col(id_col).alias("_id"), F.inline(tri))
+        *[F.try_element_at(ws, i + j + 1).alias(f"w{j + 1}") for j in range(1, max_len)]))
+    rows = staged.select("_id", F.inline(tri))
     arms = []
     for n in range(1, max_len + 1):
         parts = [F.col(f"w{j}") for j in range(1, n + 1)]

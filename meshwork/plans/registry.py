@@ -23,5 +23,6 @@ def register(name: str, sql: str | None = None):
 def load_all():
     # importing the suites fills the registry
     from . import graph_suite, profile_suite, quality_suite  # noqa: F401
-    from . import governance_suite  # noqa: F401
+    from . import governance_suite, semantic_suite, catalog_suite  # noqa: F401
+    from . import lineage_suite  # noqa: F401
     return QUERIES, ORACLE
