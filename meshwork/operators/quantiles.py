@@ -1,32 +1,38 @@
-"""Exact quantiles with linear interpolation, without one-task groups.
+"""Exact quantiles with linear interpolation, without unbounded groups.
 
 ``percentile`` over a whole column merges every distinct value into one
-aggregation buffer, which does not scale. Here the work is:
-
-1. ``vc``: distinct values with multiplicity per column (one shuffle, with
-   map-side combine, so a value held by a third of all rows costs one row per
-   map task).
-2. Columns with at most ``small_rows`` values: running sum of multiplicities
-   in a window per column. The window group has at most ``small_rows``
-   distinct values.
-3. Larger columns: a ``percentile_approx`` sketch (bounded memory, rank
-   error at most ``n / accuracy``) gives a value band ``[p - d, p + d]`` that
-   is guaranteed to hold the wanted ranks; rows below the band are counted
-   exactly, and only the band (about ``2 d n`` distinct values) is ranked in a
-   window. With ``d = 8 / accuracy`` the band has at least 7 ranks of margin
-   once a column exceeds ``small_rows = accuracy`` values.
-
-The interpolation is ``lo + (hi - lo) * frac`` with ``h = (n - 1) * p``, the
-definition shared by pandas ('linear'), Spark ``percentile`` and DuckDB
+aggregation buffer, which does not scale. Here each (column, probability)
+keeps a value band known to contain the wanted ranks, plus the exact number
+of values below the band:
+
+1. Start with the whole column as the band.
+2. While a band holds more than ``small`` values, narrow it: one pass
+   computes a ``percentile_approx`` sketch of the band (memory bounded by
+   ``accuracy``, rank error at most ``band / accuracy``) at the target rank
+   plus and minus a margin; a second pass counts exactly the values below
+   and inside the new band. Each round shrinks the band about
+   ``accuracy / 16`` times, so even 10**12 values need only two rounds.
+3. The final band's distinct values (at most ``small``; a value held by a
+   third of all rows is one row after map-side combine) are ranked in a
+   window and the two neighbouring ranks are interpolated.
+
+The bookkeeping between rounds is a handful of numbers per column and is
+read on the driver; the data itself never leaves the executors.
+
+Interpolation: ``h = (n - 1) * p``, value ``lo + (hi - lo) * (h - floor(h))``,
+the definition of pandas ('linear'), Spark ``percentile`` and DuckDB
 ``quantile_cont``.
 """
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DEFAULT_ACCURACY = 1_000_000
+DEFAULT_SMALL = 200_000
+DEFAULT_ACCURACY = 10_000
 
 
 def numeric_long(df: DataFrame, columns) -> DataFrame:
@@ -39,82 +45,103 @@ def numeric_long(df: DataFrame, columns) -> DataFrame:
     return df.select(F.inline(F.array(*arms))).where(F.col("v").isNotNull())
 
 
-def exact_quantiles(df: DataFrame, columns, probs,
-                    small_rows: int | None = None,
-                    accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+def _in_band(lo, hi):
+    v = F.col("v")
+    cond = F.lit(True)
+    if lo is not None:
+        cond = cond & (v >= F.lit(lo))
+    if hi is not None:
+        cond = cond & (v <= F.lit(hi))
+    return cond
+
+
+def exact_quantiles(df: DataFrame, columns, probs, small: int = DEFAULT_SMALL,
+                    accuracy: int = DEFAULT_ACCURACY, **_ignored) -> DataFrame:
     """Return ``(column_name, p, value)`` for every column and probability.
 
     Columns without values give no row.
     """
     spark = df.sparkSession
-    small_rows = accuracy if small_rows is None else small_rows
+    columns = list(columns)
     probs = [float(p) for p in probs]
+    schema = "column_name string, p double, value double"
+    if not columns or not probs:
+        return spark.createDataFrame([], schema)
     long = numeric_long(df, columns)
-    vc = long.groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
-    totals = vc.groupBy("column_name").agg(F.sum("n").alias("total"))
-    pdf = spark.createDataFrame([(p,) for p in probs], "p double")
-    h = (F.col("total") - 1) * F.col("p")
-    targets = (totals.crossJoin(F.broadcast(pdf))
-               .withColumn("h", h)
-               .withColumn("lo_rank", F.floor("h"))
-               .withColumn("hi_rank", F.least(F.floor("h") + 1, F.col("total") - 1))
-               .withColumn("frac", F.col("h") - F.floor("h")))
-
-    # -- small columns: running counts over all distinct values ---------------
-    small = targets.where(F.col("total") <= small_rows)
-    w = Window.partitionBy("column_name").orderBy("v").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    small_vc = (vc.join(F.broadcast(small.select("column_name").distinct()),
-                        "column_name", "left_semi")
-                .withColumn("cum", F.sum("n").over(w)))
-    small_pick = _pick(small_vc.withColumn("start", F.col("cum") - F.col("n")),
-                       small, with_p=False)
-
-    # -- large columns: sketch band, exact count below it, rank the band ------
-    d = 8.0 / accuracy
-    qs = []
-    for p in probs:
-        qs += [max(p - d, 0.0), min(p + d, 1.0)]
-    large = targets.where(F.col("total") > small_rows)
-    sketch = (long.join(F.broadcast(large.select("column_name").distinct()),
-                        "column_name", "left_semi")
-              .groupBy("column_name")
-              .agg(F.percentile_approx("v", qs, accuracy).alias("qv")))
-    idx = spark.createDataFrame([(p, i) for i, p in enumerate(probs)],
-                                "p double, i int")
-    bands = (sketch.crossJoin(F.broadcast(idx))
-             .select("column_name", "p",
-                     F.element_at("qv", F.col("i") * 2 + 1).alias("b_lo"),
-                     F.element_at("qv", F.col("i") * 2 + 2).alias("b_hi")))
-    bands = bands.join(large, ["column_name", "p"])
-    tagged = vc.join(F.broadcast(bands), "column_name")
-    below = (tagged.groupBy("column_name", "p")
-             .agg(F.sum(F.when(F.col("v") < F.col("b_lo"), F.col("n"))
-                        .otherwise(0)).alias("below")))
-    band_vals = tagged.where((F.col("v") >= F.col("b_lo"))
-                             & (F.col("v") <= F.col("b_hi")))
-    wb = Window.partitionBy("column_name", "p").orderBy("v").rowsBetween(
+    def nonmissing(c):
+        x = F.col(f"`{c}`").cast("double")
+        return F.count(F.when(~F.isnan(x), x))
+    counts = df.agg(*[nonmissing(c).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    state = {}
+    for i, c in enumerate(columns):
+        n = counts[f"c{i}"]
+        if not n:
+            continue
+        for p in probs:
+            h = (n - 1) * p
+            lo_rank = math.floor(h)
+            state[(c, p)] = dict(n=n, h=h, lo_rank=lo_rank,
+                                 hi_rank=min(lo_rank + 1, n - 1),
+                                 b_lo=None, b_hi=None, below=0, inside=n)
+    margin = 8.0 / accuracy
+    while True:
+        wide = {k: s for k, s in state.items() if s["inside"] > small}
+        if not wide:
+            break
+        keys = list(wide)
+        sk = []
+        for j, (c, p) in enumerate(keys):
+            s = wide[(c, p)]
+            q_lo = max((s["lo_rank"] - s["below"]) / s["inside"] - margin, 0.0)
+            q_hi = min((s["hi_rank"] - s["below"] + 1) / s["inside"] + margin, 1.0)
+            x = F.when((F.col("column_name") == c) & _in_band(s["b_lo"], s["b_hi"]),
+                       F.col("v"))
+            sk.append(F.percentile_approx(x, [q_lo, q_hi], accuracy).alias(f"s{j}"))
+        bands = long.agg(*sk).first()
+        cnt = []
+        for j, (c, p) in enumerate(keys):
+            lo, hi = bands[f"s{j}"]
+            wide[(c, p)]["new"] = (lo, hi)
+            own = F.col("column_name") == c
+            cnt += [F.count_if(own & (F.col("v") < F.lit(lo))).alias(f"b{j}"),
+                    F.count_if(own & _in_band(lo, hi)).alias(f"i{j}")]
+        got = long.agg(*cnt).first()
+        progressed = False
+        for j, key in enumerate(keys):
+            s = state[key]
+            lo, hi = s.pop("new")
+            below, inside = got[f"b{j}"], got[f"i{j}"]
+            # keep the new band only if it still holds both wanted ranks
+            if below <= s["lo_rank"] and below + inside > s["hi_rank"] and inside < s["inside"]:
+                s.update(b_lo=lo, b_hi=hi, below=below, inside=inside)
+                progressed = True
+            else:
+                s["inside"] = min(s["inside"], small)  # stop refining this one
+        if not progressed:
+            break
+    # final pass: rank the distinct values inside every band
+    rows = [(c, p, s["below"], s["lo_rank"], s["hi_rank"], s["h"] - math.floor(s["h"]),
+             s["b_lo"], s["b_hi"]) for (c, p), s in state.items()]
+    targets = spark.createDataFrame(
+        rows, "column_name string, p double, below long, lo_rank long, hi_rank long, "
+              "frac double, b_lo double, b_hi double")
+    v = F.col("v")
+    band = (long.join(F.broadcast(targets), "column_name")
+            .where((F.col("b_lo").isNull() | (v >= F.col("b_lo")))
+                   & (F.col("b_hi").isNull() | (v <= F.col("b_hi"))))
+            .groupBy("column_name", "p", "v")
+            .agg(F.count(F.lit(1)).alias("n")))
+    w = Window.partitionBy("column_name", "p").orderBy("v").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    band_ranked = (band_vals.join(below, ["column_name", "p"])
-                   .withColumn("cum", F.col("below") + F.sum("n").over(wb))
-                   .withColumn("start", F.col("cum") - F.col("n"))
-                   .select("column_name", "p", "v", "n", "cum", "start"))
-    large_pick = _pick(band_ranked, large, with_p=True)
-    return small_pick.unionByName(large_pick)
-
-
-def _pick(ranked: DataFrame, targets: DataFrame, with_p: bool) -> DataFrame:
-    """Join ranked distinct values to the target ranks and interpolate."""
-    keys = ["column_name", "p"] if with_p else ["column_name"]
-    t = targets.select("column_name", "p", "lo_rank", "hi_rank", "frac")
-    r = ranked.select(*keys, "v", "start", "cum")
-    j = r.join(F.broadcast(t), keys)
+    ranked = (band.join(F.broadcast(targets.select("column_name", "p", "below", "lo_rank",
+                                                   "hi_rank", "frac")), ["column_name", "p"])
+              .withColumn("cum", F.col("below") + F.sum("n").over(w))
+              .withColumn("start", F.col("cum") - F.col("n")))
     hit_lo = (F.col("lo_rank") >= F.col("start")) & (F.col("lo_rank") < F.col("cum"))
     hit_hi = (F.col("hi_rank") >= F.col("start")) & (F.col("hi_rank") < F.col("cum"))
-    picked = (j.where(hit_lo | hit_hi)
-              .groupBy("column_name", "p")
-              .agg(F.max(F.when(hit_lo, F.col("v"))).alias("lo_v"),
-                   F.max(F.when(hit_hi, F.col("v"))).alias("hi_v"),
+    picked = (ranked.where(hit_lo | hit_hi).groupBy("column_name", "p")
+              .agg(F.max(F.when(hit_lo, v)).alias("lo_v"),
+                   F.max(F.when(hit_hi, v)).alias("hi_v"),
                    F.max("frac").alias("frac")))
     value = F.when(F.col("frac") == 0, F.col("lo_v")).otherwise(
         F.col("lo_v") + (F.col("hi_v") - F.col("lo_v")) * F.col("frac"))
