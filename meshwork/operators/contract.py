@@ -101,8 +101,7 @@ def infer_contract(product: str, df: DataFrame,
                     "allowed_values",
                     F.format_string("Auto-detected: %s, %d unique values",
                                     "data_type", "distinct_count")
-                    .alias("description"),
-                    "ordinal"))
+                    .alias("description")))
 
 
 def _pct1(x):
@@ -127,14 +126,14 @@ def contract_violations(product: str, df: DataFrame, contract_columns: DataFrame
                        F.concat(F.lit("Missing column: "), "column_name")
                        .alias("message")))
     present = cc.join(facts, "column_name")
-    null_pct = F.col("null_count") / F.col("row_count") * 100
+    null_pct = F.try_divide(F.col("null_count"), F.col("row_count")) * 100
     nulls = (present.where(~F.col("nullable") & (F.col("null_count") > 0))
              .select(F.lit(product).alias("product"), "column_name",
                      F.lit("nullable").alias("check"),
                      F.format_string("%s: has %s%% nulls but nullable=False",
                                      "column_name", _pct1(null_pct))
                      .alias("message")))
-    dup_pct = (F.col("row_count") - F.col("groups")) / F.col("row_count") * 100
+    dup_pct = F.try_divide(F.col("row_count") - F.col("groups"), F.col("row_count")) * 100
     dups = (present.where(F.col("unique") & (F.col("groups") < F.col("row_count")))
             .select(F.lit(product).alias("product"), "column_name",
                     F.lit("unique").alias("check"),

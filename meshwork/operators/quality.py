@@ -81,7 +81,7 @@ def column_completeness(product: str, df: DataFrame,
                         facts: DataFrame | None = None) -> DataFrame:
     """Per column 100 - null %, and an issue above 5 % / 20 % nulls."""
     stats = P.column_facts(df) if facts is None else facts
-    pct = F.col("null_count") / F.col("row_count") * 100
+    pct = F.try_divide(F.col("null_count"), F.col("row_count")) * 100
     issue = (F.when(pct > NULL_CRITICAL_PCT,
                     _fmt("CRITICAL: Column '%s' has %s%% nulls", "column_name",
                          _fmt("%.1f", _r(pct, 1))))
@@ -111,13 +111,14 @@ def completeness_dimension(product: str, df: DataFrame,
 # -- uniqueness (D3, D4) -------------------------------------------------------
 
 def _hash_ready(df: DataFrame):
-    """Columns as hashable expressions; -0.0 and NaN normalised like grouping."""
+    """Columns as hashable expressions: NaN is missing (as in pandas) and
+    -0.0 equals 0.0; maps become sorted entry arrays."""
     out = []
     for f in df.schema.fields:
         c = P.q(f.name)
         t = f.dataType
         if isinstance(t, (T.FloatType, T.DoubleType)):
-            c = F.when(F.isnan(c), F.lit(float("nan")).cast(t)) \
+            c = F.when(F.isnan(c), F.lit(None).cast(t)) \
                 .when(c == 0, F.lit(0.0).cast(t)).otherwise(c)
         elif isinstance(t, T.MapType):
             c = F.array_sort(F.map_entries(c))
@@ -149,7 +150,8 @@ def duplicate_rows(product: str, df: DataFrame, exact: bool = False) -> DataFram
     ``exact=True`` groups by the full rows instead of the row key.
     """
     if exact:
-        groups = df.groupBy(*[P.q(c) for c in df.columns]).agg(
+        keys = [c.alias(f"_c{i}") for i, c in enumerate(_hash_ready(df))]
+        groups = df.select(*keys).groupBy(*[f"_c{i}" for i in range(len(keys))]).agg(
             F.count(F.lit(1)).alias("n"))
     else:
         groups = df.select(*row_key(df)).groupBy("_h1", "_h2", "_nm").agg(
@@ -277,7 +279,7 @@ def mixed_type_columns(product: str, df: DataFrame) -> DataFrame:
                      F.col(f"k{i}").alias("numeric_count"),
                      F.col(f"t{i}").alias("non_null")) for i, c in enumerate(texts)]
     long = wide.select(F.inline(F.array(*arms)))
-    pct = F.col("numeric_count") / F.col("non_null") * 100
+    pct = F.try_divide(F.col("numeric_count"), F.col("non_null")) * 100
     flagged = (F.col("numeric_count") > 0) & \
         (F.col("numeric_count") < F.col("non_null") * MIXED_TYPE_SHARE)
     return long.select(
@@ -323,7 +325,7 @@ def outlier_columns(product: str, df: DataFrame, **quantile_kw) -> DataFrame:
     arms = [F.struct(F.lit(c).alias("column_name"), F.col(f"o{i}").alias("outliers"))
             for i, c in enumerate(nums)]
     long = counted.select("__rows", F.inline(F.array(*arms))).join(quart, "column_name")
-    pct = F.col("outliers") / F.col("__rows") * 100
+    pct = F.try_divide(F.col("outliers"), F.col("__rows")) * 100
     return long.select(
         F.lit(product).alias("product"), "column_name", "q1", "q3",
         F.col("outliers").cast("bigint").alias("outliers"),
@@ -441,8 +443,8 @@ def column_quality(product: str, df: DataFrame,
     else:
         base = base.withColumn("in_list", F.lit(None).cast("bigint"))
     validity = F.when(F.col("in_list").isNull(), F.lit(100.0)).otherwise(
-        _r((F.col("in_list") + F.col("null_count")) / rows * 100, 2))
-    completeness = _r((1 - F.col("null_count") / rows) * 100, 2)
+        _r(F.try_divide(F.col("in_list") + F.col("null_count"), rows) * 100, 2))
+    completeness = _r((1 - F.try_divide(F.col("null_count"), rows)) * 100, 2)
     uniqueness = _r(F.col("distinct_count") / F.greatest(rows, F.lit(1)) * 100, 2)
     out = base.select(
         F.lit(product).alias("product"), "column_name", "ordinal",

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DEFAULT_SMALL = 200_000
+DEFAULT_SMALL = 1_000_000
 DEFAULT_ACCURACY = 10_000
 
 

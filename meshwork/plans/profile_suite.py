@@ -178,37 +178,39 @@ def infer_contract(spark, sf):
 
 def orders_contract(spark, sf, product):
     """The contract inferred on clean ``orders``, applied to ``product``."""
-    cc = C.infer_contract("orders", table(spark, sf, "orders"))
-    return cc.withColumn("product", F.lit(product))
-
-
-_VIOL_SQL = """
-with v as (
-  select 'orders_nulls' as product, 'o_orderstatus' as column_name, 'nullable' as "check",
-         'o_orderstatus: has ' || printf('%.1f', round(count(*) filter (where o_orderstatus is null) / count(*) * 100, 1))
-         || '% nulls but nullable=False' as message,
-         count(*) filter (where o_orderstatus is null) > 0 as hit
-  from orders_nulls
-  union all
-  select 'orders_nulls', 'o_totalprice', 'nullable',
-         'o_totalprice: has ' || printf('%.1f', round(count(*) filter (where o_totalprice is null) / count(*) * 100, 1))
-         || '% nulls but nullable=False',
-         count(*) filter (where o_totalprice is null) > 0
-  from orders_nulls
-  union all
-  select 'orders_dups', 'o_orderkey', 'unique',
-         'o_orderkey: has ' || printf('%.1f', round((count(*) - count(distinct o_orderkey)) / count(*) * 100, 1))
-         || '% duplicates but unique=True',
-         count(distinct o_orderkey) < count(*)
-  from orders_dups
-  union all
-  select 'orders_badvals', 'o_orderstatus', 'allowed',
-         'o_orderstatus: invalid values [' || string_agg(distinct o_orderstatus, ', ' order by o_orderstatus)
-         || '] (allowed: [F, O, P])', count(*) > 0
-  from orders_badvals where o_orderstatus not in ('F', 'O', 'P')
-)
-select product, column_name, "check", message from v where hit
-"""
+    from .quality_suite import orders_contract as shared
+    return shared(spark, sf, product)
+
+
+def _viol_arms(view):
+    """SQL arms of the contract checks of ``view`` against the contract
+    inferred (in SQL) on clean orders."""
+    arms = []
+    for c, _t, is_text in ORDERS_COLS:
+        nulls = f"count(*) filter (where {c} is null)"
+        arms.append(
+            f"select '{view}' as product, '{c}' as column_name, 'nullable' as \"check\", "
+            f"'{c}: has ' || printf('%.1f', round({nulls} / count(*) * 100, 1)) || '% nulls but nullable=False' as message, "
+            f"{nulls} > 0 and (select count(*) filter (where {c} is null) = 0 from orders) as hit from {view}")
+        groups = f"(count(distinct {c}) + case when {nulls} > 0 then 1 else 0 end)"
+        arms.append(
+            f"select '{view}', '{c}', 'unique', "
+            f"'{c}: has ' || printf('%.1f', round((count(*) - {groups}) / count(*) * 100, 1)) || '% duplicates but unique=True', "
+            f"{groups} < count(*) and (select count(distinct {c}) = count(*) from orders) from {view}")
+        if is_text:
+            allowed = f"(select list(distinct {c}) from orders)"
+            arms.append(
+                f"select '{view}', '{c}', 'allowed', "
+                f"'{c}: invalid values [' || string_agg(distinct {c}, ', ' order by {c}) || '] (allowed: [' || "
+                f"(select string_agg(distinct {c}, ', ' order by {c}) from orders) || '])', "
+                f"count(*) > 0 and (select count(distinct {c}) <= 20 from orders) "
+                f"from {view} where {c} is not null and not list_contains({allowed}, {c})")
+    return arms
+
+
+_VIOL_SQL = ("with v as (\n" + "\nunion all ".join(
+    a for view in ("orders_nulls", "orders_dups", "orders_badvals") for a in _viol_arms(view))
+    + "\n)\nselect product, column_name, \"check\", message from v where hit\n")
 
 
 def _violations(spark, sf):

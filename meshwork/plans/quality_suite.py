@@ -22,9 +22,16 @@ LINEITEM_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                 "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
+_CONTRACTS: dict = {}
+
+
 def orders_contract(spark, sf, product):
-    cc = C.infer_contract("orders", table(spark, sf, "orders"))
-    return cc.withColumn("product", F.lit(product))
+    """The contract inferred on clean ``orders`` (one small table per
+    session and scale, cached: many keys apply it)."""
+    key = (id(spark), sf)
+    if key not in _CONTRACTS:
+        _CONTRACTS[key] = C.infer_contract("orders", table(spark, sf, "orders")).cache()
+    return _CONTRACTS[key].withColumn("product", F.lit(product))
 
 
 # -- SQL builders (DuckDB) ---------------------------------------------------------
