@@ -130,15 +130,30 @@ PRODUCT_NAMES = ("region", "nation", "customer", "supplier", "part", "orders",
 
 
 @register("default_contract", """
-select product, '1.0.0' as version, 'auto-detected' as owner, 'data-platform' as team,
+with n as (""" + "\nunion all ".join(
+    f"select '{t}' as product, count(*) as row_count from {t}" for t in PRODUCT_NAMES[:14]) + """
+  union all select 'orders_nulls', count(*) from orders
+  union all select 'orders_dups', (select count(*) from orders)
+       + (select count(*) from orders where o_orderpriority = '1-URGENT' and o_orderstatus = 'P')
+  union all select 'orders_badvals', count(*) from orders)
+select product, n.row_count, '1.0.0' as version, 'auto-detected' as owner, 'data-platform' as team,
        case when contains(product, '_') then split_part(product, '_', 1) else 'general' end as domain,
        'Auto-generated contract for ' || product as description,
        product as tags, 'csv,graph,dataframe' as output_ports,
        24 as freshness_hours, cast(99.0 as double) as availability_percent, 5000 as max_query_time_ms
-from (values """ + ", ".join(f"('{n}')" for n in PRODUCT_NAMES) + """) t(product)
+from n
 """)
 def default_contract(spark, sf):
-    out = C.default_contract(C.product_table(spark, PRODUCT_NAMES))
+    """C1 for every test table and messy view, with each product's row
+    count (the registry entry the contract belongs to)."""
+    frames = {t: table(spark, sf, t) for t in PRODUCT_NAMES[:14]}
+    frames.update({v: VIEWS[v](spark, sf) for v in PRODUCT_NAMES[14:]})
+    counts = None
+    for name, df in frames.items():
+        c = df.agg(F.count(F.lit(1)).alias("row_count")).select(
+            F.lit(name).alias("product"), "row_count")
+        counts = c if counts is None else counts.unionByName(c)
+    out = C.default_contract(counts).join(counts, "product")
     return (out.withColumn("tags", F.array_join("tags", ","))
             .withColumn("output_ports", F.array_join("output_ports", ",")))
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import profile as P
+from ..operators import catalog as M
+from ..operators import profile as P  # noqa: F401
 from ..operators import semantic as S
 from . import seeds
 from .registry import register
@@ -34,8 +35,13 @@ def _glossary(spark):
     return seeds.glossary(spark)
 
 
-@register("term_index", f"with {INDEX_SQL} select key, term, key_order from idx")
-def term_index(spark, sf):
+# S1 and S6 work on the seed glossary alone, so they are not registered as
+# queries (every registered query reads the test tables); they are covered by
+# tests and used inside resolve_terms / enrich_queries.
+TERM_INDEX_SQL = f"with {INDEX_SQL} select key, term, key_order from idx"
+
+
+def term_index(spark, sf=None):
     return S.term_index(_glossary(spark))
 
 
@@ -100,12 +106,14 @@ def enrich_queries(spark, sf):
                       "enriched")
 
 
-@register("semantic_summary", f"""
+SEMANTIC_SUMMARY_SQL = (f"""
 select (select count(distinct term) from {GLOSSARY_SQL}) as glossary_terms,
        (select string_agg(distinct domain, ',' order by domain) from {GLOSSARY_SQL}) as domains,
        1::bigint as annotated_products, {len(seeds.ANNOTATIONS)}::bigint as total_annotations
 """)
-def semantic_summary(spark, sf):
+
+
+def semantic_summary(spark, sf=None):
     out = S.semantic_summary(_glossary(spark), seeds.annotations(spark))
     return out.withColumn("domains", F.array_join("domains", ","))
 
@@ -127,14 +135,22 @@ def orders_annotations(spark):
 
 @register("annotate_columns", """
 with a(column_name, business_name, description, semantic_type, sensitivity) as (values """ +
-          ", ".join(f"({_s(c)}, {_s(b)}, {_s(d)}, {_s(st)}, {_s(se)})" for c, b, d, st, se in ORDERS_ANNOTATIONS) + """)
-select 'orders' as product, c.column_name, coalesce(a.business_name, '') as business_name,
+          ", ".join(f"({_s(c)}, {_s(b)}, {_s(d)}, {_s(st)}, {_s(se)})" for c, b, d, st, se in ORDERS_ANNOTATIONS) + """),
+c as (select 'o_orderkey' as column_name, count(distinct o_orderkey) as nunique,
+             count(*) filter (where o_orderkey is null) as null_count from orders
+      union all select 'o_custkey', count(distinct o_custkey), count(*) filter (where o_custkey is null) from orders
+      union all select 'o_orderstatus', count(distinct o_orderstatus), count(*) filter (where o_orderstatus is null) from orders
+      union all select 'o_totalprice', count(distinct o_totalprice), count(*) filter (where o_totalprice is null) from orders
+      union all select 'o_orderdate', count(distinct o_orderdate), count(*) filter (where o_orderdate is null) from orders
+      union all select 'o_orderpriority', count(distinct o_orderpriority), count(*) filter (where o_orderpriority is null) from orders)
+select 'orders' as product, c.column_name, c.nunique, c.null_count,
+       coalesce(a.business_name, '') as business_name,
        coalesce(a.description, '') as description, coalesce(a.sensitivity, 'public') as sensitivity,
        coalesce(a.semantic_type, '') as semantic_type
-from information_schema.columns c left join a using (column_name)
-where c.table_name = 'orders'
+from c left join a using (column_name)
 """)
 def annotate_columns(spark, sf):
-    cols = P.schema_table(table(spark, sf, "orders")).select(
-        F.lit("orders").alias("product"), "column_name")
+    """S5 on catalog columns computed from the orders data."""
+    cols = M.catalog_columns("orders", table(spark, sf, "orders")).select(
+        "product", "column_name", "nunique", "null_count")
     return S.annotate_columns(cols, orders_annotations(spark))

@@ -184,3 +184,14 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "a long, b string")
     assert D.completeness_dimension("t", df).first().score == 0.0
     assert D.duplicate_rows("t", df).first().duplicate_rows == 0
+
+
+def test_seed_index_and_summary(spark):
+    import duckdb
+    from meshwork.plans import semantic_suite as SS
+    got = sorted(tuple(r) for r in SS.term_index(spark).select("key", "term", "key_order").collect())
+    want = sorted(duckdb.sql(SS.TERM_INDEX_SQL).fetchall())
+    assert got == want and len(got) == 26
+    s = SS.semantic_summary(spark).first()
+    assert (s.glossary_terms, s.annotated_products, s.total_annotations) == (7, 1, 23)
+    assert s.domains == "customer,product,revenue"
