@@ -116,34 +116,38 @@ def contract_violations(product: str, df: DataFrame, contract_columns: DataFrame
     * nullable  ``nullable=False`` but missing values exist
     * unique    ``unique=True`` but a value repeats (null counts as a value)
     * allowed   non-null values outside the allowed list
+
+    Counts come from one column profile (value counts + wide statistics);
+    only columns with unexpected values go back to the value counts to list
+    them.
     """
     vc = P.shared_value_counts(df) if vc is None else vc
-    facts = column_facts(df, vc)
     cc = contract_columns.where(F.col("product") == product)
-    missing = (cc.join(facts, "column_name", "left_anti")
+    prof = P.column_profile(df, vc, cc.select("column_name", "allowed_values"))
+    missing = (cc.join(F.broadcast(P.schema_table(df)), "column_name", "left_anti")
                .select(F.lit(product).alias("product"), "column_name",
                        F.lit("missing").alias("check"),
                        F.concat(F.lit("Missing column: "), "column_name")
                        .alias("message")))
-    present = cc.join(facts, "column_name")
+    present = prof.join(cc.select("column_name", "nullable", "unique"), "column_name")
     null_pct = F.try_divide(F.col("null_count"), F.col("row_count")) * 100
-    nulls = (present.where(~F.col("nullable") & (F.col("null_count") > 0))
-             .select(F.lit(product).alias("product"), "column_name",
-                     F.lit("nullable").alias("check"),
-                     F.format_string("%s: has %s%% nulls but nullable=False",
-                                     "column_name", _pct1(null_pct))
-                     .alias("message")))
     dup_pct = F.try_divide(F.col("row_count") - F.col("groups"), F.col("row_count")) * 100
-    dups = (present.where(F.col("unique") & (F.col("groups") < F.col("row_count")))
-            .select(F.lit(product).alias("product"), "column_name",
-                    F.lit("unique").alias("check"),
-                    F.format_string("%s: has %s%% duplicates but unique=True",
-                                    "column_name", _pct1(dup_pct))
-                    .alias("message")))
-    allowed = present.where(F.size(F.coalesce("allowed_values", F.array())) > 0) \
+    arms = F.array(
+        F.when(~F.col("nullable") & (F.col("null_count") > 0), F.struct(
+            F.lit("nullable").alias("check"),
+            F.format_string("%s: has %s%% nulls but nullable=False", "column_name",
+                            _pct1(null_pct)).alias("message"))),
+        F.when(F.col("unique") & (F.col("groups") < F.col("row_count")), F.struct(
+            F.lit("unique").alias("check"),
+            F.format_string("%s: has %s%% duplicates but unique=True", "column_name",
+                            _pct1(dup_pct)).alias("message"))))
+    counted = (present.select("column_name", F.explode(F.filter(arms, lambda a: a.isNotNull()))
+                              .alias("v"))
+               .select(F.lit(product).alias("product"), "column_name", "v.check", "v.message"))
+    bad_cols = prof.where(F.col("has_allowed") & (F.col("invalid_count") > 0)) \
         .select("column_name", "allowed_values")
     invalid = (vc.where(F.col("value").isNotNull())
-               .join(F.broadcast(allowed), "column_name")
+               .join(F.broadcast(bad_cols), "column_name")
                .where(~F.array_contains("allowed_values", F.col("value")))
                .groupBy("column_name")
                .agg(F.array_sort(F.collect_list("value")).alias("invalid"),
@@ -154,7 +158,7 @@ def contract_violations(product: str, df: DataFrame, contract_columns: DataFrame
         F.format_string("%s: invalid values [%s] (allowed: [%s])", "column_name",
                         F.array_join("invalid", ", "),
                         F.array_join("allowed_values", ", ")).alias("message"))
-    return missing.unionByName(nulls).unionByName(dups).unionByName(bad)
+    return missing.unionByName(counted).unionByName(bad)
 
 
 def contract_status(contracts: DataFrame, violations: DataFrame) -> DataFrame:

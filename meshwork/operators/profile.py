@@ -111,28 +111,74 @@ def null_counts(df: DataFrame) -> DataFrame:
     return column_stats(df).select("column_name", "null_count")
 
 
-def column_facts(df: DataFrame, vc: DataFrame | None = None) -> DataFrame:
-    """Counts per column derived from the value-count table alone:
-    (column_name, ordinal, data_type, row_count, null_count, distinct_count,
-    groups) where ``groups`` counts distinct values with null as one value.
-
-    Reusing ``vc`` means profiling, contracts and quality need one scan and
-    one shuffle of the data for all their counts.
+def column_profile(df: DataFrame, vc: DataFrame | None = None,
+                   allowed: DataFrame | None = None) -> DataFrame:
+    """Everything the column-level checks need, in one aggregation.
+
+    Inputs: the wide statistics (one scan, no shuffle of values) and the
+    value-count table. The small per-column side table (row and null counts,
+    optional allowed values) is broadcast into the value counts and a single
+    ``groupBy(column_name)`` produces per column:
+
+    ``row_count, null_count, distinct_count, groups`` (distinct values with
+    null as one value), ``in_list`` (rows whose value is allowed),
+    ``invalid_count`` (distinct non-null values outside the list) and
+    ``rare_count`` (values seen fewer than max(2, 0.1 % of non-null) times).
+
+    The result has one row per column; callers persist it and derive every
+    contract, completeness, uniqueness, validity and column score from it.
     """
     vc = value_counts(df) if vc is None else vc
-    per = vc.groupBy("column_name").agg(
-        F.sum("n").alias("row_count"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0))
-        .alias("null_count"),
-        F.count_if(F.col("value").isNotNull()).alias("distinct_count"),
-        F.count(F.lit(1)).alias("groups"))
+    stats = column_stats(df).select("column_name", "row_count", "null_count")
+    side = schema_table(df).join(stats, "column_name", "left")
+    if allowed is None:
+        side = side.withColumn("allowed_values", F.lit(None).cast("array<string>"))
+    else:
+        side = side.join(allowed.select("column_name", "allowed_values"), "column_name", "left")
+    nn = F.col("row_count") - F.col("null_count")
+    lst = F.col("allowed_values")
+    has_list = lst.isNotNull() & (F.size(lst) > 0)
+    val = F.col("value")
+    tagged = vc.join(F.broadcast(side.select("column_name", nn.alias("nn"), "allowed_values")),
+                     "column_name")
+    per = tagged.groupBy("column_name").agg(
+        F.count_if(val.isNotNull()).alias("distinct_count"),
+        F.count(F.lit(1)).alias("groups"),
+        F.sum(F.when(val.isNotNull() & has_list & F.array_contains(lst, val), F.col("n"))
+              .otherwise(0)).alias("in_list"),
+        F.count_if(val.isNotNull() & has_list & ~F.array_contains(lst, val)).alias("invalid_count"),
+        F.count_if(val.isNotNull() & (F.col("n") < F.greatest(F.lit(2.0), F.col("nn") * 0.001)))
+        .alias("rare_count"))
     z = F.lit(0).cast("bigint")
-    return (schema_table(df).join(per, "column_name", "left")
+    return (side.join(per, "column_name", "left")
             .select("column_name", "ordinal", "data_type",
                     F.coalesce("row_count", z).cast("bigint").alias("row_count"),
                     F.coalesce("null_count", z).cast("bigint").alias("null_count"),
                     F.coalesce("distinct_count", z).cast("bigint").alias("distinct_count"),
-                    F.coalesce("groups", z).cast("bigint").alias("groups")))
+                    F.coalesce("groups", z).cast("bigint").alias("groups"),
+                    F.coalesce("in_list", z).cast("bigint").alias("in_list"),
+                    F.coalesce("invalid_count", z).cast("bigint").alias("invalid_count"),
+                    F.coalesce("rare_count", z).cast("bigint").alias("rare_count"),
+                    "allowed_values",
+                    (lst.isNotNull() & (F.size(lst) > 0)).alias("has_allowed")))
+
+
+def column_facts(df: DataFrame, vc: DataFrame | None = None) -> DataFrame:
+    """Counts per column: (column_name, ordinal, data_type, row_count,
+    null_count, distinct_count, groups) - a projection of
+    :func:`column_profile`."""
+    return column_profile(df, vc).select("column_name", "ordinal", "data_type", "row_count",
+                                         "null_count", "distinct_count", "groups")
+
+
+PERSIST = False  # measured: no gain at the test scales; see README
+
+
+def persisted(df: DataFrame) -> DataFrame:
+    if not PERSIST:
+        return df
+    from pyspark import StorageLevel
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def value_counts(df: DataFrame, columns=None) -> DataFrame:
@@ -157,8 +203,7 @@ def shared_value_counts(df: DataFrame, columns=None) -> DataFrame:
     one aggregation), so a lost executor only recomputes the lost blocks.
     Call ``release`` (or ``unpersist``) when the results are written.
     """
-    from pyspark import StorageLevel
-    return value_counts(df, columns).persist(StorageLevel.MEMORY_AND_DISK)
+    return persisted(value_counts(df, columns))
 
 
 def release(*frames) -> None:

@@ -175,15 +175,15 @@ def duplicate_rows(product: str, df: DataFrame, exact: bool = False) -> DataFram
 
 def unique_key_violations(product: str, df: DataFrame,
                           contract_columns: DataFrame,
-                          vc: DataFrame | None = None) -> DataFrame:
+                          vc: DataFrame | None = None,
+                          prof: DataFrame | None = None) -> DataFrame:
     """Contract columns marked unique that hold repeated values (a null
     counts as a value, as in pandas ``duplicated``)."""
-    vc = P.value_counts(df) if vc is None else vc
+    prof = P.column_profile(df, vc) if prof is None else prof
     uniq = (contract_columns.where((F.col("product") == product) & F.col("unique"))
             .select("column_name"))
-    dups = (vc.join(F.broadcast(uniq), "column_name", "left_semi")
-            .groupBy("column_name")
-            .agg(F.sum(F.col("n") - 1).alias("duplicates"))
+    dups = (prof.join(F.broadcast(uniq), "column_name", "left_semi")
+            .withColumn("duplicates", F.col("row_count") - F.col("groups"))
             .where(F.col("duplicates") > 0))
     return dups.select(
         F.lit(product).alias("product"), "column_name",
@@ -213,33 +213,24 @@ def uniqueness_dimension(product: str, dup: DataFrame,
 
 # -- validity (D5, D6) ------------------------------------------------------------
 
-def invalid_value_counts(product: str, df: DataFrame, contract_columns: DataFrame,
-                         vc: DataFrame | None = None) -> DataFrame:
-    """Per contract column with allowed values: distinct values in the data,
-    invalid distinct values, and up to five of them."""
-    vc = P.value_counts(df) if vc is None else vc
-    allowed = (contract_columns.where(
-        (F.col("product") == product)
-        & (F.size(F.coalesce("allowed_values", F.array())) > 0))
-        .select("column_name", "allowed_values"))
-    tagged = (vc.where(F.col("value").isNotNull())
-              .join(F.broadcast(allowed), "column_name")
-              .withColumn("bad", ~F.array_contains("allowed_values", F.col("value"))))
-    return tagged.groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("distinct_count"),
-        F.count_if("bad").alias("invalid_count"),
-        F.slice(F.array_sort(F.collect_list(F.when(F.col("bad"), F.col("value")))),
-                1, 5).alias("invalid_examples"))
+def allowed_lists(product: str, contract_columns: DataFrame | None):
+    if contract_columns is None:
+        return None
+    return (contract_columns.where(F.col("product") == product)
+            .select("column_name", "allowed_values"))
 
 
 def validity_dimension(product: str, df: DataFrame,
                        contract_columns: DataFrame | None = None,
-                       vc: DataFrame | None = None) -> DataFrame:
-    """D5 with a contract, D6 without one."""
+                       vc: DataFrame | None = None,
+                       prof: DataFrame | None = None) -> DataFrame:
+    """D5 with a contract (-5 per missing column, -min(invalid distinct /
+    distinct x 100, 10) per column with unexpected values), D6 without."""
     spark = df.sparkSession
     if contract_columns is None:
         return mixed_type_dimension(product, df)
-    vc = P.value_counts(df) if vc is None else vc
+    if prof is None:
+        prof = P.column_profile(df, vc, allowed_lists(product, contract_columns))
     cc = contract_columns.where(F.col("product") == product)
     present = spark.createDataFrame([(c,) for c in df.columns], "column_name string")
     missing = (cc.join(F.broadcast(present), "column_name", "left_anti")
@@ -247,8 +238,7 @@ def validity_dimension(product: str, df: DataFrame,
                        F.lit(MISSING_COLUMN_PENALTY * 1.0).alias("penalty"),
                        F.concat(F.lit("Missing expected column: "), "column_name")
                        .alias("issue")))
-    inv = invalid_value_counts(product, df, contract_columns, vc) \
-        .where(F.col("invalid_count") > 0)
+    inv = prof.where(F.col("has_allowed") & (F.col("invalid_count") > 0))
     pct = F.col("invalid_count") / F.greatest(F.col("distinct_count"), F.lit(1)) * 100
     bad = inv.select("column_name",
                      F.least(pct, F.lit(INVALID_PENALTY_CAP * 1.0)).alias("penalty"),
@@ -364,6 +354,16 @@ def rare_value_columns(product: str, df: DataFrame,
                              "column_name", "rare_count")).alias("issue"))
 
 
+def rare_issues_from_profile(product: str, df: DataFrame, prof: DataFrame) -> DataFrame:
+    """D8 counts and issues from the column profile (no examples)."""
+    texts = P.text_columns(df)
+    flagged = (F.col("rare_count") > 0) & (F.col("distinct_count") > RARE_MIN_DISTINCT)
+    return prof.where(F.col("column_name").isin(texts)).select(
+        F.lit(product).alias("product"), "column_name", "distinct_count", "rare_count",
+        F.when(flagged, _fmt("Column '%s': %d very rare values (possible typos)",
+                             "column_name", "rare_count")).alias("issue"))
+
+
 def consistency_dimension(product: str, outliers: DataFrame,
                           rare: DataFrame) -> DataFrame:
     o = outliers.select(F.lit(0).alias("kind"), "column_name", "issue")
@@ -423,30 +423,16 @@ def column_quality(product: str, df: DataFrame,
                    vc: DataFrame | None = None,
                    facts: DataFrame | None = None) -> DataFrame:
     """Per column completeness %, distinct / rows %, and the share of
-    values in the allowed list (nulls count as valid), all to 2 decimals."""
-    vc = P.value_counts(df) if vc is None else vc
-    facts = P.column_facts(df, vc) if facts is None else facts
+    values in the allowed list (nulls count as valid), all to 2 decimals.
+    ``facts`` is the column profile built with this contract's lists."""
+    if facts is None:
+        facts = P.column_profile(df, vc, allowed_lists(product, contract_columns))
     rows = F.col("row_count")
-    base = facts.select("column_name", "ordinal", "row_count", "null_count",
-                        "distinct_count")
-    if contract_columns is not None:
-        allowed = (contract_columns.where(
-            (F.col("product") == product)
-            & (F.size(F.coalesce("allowed_values", F.array())) > 0))
-            .select("column_name", "allowed_values"))
-        valid = (vc.where(F.col("value").isNotNull())
-                 .join(F.broadcast(allowed), "column_name")
-                 .groupBy("column_name")
-                 .agg(F.sum(F.when(F.array_contains("allowed_values", F.col("value")),
-                                   F.col("n")).otherwise(0)).alias("in_list")))
-        base = base.join(valid, "column_name", "left")
-    else:
-        base = base.withColumn("in_list", F.lit(None).cast("bigint"))
-    validity = F.when(F.col("in_list").isNull(), F.lit(100.0)).otherwise(
+    validity = F.when(~F.col("has_allowed"), F.lit(100.0)).otherwise(
         _r(F.try_divide(F.col("in_list") + F.col("null_count"), rows) * 100, 2))
     completeness = _r((1 - F.try_divide(F.col("null_count"), rows)) * 100, 2)
     uniqueness = _r(F.col("distinct_count") / F.greatest(rows, F.lit(1)) * 100, 2)
-    out = base.select(
+    out = facts.select(
         F.lit(product).alias("product"), "column_name", "ordinal",
         completeness.alias("completeness"), uniqueness.alias("uniqueness"),
         validity.alias("validity"))
@@ -503,23 +489,30 @@ class Assessment:
 def assess(product: str, df: DataFrame, contract_columns: DataFrame | None = None,
            last_modified: DataFrame | None = None, as_of=None,
            exact_duplicates: bool = False, **quantile_kw) -> Assessment:
-    """All dimensions, column scores and the report for one product."""
+    """All dimensions, column scores and the report for one product.
+
+    Data passes: the value-count shuffle and the wide statistics (folded
+    into one small, persisted column profile), the row-key shuffle for
+    duplicates, and the quantile passes for outliers. Every other step reads
+    the small profile.
+    """
     spark = df.sparkSession
     vc = P.shared_value_counts(df)
-    facts = P.column_facts(df, vc)
-    comp = completeness_dimension(product, df, facts)
+    prof = P.persisted(P.column_profile(df, vc, allowed_lists(product, contract_columns)))
+    comp = completeness_dimension(product, df, prof)
     dup = duplicate_rows(product, df, exact=exact_duplicates)
-    keys = (unique_key_violations(product, df, contract_columns, vc)
+    keys = (unique_key_violations(product, df, contract_columns, prof=prof)
             if contract_columns is not None else None)
     uniq = uniqueness_dimension(product, dup, keys)
-    valid = validity_dimension(product, df, contract_columns, vc)
+    valid = validity_dimension(product, df, contract_columns, prof=prof)
     outl = outlier_columns(product, df, **quantile_kw)
-    rare = rare_value_columns(product, df, vc)
+    rare = rare_issues_from_profile(product, df, prof)
     cons = consistency_dimension(product, outl, rare)
     time = timeliness_dimension(product, spark, last_modified, as_of)
     dims = comp.unionByName(uniq).unionByName(valid).unionByName(cons).unionByName(time)
-    cols = column_quality(product, df, contract_columns, vc, facts)
-    return Assessment(dims, cols, report_from_dimensions(dims), dup, outl, rare)
+    cols = column_quality(product, df, contract_columns, facts=prof)
+    return Assessment(dims, cols, report_from_dimensions(dims), dup, outl,
+                      rare_value_columns(product, df, vc))
 
 
 def assess_many(products: dict, contract_columns: DataFrame | None = None,

@@ -7,9 +7,32 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
           "lineitem", "events", "documents", "embeddings", "pages",
           "benchmark", "labels", "conversations")
 
+SPREAD_MIN_BYTES = 8 << 20
+
+
+def spread(df: DataFrame, min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
+    """Spread an under-split input over the cluster's cores.
+
+    A large table read from few splits (one big row group, one gzip file)
+    would run every map-side step in a handful of tasks. When the planned
+    scan has fewer partitions than the default parallelism and is larger
+    than ``min_bytes``, rows are spread round-robin (Spark sorts before a
+    round-robin repartition, so a retried task sends the same rows). On a
+    real cluster a big table already has thousands of splits and nothing
+    happens. Only planning information is used, no job runs.
+    """
+    spark = df.sparkSession
+    target = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) < min_bytes:
+        return df
+    return df.repartition(target)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def all_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
