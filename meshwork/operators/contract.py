@@ -123,7 +123,7 @@ def contract_violations(product: str, df: DataFrame, contract_columns: DataFrame
     """
     vc = P.shared_value_counts(df) if vc is None else vc
     cc = contract_columns.where(F.col("product") == product)
-    prof = P.column_profile(df, vc, cc.select("column_name", "allowed_values"))
+    prof = P.small_cached(P.column_profile(df, vc, cc.select("column_name", "allowed_values")))
     missing = (cc.join(F.broadcast(P.schema_table(df)), "column_name", "left_anti")
                .select(F.lit(product).alias("product"), "column_name",
                        F.lit("missing").alias("check"),

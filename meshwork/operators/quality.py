@@ -498,7 +498,7 @@ def assess(product: str, df: DataFrame, contract_columns: DataFrame | None = Non
     """
     spark = df.sparkSession
     vc = P.shared_value_counts(df)
-    prof = P.persisted(P.column_profile(df, vc, allowed_lists(product, contract_columns)))
+    prof = P.small_cached(P.column_profile(df, vc, allowed_lists(product, contract_columns)))
     comp = completeness_dimension(product, df, prof)
     dup = duplicate_rows(product, df, exact=exact_duplicates)
     keys = (unique_key_violations(product, df, contract_columns, prof=prof)
