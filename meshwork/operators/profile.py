@@ -175,9 +175,16 @@ PERSIST = False  # measured: no gain at the test scales; see README
 
 
 def small_cached(df: DataFrame) -> DataFrame:
-    """Cache a small metadata table (one row per column) that many branches
-    of a plan read; recomputing it would repeat its scans and shuffles."""
-    return df.cache()
+    """Materialise a small metadata table (one row per column) that many
+    branches of a plan read, so its scans and shuffles run once.
+
+    It is checkpointed (eagerly) into the shared folder named by
+    ``spark.checkpoint.dir``: later branches read a plain scan, a lost
+    executor re-reads the files, and no cache entry is left behind (many
+    cached plans slow down every later query's cache lookup).
+    """
+    from ..plans.session import cut_lineage
+    return cut_lineage(df)
 
 
 def persisted(df: DataFrame) -> DataFrame:
