@@ -108,6 +108,35 @@ def extract_query_text(text: Column) -> Column:
             .when(m_ok, m_q).when(s_ok, s_q).otherwise(py_strip(text)))
 
 
+def with_query_text(df, text_col: str, out: str = "query"):
+    """DataFrame form of :func:`extract_query_text`, staged in steps.
+
+    The single nested expression is large enough to exceed the generated
+    code size limit (Spark then falls back to interpretation); computing
+    the candidates as intermediate columns keeps every step compiled.
+    """
+    text = F.col(text_col)
+    fence_re = r"(?s)```(?:sql|cypher)?\s*\n?(.*?)\n?```"
+    staged = df.withColumns({
+        "_fenced": F.when(text.rlike(fence_re),
+                          py_strip(F.regexp_extract(text, fence_re, 1))),
+        "_mq": F.when(text.rlike(r"(?is)(MATCH\s+.+)"),
+                      py_strip(F.regexp_extract(text, r"(?is)(MATCH\s+.+)", 1))),
+        "_sq": F.when(text.rlike(r"(?is)(SELECT\s+.+)"),
+                      py_strip(F.regexp_extract(text, r"(?is)(SELECT\s+.+)", 1))),
+    })
+
+    def cut(q, stops):
+        pos = F.array(*[F.instr(q, s) for s in stops])
+        first = F.array_min(F.filter(pos, lambda p: p > 1))
+        return F.when(first.isNull(), q).otherwise(py_strip(F.substring(q, F.lit(1), first - 1)))
+
+    staged = staged.withColumns({"_mc": cut(F.col("_mq"), MATCH_STOPS),
+                                 "_sc": cut(F.col("_sq"), SELECT_STOPS)})
+    result = F.coalesce(F.col("_fenced"), F.col("_mc"), F.col("_sc"), py_strip(text))
+    return staged.withColumn(out, result).drop("_fenced", "_mq", "_sq", "_mc", "_sc")
+
+
 def _any_contains(s: Column, marks) -> Column:
     out = F.lit(False)
     for m in marks:

@@ -263,7 +263,7 @@ from k
 """)
 def extract_query_text(spark, sf):
     r = replies_from_conversations(spark, sf)
-    return r.select("conv_id", "turn", X.extract_query_text(F.col("reply")).alias("query"))
+    return X.with_query_text(r, "reply", "query").select("conv_id", "turn", "query")
 
 
 @register("classify_errors", """
