@@ -32,18 +32,24 @@ def term_index(glossary: DataFrame) -> DataFrame:
             .groupBy("key", "term").agg(F.min("key_order").alias("key_order")))
 
 
-def _maybe_broadcast(index: DataFrame) -> DataFrame:
-    n = index.count()  # small metadata table: a bounded action
-    return F.broadcast(index) if n <= MAX_BROADCAST_KEYS else index
+def _small(index: DataFrame) -> bool:
+    """The glossary index is metadata; check its size before broadcasting."""
+    return index.count() <= MAX_BROADCAST_KEYS
 
 
 def _match(rows: DataFrame, phrase: str, index: DataFrame) -> DataFrame:
-    """Rows x index keys with the exact-beats-partial rule per phrase."""
+    """Rows x index keys with the exact-beats-partial rule per phrase.
+
+    A small index is broadcast (no shuffle of the phrase rows); a larger one
+    is joined without a hint and Spark distributes the nested loop.
+    """
     keys = index.select(F.col("key").alias("_k")).distinct() \
         .withColumn("_exact_phrase", F.lit(True))
-    idx = _maybe_broadcast(index)
-    flagged = rows.join(F.broadcast(keys) if idx is not index else keys,
-                        rows[phrase] == F.col("_k"), "left").drop("_k")
+    if _small(index):
+        keys, idx = F.broadcast(keys), F.broadcast(index)
+    else:
+        idx = index
+    flagged = rows.join(keys, rows[phrase] == F.col("_k"), "left").drop("_k")
     exact = F.coalesce(F.col("_exact_phrase"), F.lit(False))
     p, k = F.col(phrase), F.col("key")
     cond = F.when(exact, k == p).otherwise(k.contains(p) | p.contains(k))
