@@ -22,3 +22,9 @@ def _table(spark, sf_dir, name):
 def op3_suffix_dedup(spark, sf_dir):
     from .suffix_dedup import remove_repeats
     return remove_repeats(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+@register("op4_simhash")
+def op4_simhash(spark, sf_dir):
+    from .simhash import near_duplicates
+    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
