@@ -28,3 +28,29 @@ def op3_suffix_dedup(spark, sf_dir):
 def op4_simhash(spark, sf_dir):
     from .simhash import near_duplicates
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
+
+
+@register("op5_language_id")
+def op5_language_id(spark, sf_dir):
+    from .language_id import identify
+    return identify(_table(spark, sf_dir, "documents"))
+
+
+@register("op7_quality")
+def op7_quality(spark, sf_dir):
+    from .quality import classify
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@register("op8_decontaminate")
+def op8_decontaminate(spark, sf_dir):
+    from .decontaminate import find_contamination
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return find_contamination(docs, _table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@register("op10_packing")
+def op10_packing(spark, sf_dir):
+    from .packing import pack
+    return pack(_table(spark, sf_dir, "documents"), with_ids=False)
