@@ -1,9 +1,11 @@
 """Quality classifier: supervised subword embeddings.
 
 A document is the mean of the vectors of its features, a softmax layer
-scores the mean. Features are its white-space words and the 3- and 4-byte
-grams inside them (with the white space at their ends), each hashed to one
-of ``BUCKETS`` vectors; case and punctuation count. Vectors and layer are
+scores the mean. Features are its white-space words, the pairs of words that
+follow each other (their hashes by exclusive or, so that a word and its
+repetition are one feature for all words) and the 3- and 4-byte grams inside
+words (with the white space at their ends), each hashed to one of
+``BUCKETS`` vectors; case and punctuation count. Vectors and layer are
 trained together by stochastic gradient descent on at most ``fit_docs``
 labelled documents (whole texts). The mean of vectors followed by a linear
 layer is the mean of one number per feature, so scoring looks up the
@@ -67,8 +69,14 @@ def features(data: np.ndarray, offsets: np.ndarray):
         stop = np.append(start[1:], n)
         stop = np.minimum(stop, ends[start])
         h = (letters[stop] - letters[start]) * _M
-        buckets.append((h ^ h >> np.uint32(13)) * _M >> np.uint32(32 - BITS))
+        h = (h ^ h >> np.uint32(13)) * _M
+        buckets.append(h >> np.uint32(32 - BITS))
         docs.append(doc[start])
+        pair = doc[start[1:]] == doc[start[:-1]]
+        both = (h[1:] ^ h[:-1])[pair] + np.uint32(1)
+        both = (both ^ both >> np.uint32(15)) * _M
+        buckets.append((both ^ both >> np.uint32(13)) * _M >> np.uint32(32 - BITS))
+        docs.append(doc[start[1:]][pair])
     return (np.concatenate(buckets).astype(np.int32) if buckets else np.zeros(0, np.int32),
             np.concatenate(docs) if docs else np.zeros(0, np.int64))
 
