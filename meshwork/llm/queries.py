@@ -54,3 +54,39 @@ def op8_decontaminate(spark, sf_dir):
 def op10_packing(spark, sf_dir):
     from .packing import pack
     return pack(_table(spark, sf_dir, "documents"), with_ids=False)
+
+
+@register("op6_toxicity")
+def op6_toxicity(spark, sf_dir):
+    from .toxicity import classify
+    return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+OP1_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
+), good AS (
+  SELECT * FROM v
+  WHERE label IS NOT NULL AND e IS NOT NULL
+    AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, x -> x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b
+  FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) >= 0.93 * sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM v
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT v.vec_id, coalesce(n.n_links, 0)::BIGINT AS n_links, least.component_id,
+       v.vec_id = least.component_id AS kept
+FROM v JOIN least ON least.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+"""
+
+
+@register("op1_embedding_dedup", OP1_SQL)
+def op1_embedding_dedup(spark, sf_dir):
+    from .embedding_dedup import near_duplicates
+    return near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.93)

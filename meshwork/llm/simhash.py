@@ -157,10 +157,14 @@ def _links(max_bits):
 def links(prints: DataFrame, max_bits: int = 3) -> DataFrame:
     """Links (a, b) that connect all fingerprints (distinct rows of column
     ``fp``) within ``max_bits`` of each other."""
-    rows = prints.select("fp").mapInArrow(_variants(max_bits), "key long, fp long")
+    spark = prints.sparkSession
+    # a row becomes dozens: spread them over all tasks first
+    spread = prints.select("fp").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "fp")
+    rows = spread.mapInArrow(_variants(max_bits), "key long, fp long")
     found = None
     while True:
-        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        # a table of its own, so that the join can be split where a key is hot
+        sizes = materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
         rows = materialise(rows.join(sizes, "key"))
         large = (F.col("n") > BUCKET) & (F.bit_count("free") > FEW) if "free" in rows.columns else F.col("n") > BUCKET
         small = rows.where(~large).groupBy("key").agg(F.collect_set("fp").alias("fps"))
@@ -189,7 +193,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).join(roots, "fp")
     least = materialise(least)
     ids = least.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    ids = least.select("fp", "root").join(ids, "root").select("fp", "component_id")
+    ids = materialise(least.select("fp", "root").join(ids, "root").select("fp", "component_id"))
     return prints.join(ids, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

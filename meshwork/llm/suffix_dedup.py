@@ -190,12 +190,14 @@ def classify(rows: DataFrame) -> DataFrame:
     """(k, flag and place as ``mark``) of the suffixes that share a bucket:
     flag 1 if the whole context repeats, 2 if it must be refined (also one
     example of each repeated context that others may repeat in part)."""
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    # counts become tables of their own, so that the joins with them can be
+    # split where a bucket is hot
+    shared = materialise(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"))
     shared = materialise(rows.join(shared, "bucket", "left_semi"))
     classes = shared.groupBy("bucket", "full").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "place")).alias("example"))
     mixed = classes.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    classes = classes.join(mixed, "bucket", "left")
+    classes = materialise(classes.join(mixed, "bucket", "left"))
     open_ = F.col("classes").isNotNull() & ((F.col("n") == 1) | (F.col("example") == F.struct("k", "place")))
     flag = (F.col("n") > 1).cast("long") + open_.cast("long") * 2
     return (shared.join(classes, ["bucket", "full"]).withColumn("flag", flag).where("flag > 0")
