@@ -64,12 +64,12 @@ def op6_toxicity(spark, sf_dir):
 
 OP1_SQL = """
 WITH RECURSIVE v AS (
-  SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
 ), good AS (
   SELECT * FROM v
   WHERE label IS NOT NULL AND e IS NOT NULL
-    AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(e, x -> x <> 0)) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0
 ), links AS (
   SELECT a.vec_id AS a, b.vec_id AS b
   FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
@@ -90,3 +90,9 @@ FROM v JOIN least ON least.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id
 def op1_embedding_dedup(spark, sf_dir):
     from .embedding_dedup import near_duplicates
     return near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+@register("op9_pii")
+def op9_pii(spark, sf_dir):
+    from .pii import find_personal_data
+    return find_personal_data(_table(spark, sf_dir, "documents"))
