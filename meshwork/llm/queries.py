@@ -96,3 +96,25 @@ def op1_embedding_dedup(spark, sf_dir):
 def op9_pii(spark, sf_dir):
     from .pii import find_personal_data
     return find_personal_data(_table(spark, sf_dir, "documents"))
+
+
+@register("op2_token_counts")
+def op2_token_counts(spark, sf_dir):
+    """All documents inserted; those with a certain licence line revised
+    (the line goes); those of low quality deleted; the revision tried twice."""
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from .common import shared_folder
+    from .token_counts import TokenRollup
+    docs = _table(spark, sf_dir, "documents")
+    line = "Licensed under the Apache License, Version 2.0."
+    revised = docs.where(F.col("text").contains(line)).withColumn("text", F.replace("text", F.lit(line), F.lit("")))
+    bad = _table(spark, sf_dir, "labels").where("quality = 0").select("doc_id")
+    rollup = TokenRollup(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
+    rollup.commit("load", inserts=docs)
+    rollup.commit("licence", revisions=revised)
+    rollup.commit("quality", deletes=bad)
+    rollup.commit("licence", revisions=revised)
+    return rollup.totals()
