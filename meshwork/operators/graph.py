@@ -7,8 +7,8 @@ The graph is three DataFrames:
 * ``nodes``     ``node_id, label, key, props map<string,string>``
 * ``edges``     ``src, rel, dst, src_label, dst_label, dst_key``
 
-Edges carry both end labels and the dimension value, so pattern counts and
-1-hop matches need no join back to the node table. Building the graph is a
+Edges carry both end labels and the dimension value, so pattern counts need
+no join back to the node table; 1-hop matches read the entity rows alone. Building the graph is a
 single scan of the chosen columns; dimension nodes come from a partially
 aggregated ``distinct`` (tiny after map-side combine). One edge is produced
 per row and relationship, so duplicate entity ids never multiply edges.
@@ -86,6 +86,16 @@ def _present_dims(df: DataFrame, spec: GraphSpec):
     return [d for d in spec.dimensions if d.column in cols]
 
 
+def edge_value(g: "PropertyGraph", rel: str):
+    """The dimension value an entity row reaches over ``rel``; null without
+    an edge."""
+    d = g.dimension(rel)
+    types = {f.name: f.dataType for f in g.entities.schema.fields}
+    if d.column not in types:
+        return F.lit(None).cast("string")
+    return F.when(_truthy(_q(d.column), types[d.column]), _q(d.column).cast("string"))
+
+
 def entity_table(df: DataFrame, spec: GraphSpec) -> DataFrame:
     nid = F.concat(F.lit(spec.entity_label + ":"),
                    _q(spec.id_column).cast("string"))

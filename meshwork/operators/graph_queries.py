@@ -1,48 +1,45 @@
 """The query shapes the reference runs on its graph (survey ops Q1-Q10).
 
-Each 1-hop pattern ``(entity)-[:REL]->(dimension)`` is an equi-join of the
-entity side with the edges of that type on the entity id. Because edges carry
-the dimension value (``dst_key``), the dimension node table is never joined.
-Two patterns from the same entity (``MATCH (c)-[:A]->(a), (c)-[:B]->(b)``)
-are an inner join of two edge subsets on ``src``; Spark shuffles both on the
-entity id (or reuses bucketing when the graph was written bucketed) and AQE
-splits skewed partitions.
+An edge belongs to one entity row, and its dimension value is a column of
+that row. A 1-hop pattern ``(entity)-[:REL]->(dimension)`` is therefore a
+projection of the entity rows that have the edge, and two patterns from the
+same entity are one projection with both values. No query joins edges back
+to entities: one scan, and for grouped results one exchange after partial
+aggregation. Rows with equal entity ids stay single rows.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import PropertyGraph
+from .graph import PropertyGraph, edge_value
 
 
-def _hop(g: PropertyGraph, rel: str, alias: str) -> DataFrame:
-    return (g.edges.where(F.col("rel") == rel)
-            .select(F.col("src"), F.col("dst_key").alias(alias)))
+def _hops(g: PropertyGraph, rels: dict, condition: Column | str | None = None) -> DataFrame:
+    """Entity rows that have an edge of every relationship, with the values
+    reached as the columns ``rels`` names."""
+    ents = g.entities if condition is None else g.entities.where(condition)
+    ents = ents.where(F.col("node_id").isNotNull())
+    ents = ents.select("*", *[edge_value(g, rel).alias(f"__{i}") for i, rel in enumerate(rels)])
+    for i in range(len(rels)):
+        ents = ents.where(F.col(f"__{i}").isNotNull())
+    # a reached value named like an entity column takes its place
+    rest = [F.col(f"`{c}`") for c in g.entities.columns if c not in rels.values()]
+    return ents.select(*rest, *[F.col(f"__{i}").alias(a) for i, a in enumerate(rels.values())])
 
 
 def match_1hop(g: PropertyGraph, rel: str, alias: str | None = None,
                columns=None) -> DataFrame:
     """Q1: entities with the dimension value reached over ``rel`` (inner)."""
     alias = alias or g.dimension(rel).prop
-    ents = g.entities
-    if columns is not None:
-        ents = ents.select("node_id", *columns)
-    return (ents.join(_hop(g, rel, alias),
-                      ents["node_id"] == F.col("src"), "inner").drop("src"))
+    out = _hops(g, {rel: alias})
+    return out if columns is None else out.select("node_id", *columns, alias)
 
 
 def match_star(g: PropertyGraph, rels: dict, columns=None) -> DataFrame:
     """Q2: several relationships from the same entity; ``rels`` maps
     relationship type -> output column name."""
-    items = list(rels.items())
-    out = _hop(g, items[0][0], items[0][1])
-    for rel, alias in items[1:]:
-        out = out.join(_hop(g, rel, alias), "src", "inner")
-    if columns:
-        ents = g.entities.select(F.col("node_id").alias("src"), *columns)
-        out = out.join(ents, "src", "inner")
-    return out.withColumnRenamed("src", "node_id")
+    return _hops(g, rels).select("node_id", *rels.values(), *(columns or []))
 
 
 def rate_by_dimension(g: PropertyGraph, dim_rel: str, status_rel: str,
@@ -52,8 +49,7 @@ def rate_by_dimension(g: PropertyGraph, dim_rel: str, status_rel: str,
                       rate_alias: str = "rate_pct") -> DataFrame:
     """Q3: per dimension value the total, the count whose status equals
     ``positive`` and ``round(100 * part / total, 2)``."""
-    pair = _hop(g, dim_rel, dim_alias).join(_hop(g, status_rel, "_status"),
-                                            "src", "inner")
+    pair = _hops(g, {dim_rel: dim_alias, status_rel: "_status"})
     pos = F.sum(F.when(F.col("_status") == positive, 1).otherwise(0))
     return (pair.groupBy(dim_alias)
             .agg(F.count(F.lit(1)).alias(total_alias), pos.alias(positive_alias))
@@ -75,12 +71,8 @@ def filtered_count(g: PropertyGraph, rel: str, value: str,
                    alias: str = "matched") -> DataFrame:
     """Q5: count entities with an edge to ``value`` that also pass a filter
     on their own properties."""
-    hop = _hop(g, rel, "_dim").where(F.col("_dim") == value)
-    ents = g.entities
-    if entity_filter is not None:
-        ents = ents.where(entity_filter)
-    joined = ents.select("node_id").join(hop, ents["node_id"] == hop["src"])
-    return joined.agg(F.count(F.lit(1)).alias(alias))
+    return (_hops(g, {rel: "_dim"}, entity_filter).where(F.col("_dim") == value)
+            .agg(F.count(F.lit(1)).alias(alias)))
 
 
 def status_cross_count(g: PropertyGraph, dim_rel: str, status_rel: str,
@@ -88,8 +80,7 @@ def status_cross_count(g: PropertyGraph, dim_rel: str, status_rel: str,
                        status_alias: str = "status",
                        count_alias: str = "entity_count") -> DataFrame:
     """Q6: count by dimension value and status value."""
-    return (_hop(g, dim_rel, dim_alias)
-            .join(_hop(g, status_rel, status_alias), "src", "inner")
+    return (_hops(g, {dim_rel: dim_alias, status_rel: status_alias})
             .groupBy(dim_alias, status_alias)
             .agg(F.count(F.lit(1)).alias(count_alias)))
 

@@ -9,6 +9,7 @@ from ..operators import graph as G
 from ..operators import graph_queries as Q
 from .registry import register
 from .tables import table
+from .views import orders_dups, with_views
 
 
 def orders_graph(spark, sf):
@@ -29,19 +30,69 @@ def rate_by_dimension(spark, sf):
                                "HAS_STATUS", "F")
 
 
+def dups_graph(spark, sf):
+    """Entities with repeated ids."""
+    return G.build_graph(orders_dups(spark, sf), G.ORDERS_GRAPH)
+
+
+@register("rate_with_repeated_ids", with_views("""
+select o_orderpriority as dimension, count(*) as total,
+       count(*) filter (where o_orderstatus = 'P') as positives,
+       round(count(*) filter (where o_orderstatus = 'P') / count(*) * 100, 2) as rate_pct
+from orders_dups
+where o_orderkey is not null and o_orderpriority <> '' and o_orderstatus <> ''
+group by o_orderpriority
+""", "orders_dups"))
+def rate_with_repeated_ids(spark, sf):
+    return Q.rate_by_dimension(dups_graph(spark, sf), "HAS_PRIORITY", "HAS_STATUS", "P")
+
+
+@register("measures_with_repeated_ids", with_views("""
+select o_orderpriority as dimension, count(*) as row_count,
+       avg(o_totalprice) as avg_value, sum(o_totalprice) as sum_value,
+       max(o_totalprice) as max_value, min(o_totalprice) as min_value
+from orders_dups where o_orderkey is not null and o_orderpriority <> ''
+group by o_orderpriority
+""", "orders_dups"))
+def measures_with_repeated_ids(spark, sf):
+    return Q.aggregate_measures(dups_graph(spark, sf), "o_totalprice", by_rel="HAS_PRIORITY")
+
+
+@register("match_with_repeated_ids", with_views("""
+select 'Order:' || o_orderkey as node_id, o_orderpriority as priority,
+       o_orderstatus as status, o_custkey
+from orders_dups
+where o_orderkey is not null and o_orderpriority <> '' and o_orderstatus <> ''
+""", "orders_dups"))
+def match_with_repeated_ids(spark, sf):
+    return Q.match_star(dups_graph(spark, sf), {"HAS_PRIORITY": "priority", "HAS_STATUS": "status"},
+                        ["o_custkey"])
+
+
 @register("graph_nodes", """
 select 'Order:' || o_orderkey as node_id, 'Order' as label,
-       cast(o_orderkey as varchar) as key
+       cast(o_orderkey as varchar) as key,
+       'o_custkey=' || o_custkey || ';o_orderdate=' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')
+         || ';o_orderkey=' || o_orderkey || ';o_orderpriority=' || o_orderpriority
+         || case when o_orderstatus <> 'P' then ';o_orderstatus=' || o_orderstatus else '' end
+         as props
 from orders
 union all
-select distinct 'Priority:' || o_orderpriority, 'Priority', o_orderpriority
+select distinct 'Priority:' || o_orderpriority, 'Priority', o_orderpriority, 'type=' || o_orderpriority
 from orders where o_orderpriority is not null
 union all
-select distinct 'Status:' || o_orderstatus, 'Status', o_orderstatus
-from orders where o_orderstatus is not null
+select distinct 'Status:' || o_orderstatus, 'Status', o_orderstatus, 'status=' || o_orderstatus
+from orders where o_orderstatus <> 'P'
 """)
 def graph_nodes(spark, sf):
-    return orders_graph(spark, sf).nodes.select("node_id", "label", "key")
+    """Nodes with their properties as sorted text; status P is null here, so
+    a null property must be missing. The price is left out: the engines write
+    floating-point numbers differently."""
+    orders = table(spark, sf, "orders").withColumn(
+        "o_orderstatus", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus"))).drop("o_totalprice")
+    pair = lambda e: F.concat(e["key"], F.lit("="), e["value"])
+    return G.build_graph(orders, G.ORDERS_GRAPH).nodes.withColumn(
+        "props", F.array_join(F.array_sort(F.transform(F.map_entries("props"), pair)), ";"))
 
 
 @register("graph_edges", """
@@ -129,16 +180,30 @@ def dimension_values(spark, sf):
 
 
 @register("graph_is_current", """
-select count(*) as entity_nodes, count(*) as expected_rows,
+with snap as (
+  select 'all' as snapshot, * from orders
+  union all select 'not low', * from orders where o_orderpriority <> '5-LOW'
+  union all select 'cheap', * from orders where o_totalprice < 450000
+  union all select 'no status', o_orderkey, o_custkey, null, o_totalprice, o_orderdate, o_orderpriority from orders)
+select snapshot, count(*) as entity_nodes, (select count(*) from orders) as expected_rows,
        (count(distinct o_orderpriority) > 0 and count(distinct o_orderstatus) > 0
-        and count(*) >= count(*) * 0.9) as is_current
-from orders
+        and count(*) >= (select count(*) from orders) * 0.9) as is_current
+from snap group by snapshot
 """)
 def graph_is_current(spark, sf):
-    g = orders_graph(spark, sf)
-    expected = table(spark, sf, "orders").agg(F.count(F.lit(1)).alias("rows"))
-    return G.graph_is_current(g.nodes, expected, "Order",
-                              ["Order", "Priority", "Status"])
+    """Snapshots of the graph against the table they were made from: whole,
+    too few rows, a few rows short, and without one dimension."""
+    orders = table(spark, sf, "orders")
+    expected = orders.agg(F.count(F.lit(1)).alias("rows"))
+    snapshots = {"all": orders, "not low": orders.where("o_orderpriority <> '5-LOW'"),
+                 "cheap": orders.where("o_totalprice < 450000"),
+                 "no status": orders.withColumn("o_orderstatus", F.lit(None).cast("string"))}
+    out = None
+    for name, df in snapshots.items():
+        one = G.graph_is_current(G.build_graph(df, G.ORDERS_GRAPH).nodes, expected, "Order",
+                                 ["Order", "Priority", "Status"]).select(F.lit(name).alias("snapshot"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @register("match_1hop", """
