@@ -20,8 +20,6 @@ from pyspark.sql import types as T
 
 from .quantiles import exact_quantiles
 
-SKIP_TYPES = (T.MapType, T.VariantType) if hasattr(T, "VariantType") else (T.MapType,)
-
 
 def q(name: str):
     return F.col(f"`{name}`")
@@ -44,12 +42,21 @@ def missing(name: str, dtype):
 
 
 def as_text(name: str, dtype):
-    """Value as text for counting; NaN becomes null like in pandas."""
+    """Value as text for counting, equal for equal values: NaN becomes null
+    like in pandas, -0.0 is 0.0, nested values are JSON (maps with sorted
+    keys), so that ["a, b"] and ["a", "b"] differ."""
     c = q(name)
-    if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        c = F.when(~F.isnan(c), c)
-    if isinstance(dtype, T.MapType):
-        c = F.to_json(F.map_entries(c))
+    floats = (T.FloatType, T.DoubleType)
+    if isinstance(dtype, floats):
+        c = F.when(~F.isnan(c), c + F.lit(0.0).cast(dtype))
+    elif isinstance(dtype, T.ArrayType):
+        if isinstance(dtype.elementType, floats):
+            c = F.transform(c, lambda x: x + F.lit(0.0).cast(dtype.elementType))
+        c = F.to_json(c)
+    elif isinstance(dtype, T.MapType):
+        c = F.to_json(F.array_sort(F.map_entries(c)))
+    elif isinstance(dtype, (T.StructType, T.VariantType)):
+        c = F.to_json(c)
     return c.cast("string")
 
 
@@ -58,8 +65,7 @@ def _fields(df: DataFrame, columns=None):
     if columns is not None:
         wanted = set(columns)
         fields = [f for f in fields if f.name in wanted]
-    return [f for f in fields
-            if not (hasattr(T, "VariantType") and isinstance(f.dataType, T.VariantType))]
+    return list(fields)
 
 
 def schema_table(df: DataFrame) -> DataFrame:
@@ -171,9 +177,6 @@ def column_facts(df: DataFrame, vc: DataFrame | None = None) -> DataFrame:
                                          "null_count", "distinct_count", "groups")
 
 
-PERSIST = False  # measured: no gain at the test scales; see README
-
-
 def small_cached(df: DataFrame) -> DataFrame:
     """Materialise a small metadata table (one row per column) that many
     branches of a plan read, so its scans and shuffles run once.
@@ -187,13 +190,6 @@ def small_cached(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
-def persisted(df: DataFrame) -> DataFrame:
-    if not PERSIST:
-        return df
-    from pyspark import StorageLevel
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def value_counts(df: DataFrame, columns=None) -> DataFrame:
     """(column_name, value, n) for all values of the chosen columns; a null
     value stands for the missing cells."""
@@ -206,23 +202,6 @@ def value_counts(df: DataFrame, columns=None) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def shared_value_counts(df: DataFrame, columns=None) -> DataFrame:
-    """``value_counts`` for a table whose counts feed several results.
-
-    With ``PERSIST`` on, the table is persisted (memory, spilling to disk);
-    its lineage is short (one scan, one aggregation), so a lost executor only
-    recomputes lost blocks. Measured at the test scales it gave no gain, so
-    it is off and reuse goes through the small checkpointed column profile.
-    """
-    return persisted(value_counts(df, columns))
-
-
-def release(*frames) -> None:
-    for f in frames:
-        if f is not None and f.is_cached:
-            f.unpersist()
-
-
 def distinct_counts(df: DataFrame, vc: DataFrame | None = None,
                     exact: bool = True) -> DataFrame:
     """Distinct non-null values per column (pandas ``nunique``).

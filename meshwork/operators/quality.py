@@ -497,7 +497,7 @@ def assess(product: str, df: DataFrame, contract_columns: DataFrame | None = Non
     the small profile.
     """
     spark = df.sparkSession
-    vc = P.shared_value_counts(df)
+    vc = P.value_counts(df)
     prof = P.small_cached(P.column_profile(df, vc, allowed_lists(product, contract_columns)))
     comp = completeness_dimension(product, df, prof)
     dup = duplicate_rows(product, df, exact=exact_duplicates)

@@ -1,20 +1,21 @@
 """Exact quantiles with linear interpolation, without unbounded groups.
 
 ``percentile`` over a whole column merges every distinct value into one
-aggregation buffer, which does not scale. Here each (column, probability)
-keeps a value band known to contain the wanted ranks, plus the exact number
-of values below the band:
+aggregation buffer, which does not scale. Here each wanted rank of a column
+keeps an open value band known to contain it and the exact number of values
+up to the band:
 
 1. Start with the whole column as the band.
-2. While a band holds more than ``small`` values, narrow it: one pass
-   computes a ``percentile_approx`` sketch of the band (memory bounded by
-   ``accuracy``, rank error at most ``band / accuracy``) at the target rank
-   plus and minus a margin; a second pass counts exactly the values below
-   and inside the new band. Each round shrinks the band about
-   ``accuracy / 16`` times, so even 10**12 values need only two rounds.
-3. The final band's distinct values (at most ``small``; a value held by a
-   third of all rows is one row after map-side combine) are ranked in a
-   window and the two neighbouring ranks are interpolated.
+2. While a band holds more than ``small`` values, narrow it. One wide
+   aggregate over the original columns sketches the band with
+   ``percentile_approx`` (memory bounded by the accuracy) at the rank plus
+   and minus a margin; a second counts exactly the values below and equal to
+   both ends. A rank that falls on an end is solved, however many rows share
+   that value; otherwise the band between the ends, without them, is the
+   next one. A sketch that missed the rank is repeated with four times the
+   accuracy. Each round shrinks a band about ``accuracy / 16`` times.
+3. Rows inside the final bands (at most ``small`` each) are the only ones
+   that are exploded; they are counted by value and ranked in a window.
 
 The bookkeeping between rounds is a handful of numbers per column and is
 read on the driver; the data itself never leaves the executors.
@@ -26,126 +27,124 @@ the definition of pandas ('linear'), Spark ``percentile`` and DuckDB
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 DEFAULT_SMALL = 1_000_000
 DEFAULT_ACCURACY = 10_000
-
-
-def numeric_long(df: DataFrame, columns) -> DataFrame:
-    """(column_name, v double) for the non-null, non-NaN values."""
-    arms = []
-    for c in columns:
-        x = F.col(f"`{c}`").cast("double")
-        arms.append(F.struct(F.lit(c).alias("column_name"),
-                             F.when(~F.isnan(x), x).alias("v")))
-    return df.select(F.inline(F.array(*arms))).where(F.col("v").isNotNull())
-
-
-def _in_band(lo, hi):
-    v = F.col("v")
-    cond = F.lit(True)
-    if lo is not None:
-        cond = cond & (v >= F.lit(lo))
-    if hi is not None:
-        cond = cond & (v <= F.lit(hi))
-    return cond
+#: Aggregates that one job computes.
+PER_JOB = 120
+
+
+@dataclass
+class _Target:
+    """A wanted rank of a column and the open band that holds it."""
+    column: str
+    rank: int
+    inside: int
+    below: int = 0
+    low: float | None = None
+    high: float | None = None
+    accuracy: int = DEFAULT_ACCURACY
+    value: float | None = None
+
+    def number(self):
+        x = F.col(f"`{self.column}`").cast("double")
+        return F.when(~F.isnan(x), x)
+
+    def band(self):
+        """The value where it lies in the band, else null."""
+        x = self.number()
+        inside = x.isNotNull()
+        if self.low is not None:
+            inside = inside & (x > F.lit(self.low))
+        if self.high is not None:
+            inside = inside & (x < F.lit(self.high))
+        return F.when(inside, x)
+
+    def sketch(self):
+        at, margin = (self.rank - self.below) / self.inside, 8.0 / self.accuracy
+        ends = [max(at - margin, 0.0), min(at + 1 / self.inside + margin, 1.0)]
+        return F.percentile_approx(self.band(), ends, self.accuracy)
+
+    def narrow(self, low, high, counts):
+        """Take the ends of a sketch and the numbers of values below and up
+        to each of them."""
+        lt_low, le_low, lt_high, le_high = counts
+        if lt_low <= self.rank < le_low:
+            self.value = low
+        elif lt_high <= self.rank < le_high:
+            self.value = high
+        elif le_low <= self.rank < lt_high:
+            self.low, self.high, self.below, self.inside = low, high, le_low, lt_high - le_low
+        else:
+            self.accuracy *= 4
+
+
+def _wide(df: DataFrame, aggregates: list) -> list:
+    """One row of many aggregates, computed in jobs of bounded width."""
+    out = []
+    for i in range(0, len(aggregates), PER_JOB):
+        part = [a.alias(f"a{j}") for j, a in enumerate(aggregates[i:i + PER_JOB])]
+        out += list(df.agg(*part).first())
+    return out
 
 
 def exact_quantiles(df: DataFrame, columns, probs, small: int = DEFAULT_SMALL,
-                    accuracy: int = DEFAULT_ACCURACY, **_ignored) -> DataFrame:
+                    accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
     """Return ``(column_name, p, value)`` for every column and probability.
 
     Columns without values give no row.
     """
     spark = df.sparkSession
-    columns = list(columns)
-    probs = [float(p) for p in probs]
+    columns, probs = list(columns), [float(p) for p in probs]
     schema = "column_name string, p double, value double"
     if not columns or not probs:
         return spark.createDataFrame([], schema)
-    long = numeric_long(df, columns)
-    def nonmissing(c):
-        x = F.col(f"`{c}`").cast("double")
-        return F.count(F.when(~F.isnan(x), x))
-    counts = df.agg(*[nonmissing(c).alias(f"c{i}") for i, c in enumerate(columns)]).first()
-    state = {}
-    for i, c in enumerate(columns):
-        n = counts[f"c{i}"]
-        if not n:
-            continue
-        for p in probs:
-            h = (n - 1) * p
-            lo_rank = math.floor(h)
-            state[(c, p)] = dict(n=n, h=h, lo_rank=lo_rank,
-                                 hi_rank=min(lo_rank + 1, n - 1),
-                                 b_lo=None, b_hi=None, below=0, inside=n)
-    margin = 8.0 / accuracy
-    while True:
-        wide = {k: s for k, s in state.items() if s["inside"] > small}
-        if not wide:
-            break
-        keys = list(wide)
-        sk = []
-        for j, (c, p) in enumerate(keys):
-            s = wide[(c, p)]
-            q_lo = max((s["lo_rank"] - s["below"]) / s["inside"] - margin, 0.0)
-            q_hi = min((s["hi_rank"] - s["below"] + 1) / s["inside"] + margin, 1.0)
-            x = F.when((F.col("column_name") == c) & _in_band(s["b_lo"], s["b_hi"]),
-                       F.col("v"))
-            sk.append(F.percentile_approx(x, [q_lo, q_hi], accuracy).alias(f"s{j}"))
-        bands = long.agg(*sk).first()
-        cnt = []
-        for j, (c, p) in enumerate(keys):
-            lo, hi = bands[f"s{j}"]
-            wide[(c, p)]["new"] = (lo, hi)
-            own = F.col("column_name") == c
-            cnt += [F.count_if(own & (F.col("v") < F.lit(lo))).alias(f"b{j}"),
-                    F.count_if(own & _in_band(lo, hi)).alias(f"i{j}")]
-        got = long.agg(*cnt).first()
-        progressed = False
-        for j, key in enumerate(keys):
-            s = state[key]
-            lo, hi = s.pop("new")
-            below, inside = got[f"b{j}"], got[f"i{j}"]
-            # keep the new band only if it still holds both wanted ranks
-            if below <= s["lo_rank"] and below + inside > s["hi_rank"] and inside < s["inside"]:
-                s.update(b_lo=lo, b_hi=hi, below=below, inside=inside)
-                progressed = True
-            else:
-                s["inside"] = min(s["inside"], small)  # stop refining this one
-        if not progressed:
-            break
-    # final pass: rank the distinct values inside every band
-    rows = [(c, p, s["below"], s["lo_rank"], s["hi_rank"], s["h"] - math.floor(s["h"]),
-             s["b_lo"], s["b_hi"]) for (c, p), s in state.items()]
-    targets = spark.createDataFrame(
-        rows, "column_name string, p double, below long, lo_rank long, hi_rank long, "
-              "frac double, b_lo double, b_hi double")
-    v = F.col("v")
-    band = (long.join(F.broadcast(targets), "column_name")
-            .where((F.col("b_lo").isNull() | (v >= F.col("b_lo")))
-                   & (F.col("b_hi").isNull() | (v <= F.col("b_hi"))))
-            .groupBy("column_name", "p", "v")
-            .agg(F.count(F.lit(1)).alias("n")))
-    w = Window.partitionBy("column_name", "p").orderBy("v").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    ranked = (band.join(F.broadcast(targets.select("column_name", "p", "below", "lo_rank",
-                                                   "hi_rank", "frac")), ["column_name", "p"])
-              .withColumn("cum", F.col("below") + F.sum("n").over(w))
-              .withColumn("start", F.col("cum") - F.col("n")))
-    hit_lo = (F.col("lo_rank") >= F.col("start")) & (F.col("lo_rank") < F.col("cum"))
-    hit_hi = (F.col("hi_rank") >= F.col("start")) & (F.col("hi_rank") < F.col("cum"))
-    picked = (ranked.where(hit_lo | hit_hi).groupBy("column_name", "p")
-              .agg(F.max(F.when(hit_lo, v)).alias("lo_v"),
-                   F.max(F.when(hit_hi, v)).alias("hi_v"),
-                   F.max("frac").alias("frac")))
+    counts = dict(zip(columns, _wide(df, [F.count(_Target(c, 0, 0).number()) for c in columns])))
+    wanted, targets = [], {}
+    for c in columns:
+        for p in probs if counts[c] else []:
+            h = (counts[c] - 1) * p
+            ranks = (math.floor(h), min(math.floor(h) + 1, counts[c] - 1))
+            wanted.append((c, p, *ranks, h - math.floor(h)))
+            for r in ranks:
+                targets.setdefault((c, r), _Target(c, r, counts[c], accuracy=accuracy))
+    while wide := [t for t in targets.values() if t.value is None and t.inside > small]:
+        ends = _wide(df, [t.sketch() for t in wide])
+        tests = []
+        for t, (low, high) in zip(wide, ends):
+            x = t.number()
+            tests += [F.count_if(x < F.lit(low)), F.count_if(x <= F.lit(low)),
+                      F.count_if(x < F.lit(high)), F.count_if(x <= F.lit(high))]
+        got = _wide(df, tests)
+        for i, (t, (low, high)) in enumerate(zip(wide, ends)):
+            t.narrow(low, high, got[4 * i:4 * i + 4])
+    found = {(t.column, t.rank): t.value for t in targets.values()}
+    solved = spark.createDataFrame([(c, r, v) for (c, r), v in found.items() if v is not None],
+                                   "column_name string, rank long, value double")
+    open_ = [t for t in targets.values() if t.value is None]
+    if open_:
+        arms = F.array(*[F.struct(F.lit(t.column).alias("column_name"), F.lit(t.rank).cast("long").alias("rank"),
+                                  F.lit(t.below).cast("long").alias("below"), t.band().alias("v")) for t in open_])
+        band = (df.select(F.inline(arms)).where(F.col("v").isNotNull())
+                .groupBy("column_name", "rank", "below", "v").agg(F.count(F.lit(1)).alias("n")))
+        upto = Window.partitionBy("column_name", "rank").orderBy("v").rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)
+        end = F.col("below") + F.sum("n").over(upto)
+        ranked = band.withColumn("end", end).where(
+            (F.col("end") > F.col("rank")) & (F.col("end") - F.col("n") <= F.col("rank")))
+        solved = solved.unionByName(ranked.select("column_name", "rank", F.col("v").alias("value")))
+    wanted = spark.createDataFrame(wanted, "column_name string, p double, lo long, hi long, frac double")
+    of = lambda rank, name: F.max(F.when(F.col("rank") == F.col(rank), F.col("value"))).alias(name)
+    both = (F.broadcast(wanted).join(solved, "column_name")
+            .where((F.col("rank") == F.col("lo")) | (F.col("rank") == F.col("hi")))
+            .groupBy("column_name", "p", "frac").agg(of("lo", "lo_v"), of("hi", "hi_v")))
     value = F.when(F.col("frac") == 0, F.col("lo_v")).otherwise(
         F.col("lo_v") + (F.col("hi_v") - F.col("lo_v")) * F.col("frac"))
-    return picked.select("column_name", "p", value.alias("value"))
+    return both.select("column_name", "p", value.alias("value"))
 
 
 def quantile_wide(df: DataFrame, columns, probs, **kw) -> DataFrame:
@@ -155,7 +154,3 @@ def quantile_wide(df: DataFrame, columns, probs, **kw) -> DataFrame:
     aggs = [F.max(F.when(F.col("p") == float(p), F.col("value"))).alias(f"q_{i}")
             for i, p in enumerate(probs)]
     return long.groupBy("column_name").agg(*aggs)
-
-
-NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
-           T.DoubleType, T.DecimalType)

@@ -26,7 +26,7 @@ def term_index(glossary: DataFrame) -> DataFrame:
         "term", "term_order",
         F.posexplode(F.concat(F.array("term"), "synonyms")).alias("pos", "k"))
     keys = keys.select(F.lower("k").alias("key"), "term",
-                       (F.col("term_order") * 10_000 + F.col("pos")).alias("o"))
+                       (F.col("term_order").cast("long") * 2**32 + F.col("pos")).alias("o"))
     w = Window.partitionBy("key")
     return (keys.withColumn("key_order", F.min("o").over(w))
             .groupBy("key", "term").agg(F.min("key_order").alias("key_order")))

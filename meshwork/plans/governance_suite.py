@@ -8,7 +8,7 @@ from ..operators import contract as C
 from ..operators import governance as E
 from ..operators import quality as D
 from . import seeds
-from .quality_suite import orders_contract, sql_report
+from .quality_suite import clean_contract, orders_contract, sql_report
 from .registry import register
 from .tables import TABLES, all_tables, table
 from .views import VIEWS, with_views
@@ -114,9 +114,9 @@ def _compliance(spark, sf):
         x = C.infer_contract(name, df)
         cc = x if cc is None else cc.unionByName(x)
     pol = E.access_policies(E.columns_table(spark, frames))
-    scores = None
+    scores, contract = None, clean_contract(spark, sf)
     for name in ("orders_nulls", "orders_badvals"):
-        r = D.assess(name, frames[name], orders_contract(spark, sf, name)).report
+        r = D.assess(name, frames[name], orders_contract(spark, sf, name, contract)).report
         scores = r if scores is None else scores.unionByName(r)
     return E.compliance_checks(prods, contracts, cc, pol, scores)
 

@@ -114,7 +114,7 @@ def steps(spark, sf):
                     F.col("turn").alias("step"), F.col("role").alias("agent"),
                     F.when(F.col("role") == "system", "error").otherwise("success").alias("status"),
                     F.length("text").cast("double").alias("duration_ms"),
-                    F.substring("text", 1, 120).alias("message"))
+                    F.col("text").alias("message"))
 
 
 @register("run_steps", """

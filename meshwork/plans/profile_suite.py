@@ -191,16 +191,19 @@ def infer_contract(spark, sf):
     return _flat_contract(C.infer_contract("orders_nulls", VIEWS["orders_nulls"](spark, sf)))
 
 
-def orders_contract(spark, sf, product):
-    """The contract inferred on clean ``orders``, applied to ``product``."""
-    from .quality_suite import orders_contract as shared
-    return shared(spark, sf, product)
+def orders_contract(spark, sf):
+    """The contract inferred on clean ``orders``, with one column more than
+    the data has."""
+    from .quality_suite import clean_contract
+    absent = spark.createDataFrame([("orders", "o_comment", "string", True, False, None, "")], C.COLUMN_SCHEMA)
+    return clean_contract(spark, sf).unionByName(absent)
 
 
 def _viol_arms(view):
     """SQL arms of the contract checks of ``view`` against the contract
     inferred (in SQL) on clean orders."""
-    arms = []
+    arms = [f"select '{view}' as product, 'o_comment' as column_name, 'missing' as \"check\", "
+            f"'Missing column: o_comment' as message, true as hit"]
     for c, _t, is_text in ORDERS_COLS:
         nulls = f"count(*) filter (where {c} is null)"
         arms.append(
@@ -228,11 +231,15 @@ _VIOL_SQL = ("with v as (\n" + "\nunion all ".join(
     + "\n)\nselect product, column_name, \"check\", message from v where hit\n")
 
 
-def _violations(spark, sf):
-    out = None
-    for name in ("orders_nulls", "orders_dups", "orders_badvals"):
-        df = VIEWS[name](spark, sf)
-        v = C.contract_violations(name, df, orders_contract(spark, sf, name))
+def _violations(spark, sf, clean=False):
+    out, contract = None, orders_contract(spark, sf)
+    frames = {name: VIEWS[name](spark, sf) for name in ("orders_nulls", "orders_dups", "orders_badvals")}
+    if clean:
+        frames["orders"] = table(spark, sf, "orders")
+        # the clean table against its own contract: no violation
+        out = C.contract_violations("orders", frames.pop("orders"), contract.where("column_name <> 'o_comment'"))
+    for name, df in frames.items():
+        v = C.contract_violations(name, df, contract.withColumn("product", F.lit(name)))
         out = v if out is None else out.unionByName(v)
     return out
 
@@ -247,18 +254,17 @@ def contract_violations(spark, sf):
     "with " + _VIOL_SQL.strip()[5:].replace(
         "select product, column_name, \"check\", message from v where hit",
         """, p(product) as (values ('orders'), ('orders_nulls'), ('orders_dups'), ('orders_badvals')),
-c as (select product, count(*) as n from v where hit group by 1)
+c as (select product, count(*) as n, string_agg(message, '; ' order by message) as violations
+      from v where hit group by 1)
 select p.product, '1.0.0' as contract_version, coalesce(c.n, 0) as violation_count,
-       coalesce(c.n, 0) = 0 as is_compliant
+       coalesce(c.violations, '') as violations, coalesce(c.n, 0) = 0 as is_compliant
 from p left join c using (product)"""),
     "orders_nulls", "orders_dups", "orders_badvals"))
 def contract_status(spark, sf):
     names = ["orders", "orders_nulls", "orders_dups", "orders_badvals"]
     contracts = C.default_contract(C.product_table(spark, names))
-    viol = _violations(spark, sf).unionByName(
-        C.contract_violations("orders", table(spark, sf, "orders"),
-                              orders_contract(spark, sf, "orders")))
-    return C.contract_status(contracts, viol).drop("violations")
+    status = C.contract_status(contracts, _violations(spark, sf, clean=True))
+    return status.withColumn("violations", F.array_join("violations", "; "))
 
 
 @register("compliance_report", with_views(
@@ -272,3 +278,29 @@ select count(*) as total_products, count(*) filter (where ok) as compliant,
     "orders_nulls", "orders_dups", "orders_badvals"))
 def compliance_report(spark, sf):
     return C.compliance_report(contract_status(spark, sf))
+
+
+@register("profile_nested", """
+select 'embeddings' as product, 'embedding' as column_name, count(distinct embedding) as distinct_count from embeddings
+union all select 'embeddings', 'label', count(distinct label) from embeddings
+union all select 'embeddings', 'vec_id', count(distinct vec_id) from embeddings
+union all select 'signed zeros', 'x', count(distinct case when o_orderstatus = 'F' then 1.5 else 0 end) from orders
+union all select 'signed zeros', 'pair', count(distinct [o_orderstatus, o_orderpriority]) from orders
+union all select 'signed zeros', 'record', count(distinct {'a': o_orderstatus, 'b': o_orderpriority}) from orders
+union all select 'signed zeros', 'entries', count(distinct [o_orderpriority, o_orderstatus]) from orders
+""")
+def profile_nested(spark, sf):
+    """Distinct values of array, struct and map columns and of a number that
+    is 0.0, -0.0 or 1.5."""
+    zero = (F.when(F.col("o_orderstatus") == "P", F.lit(-0.0)).when(F.col("o_orderstatus") == "O", F.lit(0.0))
+            .otherwise(1.5))
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    zeros = table(spark, sf, "orders").select(
+        zero.alias("x"), F.array(status, priority).alias("pair"),
+        F.struct(status.alias("a"), priority.alias("b")).alias("record"),
+        F.create_map(priority, status).alias("entries"))
+    out = None
+    for name, df in (("embeddings", table(spark, sf, "embeddings")), ("signed zeros", zeros)):
+        one = P.distinct_counts(df).select(F.lit(name).alias("product"), "column_name", "distinct_count")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -22,16 +22,16 @@ LINEITEM_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                 "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
-_CONTRACTS: dict = {}
+def clean_contract(spark, sf):
+    """The contract inferred on clean ``orders``, as a small table that the
+    branches of a key read."""
+    return P.small_cached(C.infer_contract("orders", table(spark, sf, "orders")))
 
 
-def orders_contract(spark, sf, product):
-    """The contract inferred on clean ``orders`` (one small table per
-    session and scale, cached: many keys apply it)."""
-    key = (id(spark), sf)
-    if key not in _CONTRACTS:
-        _CONTRACTS[key] = C.infer_contract("orders", table(spark, sf, "orders")).cache()
-    return _CONTRACTS[key].withColumn("product", F.lit(product))
+def orders_contract(spark, sf, product, contract=None):
+    """That contract (``contract`` if made before) for ``product``."""
+    contract = clean_contract(spark, sf) if contract is None else contract
+    return contract.withColumn("product", F.lit(product))
 
 
 # -- SQL builders (DuckDB) ---------------------------------------------------------
@@ -158,8 +158,8 @@ def grade_sql(x):
 REPORT_VIEWS = ("orders_nulls", "orders_dups", "orders_badvals")
 
 
-def _assess(spark, sf, name):
-    return D.assess(name, VIEWS[name](spark, sf), orders_contract(spark, sf, name))
+def _assess(spark, sf, name, contract=None):
+    return D.assess(name, VIEWS[name](spark, sf), orders_contract(spark, sf, name, contract))
 
 
 # -- keys ------------------------------------------------------------------------------
@@ -345,9 +345,9 @@ select product, round(composite, 1) as composite_score, {grade_sql('composite')}
        total_issues::bigint as total_issues, critical_count::bigint as critical_count
 from ({_REPORT_SQL})""", *REPORT_VIEWS))
 def quality_report(spark, sf):
-    out = None
+    out, contract = None, clean_contract(spark, sf)
     for name in REPORT_VIEWS:
-        r = _assess(spark, sf, name).report
+        r = _assess(spark, sf, name, contract).report
         out = r if out is None else out.unionByName(r)
     return out.select("product", "composite_score", "grade", "total_issues",
                       F.size("critical_issues").cast("bigint").alias("critical_count"))
@@ -358,28 +358,43 @@ select count(*) as total_assessed, round(avg(round(composite, 1)), 1) as average
        sum(total_issues)::bigint as total_issues
 from ({_REPORT_SQL})""", *REPORT_VIEWS))
 def quality_summary(spark, sf):
-    out = None
+    out, contract = None, clean_contract(spark, sf)
     for name in REPORT_VIEWS:
-        r = _assess(spark, sf, name).report
+        r = _assess(spark, sf, name, contract).report
         out = r if out is None else out.unionByName(r)
     return D.quality_summary(out)
 
 
-@register("check_expectations", with_views(f"""
-with c as {sql_completeness('orders_nulls', ORDERS_ALL)},
-d as {sql_dups('orders_nulls')}
-select 'orders_nulls' as product, e.expectation, e.threshold, e.actual, e.passed
-from (
-  select 'min_completeness' as expectation, 0.95::double as threshold, c.score / 100 as actual,
-         c.score / 100 >= 0.95 as passed from c
-  union all
-  select 'max_duplicates_percent', 5.0, round(d.pct, 2), round(d.pct, 2) <= 5.0 from d
-) e""", "orders_nulls"))
+def sql_unique_pct(view):
+    return "(" + "\nunion all ".join(
+        f"select round(count(distinct {c}) / greatest(count(*), 1) * 100, 2) as pct from {view}" for c in ORDERS_ALL) + ")"
+
+
+def sql_valid_pct(view):
+    return "(" + "\nunion all ".join(
+        f"""select round((count(*) filter (where list_contains(
+                (select allowed from {sql_allowed()} a where a.column_name = '{c}'), {c}))
+              + count(*) filter (where {c} is null)) / count(*) * 100, 2) as pct from {view}""" for c in ORDERS_TEXT) + ")"
+
+
+def sql_expectations(view):
+    return f"""
+    select '{view}' as product, 'min_completeness' as expectation, 0.95::double as threshold,
+           c.score / 100 as actual, c.score / 100 >= 0.95 as passed from {sql_completeness(view, ORDERS_ALL)} c
+    union all
+    select '{view}', 'min_uniqueness', 0.0, max(pct) / 100, max(pct) / 100 >= 0.0 from {sql_unique_pct(view)}
+    union all
+    select '{view}', 'min_validity', 0.9, min(pct) / 100, min(pct) / 100 >= 0.9 from {sql_valid_pct(view)}
+    union all
+    select '{view}', 'max_duplicates_percent', 5.0, round(d.pct, 2), round(d.pct, 2) <= 5.0 from {sql_dups(view)} d"""
+
+
+@register("check_expectations", with_views("\nunion all ".join(map(sql_expectations, REPORT_VIEWS)), *REPORT_VIEWS))
 def check_expectations(spark, sf):
-    df = VIEWS["orders_nulls"](spark, sf)
-    dims = D.completeness_dimension("orders_nulls", df)
-    dup = D.duplicate_rows("orders_nulls", df)
-    cols = D.column_quality("orders_nulls", df)
-    out = C.check_expectations("orders_nulls", dims, dup, cols)
-    return out.where(F.col("expectation").isin("min_completeness",
-                                                "max_duplicates_percent"))
+    out, contract = None, clean_contract(spark, sf)
+    for name in REPORT_VIEWS:
+        df = VIEWS[name](spark, sf)
+        cols = D.column_quality(name, df, orders_contract(spark, sf, name, contract))
+        one = C.check_expectations(name, D.completeness_dimension(name, df), D.duplicate_rows(name, df), cols)
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -23,8 +23,8 @@ GLOSSARY_SQL = "(values " + ", ".join(
 
 INDEX_SQL = f"""
 idx as (
-  select key, term, cast(min(min(o)) over (partition by key) as integer) as key_order
-  from (select lower(k) as key, term, term_order * 10000 + pos as o
+  select key, term, min(min(o)) over (partition by key) as key_order
+  from (select lower(k) as key, term, term_order::bigint * 4294967296 + pos as o
         from (select term, term_order, unnest([term] || synonyms) as k,
                      generate_subscripts([term] || synonyms, 1) - 1 as pos
               from {GLOSSARY_SQL}))
@@ -90,7 +90,7 @@ px as (select p.*, p.phrase in (select key from k) as is_ex from p),
 m as (select px.doc_id, px.pos, px.len, idx.term, idx.key_order from px, idx
       where case when px.is_ex then idx.key = px.phrase
                  else contains(idx.key, px.phrase) or contains(px.phrase, idx.key) end),
-f as (select doc_id, term, min(pos * 1000000 + len * 100000 + key_order) as first from m group by 1, 2),
+f as (select doc_id, term, min([pos, len, key_order]) as first from m group by 1, 2),
 a as (select f.doc_id, string_agg(f.term, '|' order by f.first) as resolved_terms,
              array_to_string(list_sort(list_distinct(flatten(list(g.related_columns)))), ',') as suggested_columns
       from f join {GLOSSARY_SQL} using (term) group by f.doc_id)
