@@ -7,6 +7,8 @@ them).
 """
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,11 @@ def columns_table(spark, products: dict) -> DataFrame:
     return spark.createDataFrame(rows, "product string, column_name string, ordinal int")
 
 
+def is_pii_name(name: str) -> bool:
+    """The same rule for a name that is known when the plan is made."""
+    return any(re.search(p, name) for p in PII_PATTERNS)
+
+
 def pii_pattern_id(name: Column) -> Column:
     """Number (1-based) of the first personal-data pattern the name matches."""
     out = F.lit(None).cast("int")

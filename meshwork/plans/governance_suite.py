@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import contract as C
 from ..operators import governance as E
+from ..operators import profile as P
 from ..operators import quality as D
 from . import seeds
 from .quality_suite import clean_contract, orders_contract, sql_report
@@ -26,12 +27,45 @@ def _columns(spark, sf):
     return E.columns_table(spark, all_tables(spark, sf))
 
 
+#: The personal-data columns of the test tables, for the SQL side.
+PII_COLUMNS = {"customer": "c_name", "nation": "n_name", "part": "p_name", "region": "r_name",
+               "supplier": "s_name", "events": "user_id", "pages": "page_id"}
+_ROWS_SQL = "(" + " union all ".join(f"select '{t}' as product, count(*) as row_count from {t}" for t in TABLES) + ")"
+_PRESENT_SQL = "(" + " union all ".join(
+    f"select '{t}' as product, '{c}' as column_name, count({c}) as present, count(distinct {c}) as distinct_count from {t}"
+    for t, c in PII_COLUMNS.items()) + ")"
+
+
 @register("pii_columns", f"""
-select product, column_name, pattern_id from ({COLS_SQL}) where pattern_id is not null
+select c.product, c.column_name, c.pattern_id, v.present, v.distinct_count
+from ({COLS_SQL}) c left join {_PRESENT_SQL} v using (product, column_name) where c.pattern_id is not null
 """)
 def pii_columns(spark, sf):
-    return E.detect_pii_columns(_columns(spark, sf)).select("product", "column_name",
-                                                            "pattern_id")
+    """Personal-data columns with the number of values and of different
+    values they hold."""
+    tables = all_tables(spark, sf)
+    found = E.detect_pii_columns(E.columns_table(spark, tables))
+    held = None
+    for name, df in tables.items():
+        # the finding decides which columns are read
+        own = [c for c in df.columns if E.is_pii_name(c)]
+        if own:
+            arms = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("present"),
+                                      F.col(f"d{i}").alias("distinct_count")) for i, c in enumerate(own)])
+            one = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(own)],
+                         *[F.count_distinct(c).alias(f"d{i}") for i, c in enumerate(own)]).select(
+                F.lit(name).alias("product"), F.inline(arms))
+            held = one if held is None else held.unionByName(one)
+    return found.join(held, ["product", "column_name"], "left").select(
+        "product", "column_name", "pattern_id", "present", "distinct_count")
+
+
+def _row_counts(spark, sf):
+    out = None
+    for name, df in all_tables(spark, sf).items():
+        one = P.row_count(df).select(F.lit(name).alias("product"), "row_count")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 POLICY_SQL = f"""
@@ -43,12 +77,15 @@ from ({COLS_SQL}) group by product"""
 
 
 @register("access_policies", f"""
-select product, access_level, restricted_columns from ({POLICY_SQL})
+select product, access_level, restricted_columns, row_count as rows_governed
+from ({POLICY_SQL}) join {_ROWS_SQL} using (product)
 """)
 def access_policies(spark, sf):
-    return E.access_policies(_columns(spark, sf)).select(
+    """Policies with the rows they govern."""
+    return E.access_policies(_columns(spark, sf)).join(_row_counts(spark, sf), "product").select(
         "product", "access_level",
-        F.array_join("restricted_columns", ",").alias("restricted_columns"))
+        F.array_join("restricted_columns", ",").alias("restricted_columns"),
+        F.col("row_count").alias("rows_governed"))
 
 
 ROLES = ("analyst", "manager", "data_engineer", "guest")
@@ -65,8 +102,11 @@ select p.product, r.role,
             then 'Role ''' || r.role || ''' not in allowed roles: [''analyst'', ''manager'', ''data_engineer'']'
             when p.restricted_columns <> '' and r.role not in ('manager', 'data_engineer')
             then 'Columns ' || p.restricted_repr || ' are restricted (PII). Role ''' || r.role || ''' needs escalation.'
-            else 'Access granted' end as reason
-from p, r
+            else 'Access granted' end as reason,
+       case when r.role not in ('analyst', 'manager', 'data_engineer') then 0
+            when p.restricted_columns <> '' and r.role not in ('manager', 'data_engineer') then 0
+            else n.row_count end as rows_readable
+from p join {_ROWS_SQL} n using (product), r
 """)
 def access_decisions(spark, sf):
     cols = _columns(spark, sf)
@@ -75,11 +115,18 @@ def access_decisions(spark, sf):
            .agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "column_name"))),
                             lambda s: s["column_name"]).alias("columns"))
            .crossJoin(spark.createDataFrame([(r,) for r in ROLES], "role string")))
-    return E.check_access(req, pol).select("product", "role", "allowed", "reason")
+    # the decision comes before the data: rows of refused requests are not returned
+    return E.check_access(req, pol).join(_row_counts(spark, sf), "product").select(
+        "product", "role", "allowed", "reason",
+        F.when(F.col("allowed"), F.col("row_count")).otherwise(0).alias("rows_readable"))
 
 
 @register("validate_queries", """
-with u as (select conv_id, turn, upper(text) as u from conversations),
+with u as (select conv_id, turn, upper(case when role = 'user' then 'match (n) set n.x = 1 return n; '
+                                            when role = 'system' then 'match (n) return n, n.offset; '
+                                            when turn % 3 = 0 then 'create index on :n(x); '
+                                            when turn % 3 = 1 then 'select 1; delete from t; update t; ' else '' end || text) as u
+           from conversations),
 s as (select conv_id, turn, u,
         list_filter(['DROP', 'DELETE', 'UPDATE', 'INSERT', 'ALTER', 'TRUNCATE', 'GRANT'],
                     lambda k: contains(u, k)) as sql_hits,
@@ -96,16 +143,27 @@ select conv_id, turn, case when len(found) > 0 then 'fail' else 'pass' end as st
 from f
 """)
 def validate_queries(spark, sf):
+    """Texts behind statements that change data (before or after RETURN),
+    create an index or only read."""
     conv = table(spark, sf, "conversations")
-    return E.validate_queries(conv, "text").select("conv_id", "turn", "status", "message")
+    turn = F.col("turn") % 3
+    head = (F.when(F.col("role") == "user", "match (n) set n.x = 1 return n; ")
+            .when(F.col("role") == "system", "match (n) return n, n.offset; ")
+            .when(turn == 0, "create index on :n(x); ")
+            .when(turn == 1, "select 1; delete from t; update t; ").otherwise(""))
+    return E.validate_queries(conv.withColumn("text", F.concat(head, "text")), "text").select(
+        "conv_id", "turn", "status", "message")
 
 
-CHECK_PRODUCTS = ("orders", "orders_nulls", "orders_badvals")
+# supplier has no contract, part no owner, customer an undescribed column;
+# customer, part and supplier hold personal data
+CHECK_PRODUCTS = ("orders", "orders_nulls", "orders_badvals", "customer", "part", "supplier")
 
 
 def _compliance(spark, sf):
     prods = C.product_table(spark, CHECK_PRODUCTS)
-    contracts = C.default_contract(prods)
+    contracts = C.default_contract(prods.where("product <> 'supplier'")).withColumn(
+        "owner", F.when(F.col("product") == "part", "unknown").otherwise(F.col("owner")))
     frames = {"orders": table(spark, sf, "orders"),
               "orders_nulls": VIEWS["orders_nulls"](spark, sf),
               "orders_badvals": VIEWS["orders_badvals"](spark, sf)}
@@ -113,6 +171,11 @@ def _compliance(spark, sf):
     for name, df in frames.items():
         x = C.infer_contract(name, df)
         cc = x if cc is None else cc.unionByName(x)
+    for name in ("customer", "part"):
+        x = C.infer_contract(name, table(spark, sf, name))
+        cc = cc.unionByName(x.withColumn("description", F.when(
+            F.col("column_name") != "c_acctbal", F.col("description")).otherwise("")))
+    frames |= {name: table(spark, sf, name) for name in ("customer", "part", "supplier")}
     pol = E.access_policies(E.columns_table(spark, frames))
     scores, contract = None, clean_contract(spark, sf)
     for name in ("orders_nulls", "orders_badvals"):
@@ -124,16 +187,28 @@ def _compliance(spark, sf):
 _SCORES_SQL = "\nunion all ".join(sql_report(v) for v in ("orders_nulls", "orders_badvals"))
 _CHECK_SQL = with_views(f"""
 with s as (select product, round(composite, 1) as score from ({_SCORES_SQL})),
-p(product) as (values ('orders'), ('orders_nulls'), ('orders_badvals'))
-select p.product, r.rule_id, r.status, r.message from p
+p(product, source, contract, owner) as (values
+  ('orders', 'orders', true, 'auto-detected'), ('orders_nulls', 'orders', true, 'auto-detected'),
+  ('orders_badvals', 'orders', true, 'auto-detected'), ('customer', 'customer', true, 'auto-detected'),
+  ('part', 'part', true, 'unknown'), ('supplier', 'supplier', false, null)),
+k as (select p.product, p.contract, p.owner, count(*) as total,
+             count(*) filter (where c.column_name <> 'c_acctbal') as documented,
+             '[' || string_agg(chr(39) || c.column_name || chr(39), ', ' order by c.ordinal) filter (where c.pattern_id is not null) || ']' as pii
+      from p join ({COLS_SQL}) c on c.product = p.source group by all)
+select p.product, r.rule_id, r.status, r.message from k p
 cross join lateral (
-  select 'G001' as rule_id, 'pass' as status, 'Data contract exists' as message
-  union all select 'G002', 'pass', 'No PII detected'
+  select 'G001' as rule_id, case when p.contract then 'pass' else 'fail' end as status,
+         case when p.contract then 'Data contract exists' else 'No data contract defined' end as message
+  union all select 'G002', case when p.pii is null then 'pass' else 'warning' end,
+                   coalesce('PII columns detected: ' || p.pii, 'No PII detected') where p.contract
   union all select 'G003', case when s.score >= 70 then 'pass' else 'fail' end,
                    'Quality score: ' || printf('%.1f', round(s.score, 1)) || '/100'
             from s where s.product = p.product
-  union all select 'G004', 'pass', '6/6 columns documented'
-  union all select 'G005', 'pass', 'Owner: auto-detected') r
+  union all select 'G004', case when p.documented = p.total then 'pass' else 'warning' end,
+                   p.documented || '/' || p.total || ' columns documented' where p.contract
+  union all select 'G005', case when p.owner <> 'unknown' then 'pass' else 'fail' end,
+                   case when p.owner <> 'unknown' then 'Owner: ' || p.owner else 'No owner assigned' end
+            where p.contract) r
 """, "orders_nulls", "orders_badvals")
 
 
@@ -154,7 +229,7 @@ def compliance_history(spark, sf):
 with p as ({POLICY_SQL})
 select 6::bigint as total_rules, 1::bigint as domain_rules, count(*) as access_policies,
        string_agg(product, ',' order by product) filter (where access_level = 'restricted') as pii_products,
-       3::bigint as compliance_checks
+       6::bigint as compliance_checks
 from p
 """)
 def compliance_summary(spark, sf):
@@ -267,17 +342,25 @@ def extract_query_text(spark, sf):
 
 
 @register("classify_errors", """
+with e as (select conv_id, turn, case when role = 'user' then 'Error 429: tokens per day. '
+                                        when role = 'system' then 'The model does not exist. '
+                                        when turn % 2 = 0 then 'Rate limit per minute. ' else '' end || text as text
+           from conversations)
 select conv_id, turn,
        (contains(lower(text), '429') or contains(lower(text), 'rate_limit') or contains(lower(text), 'rate limit')) as rate_limit,
        (contains(lower(text), '429') or contains(lower(text), 'rate_limit') or contains(lower(text), 'rate limit'))
          and (contains(lower(text), 'per day') or contains(lower(text), 'tpd')) as daily_limit,
        (contains(lower(text), 'decommission') or contains(lower(text), 'not found') or contains(lower(text), 'does not exist')
          or contains(lower(text), 'model_not_active') or contains(lower(text), 'invalid model')) as model_unavailable
-from conversations
+from e
 """)
 def classify_errors(spark, sf):
+    """Texts behind error messages of every class and none."""
     c = table(spark, sf, "conversations")
-    t = F.col("text")
+    head = (F.when(F.col("role") == "user", "Error 429: tokens per day. ")
+            .when(F.col("role") == "system", "The model does not exist. ")
+            .when(F.col("turn") % 2 == 0, "Rate limit per minute. ").otherwise(""))
+    t = F.concat(head, "text")
     return c.select("conv_id", "turn", X.is_rate_limit(t).alias("rate_limit"),
                     X.is_daily_limit(t).alias("daily_limit"),
                     X.is_model_unavailable(t).alias("model_unavailable"))
