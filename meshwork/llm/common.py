@@ -8,21 +8,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.session import checkpoint_dir
+
 #: Text handled at once by the numpy kernels; bounds a task's memory whatever
 #: the number of documents in an Arrow batch.
 BLOCK_BYTES = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``."""
-    folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-        if not folder:
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/")
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``
+    (a local session without that setting gets a folder of its own)."""
+    return checkpoint_dir(spark).rstrip("/")
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -67,6 +63,64 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLO
             start = stop
 
 
+_K1, _K2, _K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
+_S29, _S31, _S32, _S33 = (np.uint64(x) for x in (29, 31, 32, 33))
+
+
+def refine(first, later):
+    """The 64-bit identifier of a longer string, from those of the string at
+    its start and of the string at a later offset."""
+    x = first * _K1
+    x += (later << _S31 | later >> _S33) * _K2
+    x ^= x >> _S29
+    x *= _K3
+    x ^= x >> _S32
+    return x
+
+
+_BASE = np.uint64(0x2545F4914F6CDD1D)
+_LETTERS = np.random.default_rng(20240607).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers_of(n):
+    """Powers of _BASE and of its inverse modulo 2**64."""
+    if len(_powers[0]) < n:
+        for i, base in enumerate((_BASE, np.uint64(pow(int(_BASE), -1, 2**64)))):
+            step = np.full(n, base, np.uint64)
+            step[0] = 1
+            _powers[i] = np.multiply.accumulate(step)
+    return _powers[0][:n], _powers[1][:n]
+
+
+def span_ids(data, start, stop):
+    """64-bit identifiers of the byte strings start..stop, by prefix sums."""
+    n = len(data)
+    up, down = _powers_of(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(_LETTERS[data] * up[:n], out=total[1:])
+    return refine((total[stop] - total[start]) * down[start], (stop - start).astype(np.uint64))
+
+
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def word_spans(data, offsets, cut=None):
+    """(start, stop) of the words between ASCII white space and ends of
+    texts; ``cut`` marks places inside words at which they are cut too (its
+    entry i lies between bytes i and i + 1)."""
+    space = SPACE[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    edge[1:][space] = edge[:-1][space] = True
+    if cut is not None:
+        edge[1:-1] |= cut
+    return np.flatnonzero(~space & edge[:-1]), np.flatnonzero(~space & edge[1:]) + 1
+
+
 def append_columns(rows: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
     """The rows with more columns; a column of the same name is replaced."""
     names = [n for n in rows.schema.names if n not in columns]

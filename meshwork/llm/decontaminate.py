@@ -25,31 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, schema_with, text_blocks
-from .suffix_dedup import refine
+from .common import append_columns, refine, schema_with, span_ids, text_blocks
 
 TEST_BYTES = 16 << 20
 #: Words by which a suffix is compared before it enters the array.
 LEAD = 4
 
-_B = np.uint64(0x2545F4914F6CDD1D)
-_LETTERS = np.random.default_rng(20240607).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n):
-    """Powers of _B and of its inverse modulo 2**64."""
-    if len(_POWERS[0]) < n:
-        inverse = np.uint64(pow(int(_B), -1, 2**64))
-        for i, base in enumerate((_B, inverse)):
-            step = np.full(n, base, np.uint64)
-            step[0] = 1
-            _POWERS[i] = np.multiply.accumulate(step)
-    return _POWERS[0][:n], _POWERS[1][:n]
 
 
 def word_ids(data, offsets):
@@ -64,13 +49,7 @@ def word_ids(data, offsets):
     after = np.concatenate([word[1:], [False]]) if n else word
     stop = np.flatnonzero(word & (~after | edge[1:])) + 1
     counts = np.diff(np.searchsorted(start, offsets))
-    if not len(start):
-        return np.zeros(0, np.uint64), counts
-    up, down = _powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_LETTERS[low] * up[:n], out=total[1:])
-    ids = (total[stop] - total[start]) * down[start]
-    return refine(ids, (stop - start).astype(np.uint64)) | np.uint64(1), counts
+    return span_ids(low, start, stop) | np.uint64(1), counts
 
 
 def _leads(ids, n):

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, text_column
+from .common import text_blocks
 from .tokens import WordTokens, tokenizer_path
 
 
@@ -118,7 +118,7 @@ def _batch(pieces, id_type, with_ids):
                "doc_tokens": pa.array(totals, pa.int64()), "sequence_id": pa.array(sequences, pa.int64()),
                "offset": pa.array(offsets, pa.int64())}
     if with_ids:
-        columns["ids"] = pa.array([np.frombuffer(i, "<u4").astype(np.int64) for i in ids], pa.list_(pa.int64()))
+        columns["ids"] = pa.array([np.frombuffer(i, "<i4") for i in ids], pa.list_(pa.int32()))
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
@@ -128,21 +128,15 @@ def _pack(path, capacity, end_id, with_ids):
         packer = Packer(capacity, TaskContext.get().partitionId() << 32)
         end = np.array([end_id], "<u4").tobytes()
         pieces, id_type = [], None
-        for batch in batches:
-            id_type = batch.column(0).type
-            text, docs = text_column(batch, "text"), batch.column(0).to_pylist()
-            at = 0
-            while at < batch.num_rows:
-                texts, size = [], 0
-                while at + len(texts) < batch.num_rows and size < BLOCK_BYTES:
-                    texts.append(text[at + len(texts)].as_py())
-                    size += len(texts[-1])
-                for doc, ids in zip(docs[at:at + len(texts)], tokens.encode_all(texts)):
-                    pieces.extend(packer.add(doc, ids + end))
-                at += len(texts)
-                if len(pieces) >= 1000:
-                    yield _batch(pieces, id_type, with_ids)
-                    pieces = []
+        for block, data, offsets in text_blocks(batches, "text"):
+            id_type = block.column(0).type
+            ids, starts = tokens.encode(data, offsets)
+            raw, cuts = ids.astype("<u4").tobytes(), (4 * starts).tolist()
+            for doc, a, b in zip(block.column(0).to_pylist(), cuts[:-1], cuts[1:]):
+                pieces.extend(packer.add(doc, raw[a:b] + end))
+            if len(pieces) >= 1000:
+                yield _batch(pieces, id_type, with_ids)
+                pieces = []
         pieces.extend(packer.finish())
         if pieces:
             yield _batch(pieces, id_type, with_ids)
@@ -157,5 +151,5 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 4096, en
     ``tokenizer``: path of a ``tokenizers`` file, the same on all executors.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    schema = f"doc_id {dict(texts.dtypes)['doc_id']}, {_COLUMNS}" + (", ids array<long>" if with_ids else "")
+    schema = f"doc_id {dict(texts.dtypes)['doc_id']}, {_COLUMNS}" + (", ids array<int>" if with_ids else "")
     return texts.mapInArrow(_pack(tokenizer or tokenizer_path("word_bpe_49k.json"), capacity, end_id, with_ids), schema)

@@ -39,10 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_blocks
-
-_K1, _K2, _K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
-_S29, _S31, _S32, _S33 = (np.uint64(x) for x in (29, 31, 32, 33))
+from .common import materialise, refine, text_blocks
 
 GRAM = 64
 CELLS = (8, 1)
@@ -52,17 +49,6 @@ PLACE_BITS = 24
 PART = 8 << 20
 
 
-def refine(first, later):
-    """The bucket identifier of a longer string, from those of the string at
-    its start and of the string at a later offset."""
-    x = first * _K1
-    x += (later << _S31 | later >> _S33) * _K2
-    x ^= x >> _S29
-    x *= _K3
-    x ^= x >> _S32
-    return x
-
-
 def bucket_ids(data: np.ndarray) -> dict[int, np.ndarray]:
     """Identifiers of the 64- and 128-byte strings at every place."""
     n = len(data)

@@ -28,22 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_blocks
+from .common import text_blocks, word_spans
 from .tokens import WordTokens, tokenizer_path
 
 KEY = ["source", "lang", "version"]
 _FACTS = "{id}, source string, lang string, version string, tokens long"
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def _words(data, offsets):
-    space = _SPACE[data]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[offsets] = True
-    before = np.concatenate([[True], space[:-1]])[:len(data)]
-    start = np.flatnonzero(~space & (before | edge[:-1]))
-    return np.diff(np.searchsorted(start, offsets))
+    return np.diff(np.searchsorted(word_spans(data, offsets)[0], offsets))
 
 
 def _count(versions):

@@ -28,14 +28,12 @@ toxic labels (0.0 without labels); an empty table gives an empty result.
 """
 from __future__ import annotations
 
-from heapq import nlargest
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append_columns, materialise, schema_with, text_blocks
+from .common import LOWER, append_columns, materialise, schema_with, span_ids, text_blocks, word_spans
 from .labelled import fit_sample, fold
 
 DECAY = 0.6
@@ -43,8 +41,8 @@ SPAN = 5
 LETTER_BITS = 6
 SIZE = 1 << 3 * LETTER_BITS
 ROUNDS = 4
-#: Words whose margin a task remembers.
-CACHE_WORDS = 500_000
+#: Words whose margin a task remembers (20 bytes each).
+KNOWN_WORDS = 4_000_000
 #: Margins count from LOW (that of no word) to HIGH; a document has TOP of them.
 LOW, HIGH, TOP = -3.0, 3.5, 3
 _STEPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN) if a + b < SPAN]
@@ -259,31 +257,83 @@ def _margins(weights):
     return rows
 
 
+class Words:
+    """Margins of known words by their 64-bit identifiers."""
+
+    def __init__(self, weights):
+        self.weights = weights
+        self._forget()
+
+    def _forget(self):
+        self.keys, self.margin = np.zeros(0, np.uint64), np.zeros(0)
+        self.letters = np.zeros(0, np.int8)  # none, one or more than one
+
+    def measure(self, words: list[str]) -> np.ndarray:
+        out = [margins(words[lo:lo + 20_000], self.weights[0]) for lo in range(0, len(words), 20_000)]
+        return np.clip(np.concatenate([*out, np.zeros(0)]) + self.weights[1], LOW, HIGH)
+
+    def _learn(self, keys, words):
+        letters = np.array([min(len(normal(w)), 2) for w in words], np.int8)
+        margin = self.measure(words)
+        margin[letters == 0] = LOW  # nothing but end marks
+        for i, w in enumerate(words):
+            if len(parts := w.split()) > 1:  # other white space than ASCII
+                margin[i] = self.measure(parts).max()
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.margin = np.insert(self.margin, at, margin)
+        self.letters = np.insert(self.letters, at, letters)
+
+    def highest(self, data, offsets) -> np.ndarray:
+        """The TOP highest margins of each text of a block."""
+        start, stop = word_spans(data, offsets)
+        counts = np.diff(np.searchsorted(start, offsets))
+        keys, first, which = np.unique(span_ids(LOWER[data], start, stop), return_index=True, return_inverse=True)
+        for _ in range(2):
+            at = np.searchsorted(self.keys, keys)
+            known = at < len(self.keys)
+            known[known] = self.keys[at[known]] == keys[known]
+            if known.all():
+                break
+            if len(self.keys) + np.count_nonzero(~known) > KNOWN_WORDS:
+                self._forget()
+                known[:] = False
+            raw, new = data.tobytes(), first[~known]
+            self._learn(keys[~known], [raw[a:b].decode().lower() for a, b in zip(start[new].tolist(), stop[new].tolist())])
+        margin, letters = self.margin[at][which], self.letters[at][which]
+        doc = np.repeat(np.arange(len(counts)), counts)
+        # spelled out words: three or more one-letter words, signs between them
+        some = np.flatnonzero(letters)
+        one = letters[some] == 1
+        run = np.flatnonzero(one[:-2] & one[1:-1] & one[2:] & (doc[some][:-2] == doc[some][2:])) if len(some) > 2 else some[:0]
+        if len(run):
+            raw, extra, owner = data.tobytes(), [], []
+            for row in np.unique(doc[some[run]]).tolist():
+                found = spelled(tokens(raw[offsets[row]:offsets[row + 1]].decode()))
+                extra += found
+                owner += [row] * len(found)
+            margin = np.concatenate([margin, self.measure(extra)])
+            doc = np.concatenate([doc, np.array(owner, np.int64)])
+        order = np.lexsort((-margin, doc))
+        doc, margin = doc[order], margin[order]
+        begin = np.searchsorted(doc, np.arange(len(counts) + 1))
+        out = np.full((len(counts), TOP), LOW)
+        for k in range(TOP):
+            has = begin[:-1] + k < begin[1:]
+            out[has, k] = margin[begin[:-1][has] + k]
+        return out
+
+
 def _score(model, text_col, out_col):
     weights, curve = model
 
     def rows(batches):
-        seen = {}
-        for block, _, _ in text_blocks(batches, text_col):
-            texts = block.column(block.schema.get_field_index(text_col)).to_pylist()
+        words = Words(weights)
+        for block, data, offsets in text_blocks(batches, text_col):
             if weights is None:
-                yield append_columns(block, {out_col: pa.array(np.full(len(texts), curve), pa.float64())})
+                yield append_columns(block, {out_col: pa.array(np.full(block.num_rows, curve), pa.float64())})
                 continue
-            words = [tokens(t) if t else [] for t in texts]
-            words = [w + spelled(w) for w in words]
-            need = set().union(*words)
-            new = need.difference(seen)
-            if len(seen) + len(new) > CACHE_WORDS:
-                seen.clear()
-                new = need
-            new = list(new)
-            for lo in range(0, len(new), 20_000):
-                part = new[lo:lo + 20_000]
-                m = np.clip(margins(part, weights[0]) + weights[1], LOW, HIGH)
-                # words without letters have no subsequence but the end marks
-                seen.update((w, x) if any(map(str.isalpha, w)) else (w, LOW) for w, x in zip(part, m.tolist()))
-            none = [LOW] * TOP
-            z = np.array([nlargest(TOP, [*map(seen.__getitem__, w), *none]) for w in words])
+            z = words.highest(data, offsets)
             if curve is None:
                 yield append_columns(block, {out_col: pa.array(z.tolist(), pa.list_(pa.float64()))})
                 continue

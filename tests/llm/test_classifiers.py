@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 import pytest
 
-from meshwork.llm import language_id, quality
+from meshwork.llm import language_id, quality, toxicity
 
 DIR = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, lang string, score string, label int"
@@ -110,3 +110,54 @@ def test_quality_edge_cases(spark):
     assert {r.score for r in none} == {0.5}
     kept = quality.keep_good(df, labels)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} >= {102, None, 0}
+
+
+def test_toxicity_of_held_out_documents(spark):
+    docs, labels = tables(spark, "/root/testdata/sf0.1")
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    out = toxicity.classify(docs, labels).collect()
+    assert all(r.held_out == held(r.doc_id, 4, 2) and r.predicted == (r.score >= 0.3) for r in out)
+    auc, accuracy = metrics(out, truth)
+    print("toxicity", auc, accuracy)
+    assert auc > 0.93 and accuracy > 0.97
+
+
+def test_string_kernel_against_its_definition():
+    def brute(a, b):
+        def sub(w):
+            s = [0] + [toxicity._codes()[ord(c)] for c in w if c.isalpha()] + [0]
+            out = {}
+            for i in range(len(s)):
+                for j in range(i + 1, len(s)):
+                    for k in range(j + 1, min(i + toxicity.SPAN, len(s))):
+                        key = (s[i], s[j], s[k])
+                        out[key] = out.get(key, 0) + toxicity.DECAY ** (k - i - 2)
+            return out
+        x, y = sub(a), sub(b)
+        dot = lambda p, q: sum(v * q.get(k, 0) for k, v in p.items())
+        return dot(x, y) / np.sqrt(dot(x, x) * dot(y, y))
+    words = ["idiot", "id-iot", "idxiot", "a", "größe", "aaaa", "worthless"]
+    want = np.array([[brute(a, b) for b in words] for a in words])
+    assert np.allclose(toxicity.kernel(words, words), want, atol=1e-5)
+    assert want[0, 1] == 1 and 0.3 < want[0, 2] < 1
+
+
+def test_toxicity_tolerates_gaps_and_inserted_characters(spark):
+    rng = np.random.default_rng(1)
+    bad = ["idiot", "moron", "worthless", "pathetic"]
+    plain = ["".join(rng.choice(list("aeioustrnl"), rng.integers(2, 8))) for _ in range(300)]
+    say = lambda n: " ".join(rng.choice(plain, n))
+    rows = [(i, f"{say(8)} {rng.choice(bad)} {say(5)}. {rng.choice(bad)} {say(3)}" if i % 4 == 0 else say(18), "en", "s", 1)
+            for i in range(800)]
+    tests = {1000: "x id-iot y mo*ron z", 1001: "the i d i o t and m o r o n", 1002: "the idixot worthxless pathetiic moron",
+             1003: "the house " * 9, 1004: None, 1005: "", 1006: "12 !! 3", 1007: "ok " * 50000 + "idiot moron",
+             None: "Idiot MORON"}
+    df = spark.createDataFrame(rows + [(k, t, None, None, 1) for k, t in tests.items()] + rows[:1], SCHEMA)
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(800)] + [(None, 1, 1), (7, 1, None)],
+                                   "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.classify(df, labels).collect()}
+    assert all(got[i].predicted == 1 for i in (1000, 1001, 1002, 1007, None))
+    assert all(got[i].predicted == 0 for i in (1003, 1004, 1005, 1006)) and got[1004].score == got[1005].score
+    assert toxicity.classify(df.limit(0), labels).count() == 0
+    none = toxicity.classify(df, labels.limit(0)).collect()
+    assert {r.score for r in none} == {0.0} and len(none) == df.count()

@@ -5,6 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from meshwork.llm import tokens as tokens_module
 from meshwork.llm.packing import Levels, pack
 from meshwork.llm.tokens import WordTokens, tokenizer_path
 
@@ -19,15 +20,20 @@ def corpus(seed=0):
     texts = ["".join(word() + rng.choice(space) for _ in range(rng.choice([0, 1, 5, 60, 300, 2500]))) for _ in range(120)]
     texts += ["", None, "it's we're I'm don't they'll 'tis rock'n'roll's", "A<|endoftext|>b", "a\x1cb\x1fc",
               "日本語 テスト", "é", "İstanbul ΣΑΣ ǅ", "a" * 9000, "x " * 20000, "!!! *** &&&", "--a-- 'b' \"c\"",
-              "!'s", ".'ll.", "a.'s", " x　y", "\x00\x01a"]
+              "!'s", ".'ll.", "a.'s", "e \u0301a e\u0301 A\u030a", "a\0b \0 \0\0 c", "\u2028x\u3000y\xa0z", " x　y", "\x00\x01a"]
     return [(i, t, "q", 1) for i, t in enumerate(texts)] + [(None, "null id", "q", 1), (3, "again", "q", 1), (3, "again", "q", 1)]
 
 
-def test_word_cache_gives_the_tokenizers_ids():
+@pytest.mark.parametrize("known", [10**6, 50])
+def test_known_words_give_the_tokenizers_ids(monkeypatch, known):
+    monkeypatch.setattr(tokens_module, "KNOWN_WORDS", known)
     tokens = WordTokens(tokenizer_path("word_bpe_49k.json"))
     texts = [t or "" for _, t, _, _ in corpus(1)]
-    for t, ids in zip(texts, tokens.encode_all(texts)):
-        assert np.frombuffer(ids, "<u4").tolist() == tokens.tokenizer.encode(t, add_special_tokens=False).ids, t
+    for lo in range(0, len(texts), 10):
+        raw = [t.encode() for t in texts[lo:lo + 10]]
+        ids, starts = tokens.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        for t, a, b in zip(texts[lo:lo + 10], starts[:-1], starts[1:]):
+            assert ids[a:b].tolist() == tokens.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
 @pytest.mark.parametrize("parts", [1, 7])
