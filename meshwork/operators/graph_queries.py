@@ -24,7 +24,8 @@ def _hops(g: PropertyGraph, rels: dict, condition: Column | str | None = None) -
     for i in range(len(rels)):
         ents = ents.where(F.col(f"__{i}").isNotNull())
     # a reached value named like an entity column takes its place
-    rest = [F.col(f"`{c}`") for c in g.entities.columns if c not in rels.values()]
+    taken = {a.lower() for a in rels.values()}
+    rest = [F.col(f"`{c}`") for c in g.entities.columns if c.lower() not in taken]
     return ents.select(*rest, *[F.col(f"__{i}").alias(a) for i, a in enumerate(rels.values())])
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import looks_numeric
+
 # The text tokens pandas' CSV reader turns into missing values
 # by default (public pandas behaviour, which the product reader follows).
 PANDAS_NULL_TOKENS = (
@@ -44,31 +46,30 @@ def read_product_csv(spark: SparkSession, path: str,
                      infer_numeric: bool = True) -> DataFrame:
     """Read one CSV product: header row, inferred types, pandas null tokens.
 
-    Spark takes a single ``nullValue``; the other tokens are turned into
-    nulls on text columns afterwards. A text column whose non-null values all
-    parse as numbers once the tokens are gone (``"1.5"``, ``"NA"``) is cast to
-    double, as pandas would read it. That check is one aggregation pass over
-    the text columns; pass ``infer_numeric=False`` to skip it.
+    Fields may be quoted and then hold commas, line breaks and doubled
+    quotes, as pandas reads them. Spark takes a single ``nullValue``; the
+    other tokens are turned into nulls on text columns afterwards. A text
+    column whose non-null values all look like numbers once the tokens are
+    gone (``"1.5"``, ``"NA"``) is cast to double, as pandas would read it.
+    That check is one aggregation over the text columns; pass
+    ``infer_numeric=False`` to skip it.
     """
     df = (spark.read.option("header", True).option("inferSchema", True)
+          .option("multiLine", True).option("escape", '"')
           .option("nullValue", "").option("mode", "PERMISSIVE").csv(path))
     df = _null_tokens_to_null(df, null_tokens)
     text_cols = [f.name for f in df.schema.fields
                  if isinstance(f.dataType, T.StringType)]
     if not (infer_numeric and text_cols):
         return df
-    checks = df.agg(*[
-        F.count_if(F.col(f"`{c}`").isNotNull()
-                   & F.expr(f"try_cast(`{c}` as double)").isNull()).alias(c)
-        for c in text_cols])
-    nonnull = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in text_cols])
-    bad = checks.first().asDict()
-    seen = nonnull.first().asDict()
-    numeric = {c for c in text_cols if bad[c] == 0 and seen[c] > 0}
+    text = [F.col(f"`{c}`") for c in text_cols]
+    seen = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(text)],
+                  *[F.count_if(c.isNotNull() & ~looks_numeric(c)).alias(f"t{i}") for i, c in enumerate(text)]).first()
+    numeric = {c for i, c in enumerate(text_cols) if seen[f"n{i}"] and not seen[f"t{i}"]}
     if not numeric:
         return df
     return df.select(*[
-        (F.expr(f"try_cast(`{f.name}` as double)") if f.name in numeric
+        (F.expr(f"try_cast(trim(`{f.name}`) as double)") if f.name in numeric
          else F.col(f"`{f.name}`")).alias(f.name)
         for f in df.schema.fields])
 
@@ -81,58 +82,65 @@ def read_product(spark: SparkSession, path: str, fmt: str = "parquet",
     return spark.read.format(fmt).options(**options).load(path)
 
 
-def _list_files(spark: SparkSession, folder: str, pattern: str) -> list[str]:
-    # binaryFile only reads file contents when the content column is used, so
-    # selecting the path is a listing. The result is one row per file.
-    listing = (spark.read.format("binaryFile")
-               .option("pathGlobFilter", pattern)
-               .option("recursiveFileLookup", "false")
-               .load(folder).select("path"))
-    return sorted(r.path for r in listing.collect())
+def _entries(spark: SparkSession, folder: str, suffix: str) -> list[str]:
+    """Files and folders directly inside ``folder`` whose name ends with
+    ``suffix``, by the file system that Spark reads (one name per product)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [str(s.getPath().toString()) for s in fs.listStatus(path)]
+    return sorted(n for n in names if n.endswith(suffix) and not posixpath.basename(n).startswith(("_", ".")))
 
 
 def discover_products(spark: SparkSession, folder: str,
                       fmt: str = "csv") -> dict[str, DataFrame]:
-    """Every ``*.<fmt>`` file directly inside ``folder`` becomes a product.
+    """Every ``*.<fmt>`` file (or folder of files) directly inside ``folder``
+    becomes a product.
 
     Returns name -> lazy DataFrame; schemas may differ between files, so each
-    file is its own read. Parquet products are usually folders; pass
-    ``fmt='parquet'`` to pick up ``*.parquet`` entries (files or folders).
+    is its own read. Works with and without a scheme on any file system that
+    Spark reads.
     """
-    if fmt == "parquet":
-        import glob
-        paths = sorted(glob.glob(posixpath.join(folder, "*.parquet"))) \
-            if "://" not in folder else _list_files(spark, folder, "*.parquet")
-    else:
-        paths = _list_files(spark, folder, f"*.{fmt}")
-    return {product_name(p): read_product(spark, p, fmt) for p in paths}
+    return {product_name(p): read_product(spark, p, fmt)
+            for p in _entries(spark, folder, f".{fmt}")}
 
 
 def publish_product(registry: dict, name: str, df: DataFrame,
                     contract=None) -> dict:
-    """Add or replace one product (and its contract) in a registry dict.
+    """Add or replace one product in a registry dict: its frame, column
+    profile, contract columns (``contract``, or inferred from the data) and
+    the violations of the contract.
 
     The product is also registered as a temporary view so SQL users can reach
     it by name.
     """
+    from ..operators import contract as C
+    from ..operators import profile as P
+    counts = P.value_counts(df)
+    columns = C.infer_contract(name, df, counts) if contract is None else contract
     df.createOrReplaceTempView(name)
-    registry[name] = {"df": df, "contract": contract}
+    registry[name] = {"df": df, "contract": columns, "profile": P.column_profile(df, counts),
+                      "violations": C.contract_violations(name, df, columns, counts)}
     return registry
 
 
 def write_product(df: DataFrame, path: str, port: str = "parquet",
-                  mode: str = "overwrite", partition_by=None):
+                  mode: str = "overwrite", partition_by=None, spec=None):
     """Write a product to one of its output ports.
 
     ``csv`` and ``parquet`` are file sinks; ``dataframe`` returns the frame
-    itself; ``graph`` is served by ``meshwork.operators.graph.write_graph``.
+    itself; ``graph`` builds the property graph of ``spec`` and writes its
+    node and edge tables.
     """
     if port not in OUTPUT_PORTS:
         raise ValueError(f"unknown output port {port!r}")
     if port == "dataframe":
         return df
     if port == "graph":
-        raise ValueError("use meshwork.operators.graph.write_graph")
+        from ..operators import graph as G
+        if spec is None:
+            raise ValueError("the graph port needs a graph spec")
+        G.write_graph(G.build_graph(df, spec), path)
+        return path
     if port == "api":
         raise ValueError("the api port is served by an application, not Spark")
     writer = df.write.mode(mode)
