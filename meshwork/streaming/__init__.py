@@ -1,4 +1,4 @@
 from .logs import (  # noqa: F401
-    append_log, quality_drop_alert_stream, start_alert_stream, start_usage_counts,
+    append_log, read_snapshot, start_alert_stream, start_usage_counts,
     usage_column_counts, usage_product_counts,
 )

@@ -5,10 +5,14 @@ only grow. Here they are file-backed tables that new batches are appended
 to, and the statistics over them are incremental streaming queries:
 
 * usage counts per product and per column: a streaming aggregation whose
-  state has one row per product / column (small and bounded);
-* quality-drop alerts: per product the previous score is the only state
-  (``applyInPandasWithState``), so an alert is raised as soon as a score
-  more than 10 points below the previous one arrives.
+  state has one row per product / column (small and bounded). Every
+  micro-batch writes a snapshot folder of its own; ``read_snapshot`` takes
+  the newest one that is complete, so no reader sees half of one;
+* quality-drop alerts: the last score of each product is the state. Each
+  micro-batch is put behind it and handed to the batch operator, whose
+  window sorts a whole product (in Spark, spilling if it must) whatever the
+  order in which its rows arrived. Alerts and state are written per epoch,
+  so an epoch that is run again overwrites what it left.
 
 Checkpoints live under the shared folder named by ``spark.checkpoint.dir``
 so a restarted job resumes after an executor or driver loss.
@@ -17,26 +21,48 @@ from __future__ import annotations
 
 import posixpath
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..operators.catalog import QUALITY_DROP_POINTS, USAGE_SCHEMA
+from ..operators.catalog import USAGE_SCHEMA, quality_drop_alerts
 from ..plans.session import checkpoint_dir
 
 SCORE_SCHEMA = "product string, assessed_at timestamp, score double"
-ALERT_SCHEMA = T.StructType([
-    T.StructField("alert_type", T.StringType()), T.StructField("severity", T.StringType()),
-    T.StructField("product", T.StringType()), T.StructField("assessed_at", T.TimestampType()),
-    T.StructField("message", T.StringType())])
-STATE_SCHEMA = T.StructType([T.StructField("last_score", T.DoubleType()),
-                             T.StructField("last_at", T.TimestampType())])
 
 
 def _ckpt(spark: SparkSession, name: str) -> str:
-    return posixpath.join(checkpoint_dir(spark).replace("file:", ""), "streams", name)
+    return posixpath.join(checkpoint_dir(spark), "streams", name)
+
+
+def _complete(spark: SparkSession, folder: str) -> dict[int, str]:
+    """Number -> path of the ``epoch=<number>`` folders that were written to
+    the end."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    top = hadoop.Path(folder)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(top):
+        return {}
+    found = {}
+    for s in fs.listStatus(top):
+        path = s.getPath()
+        if path.getName().startswith("epoch=") and fs.exists(hadoop.Path(path, "_SUCCESS")):
+            found[int(path.getName()[6:])] = path.toString()
+    return found
+
+
+def read_snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest complete snapshot of ``folder``."""
+    found = _complete(spark, folder)
+    return spark.read.parquet(found[max(found)])
+
+
+def _drop_old(spark: SparkSession, folder: str, keep: int = 3) -> None:
+    """Delete all but the newest complete snapshots (a reader may still use
+    the last ones)."""
+    found = _complete(spark, folder)
+    for n in sorted(found)[:-keep]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(found[n])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def append_log(df: DataFrame, path: str) -> None:
@@ -70,8 +96,10 @@ def start_usage_counts(spark: SparkSession, log_path: str, out_path: str,
     stream = read_log(spark, log_path, USAGE_SCHEMA, max_files_per_trigger)
 
     def write_snapshot(kind):
-        def run(batch: DataFrame, _epoch: int):
-            batch.write.mode("overwrite").parquet(posixpath.join(out_path, kind))
+        def run(batch: DataFrame, epoch: int):
+            folder = posixpath.join(out_path, kind)
+            batch.write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
+            _drop_old(spark, folder)
         return run
 
     queries = []
@@ -84,37 +112,26 @@ def start_usage_counts(spark: SparkSession, log_path: str, out_path: str,
     return queries
 
 
-def _alerts(key, frames, state):
-    """Per product: compare each score with the previous one, in time order."""
-    (product,) = key
-    last, last_at = state.get if state.exists else (None, None)
-    out = []
-    for pdf in frames:
-        for row in pdf.sort_values("assessed_at").itertuples(index=False):
-            if last is not None and row.score < last - QUALITY_DROP_POINTS:
-                out.append(("quality_drop", "warning", product, row.assessed_at,
-                            f"Quality dropped from {last:.1f} to {row.score:.1f}"))
-            last, last_at = row.score, row.assessed_at
-    if last is not None:
-        state.update((float(last), last_at))
-    yield pd.DataFrame(out, columns=[f.name for f in ALERT_SCHEMA.fields])
-
-
-def quality_drop_alert_stream(scores: DataFrame) -> DataFrame:
-    """Streaming quality-drop alerts; one double of state per product.
+def start_alert_stream(spark: SparkSession, score_path: str, alert_path: str,
+                       max_files_per_trigger: int | None = None, available_now=True):
+    """Streaming quality-drop alerts (folders ``epoch=<n>`` in ``alert_path``).
 
     Scores of a product must arrive in time order across micro-batches (an
-    append-only log); within a micro-batch they are sorted.
+    append-only log); within a micro-batch any order will do.
     """
-    return scores.groupBy("product").applyInPandasWithState(
-        _alerts, ALERT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-
-
-def start_alert_stream(spark: SparkSession, score_path: str, alert_path: str,
-                       max_files_per_trigger: int | None = None, available_now=True):
     stream = read_log(spark, score_path, SCORE_SCHEMA, max_files_per_trigger)
-    w = (quality_drop_alert_stream(stream).writeStream.outputMode("append")
-         .format("parquet").option("path", alert_path)
-         .option("checkpointLocation", _ckpt(spark, "quality_alerts")))
+    place = _ckpt(spark, "quality_alerts")
+
+    def run(batch: DataFrame, epoch: int):
+        rows = batch.select("product", "assessed_at", "score")
+        before = [n for n in _complete(spark, f"{place}-state") if n < epoch]
+        if before:
+            rows = spark.read.parquet(f"{place}-state/epoch={max(before)}").unionByName(rows)
+        quality_drop_alerts(rows).write.mode("overwrite").parquet(f"{alert_path}/epoch={epoch}")
+        last = rows.groupBy("product").agg(F.max(F.struct("assessed_at", "score")).alias("last"))
+        last.select("product", "last.*").write.mode("overwrite").parquet(f"{place}-state/epoch={epoch}")
+        _drop_old(spark, f"{place}-state")
+
+    w = stream.writeStream.option("checkpointLocation", place).foreachBatch(run)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
