@@ -3,11 +3,18 @@ column annotations (survey ops S1-S7).
 
 Matching is the reference's loose rule: a phrase resolves to the glossary
 keys equal to it; when none is equal, to every key that contains it or is
-contained in it. Phrases are matched against the glossary index with a
-broadcast nested-loop join (the index is checked to be small first; a larger
-one is joined without broadcast), so the phrase rows never shuffle. Only the
-matches are aggregated, by (text, term) with map-side combine, which bounds
-every group by the number of glossary terms.
+contained in it. Both directions are equi-joins:
+
+* phrase inside key: the phrase against the distinct substrings of the keys;
+* key inside phrase: a key's first word lies inside one word of the phrase,
+  so the distinct words of the phrases are matched with the first words of
+  the keys by their substrings (no longer than the longest first word), and
+  the few candidates are checked.
+
+The key tables and candidates are stored first, so Spark knows their size and
+broadcasts them if they are small; the phrase rows then stay where they are
+and only distinct words are shuffled. Matches are aggregated by (text, term) with map-side combine,
+which bounds every group by the number of glossary terms.
 """
 from __future__ import annotations
 
@@ -15,8 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import WS
-
-MAX_BROADCAST_KEYS = 100_000
+from ..plans.session import stored
 
 
 def term_index(glossary: DataFrame) -> DataFrame:
@@ -32,28 +38,39 @@ def term_index(glossary: DataFrame) -> DataFrame:
             .groupBy("key", "term").agg(F.min("key_order").alias("key_order")))
 
 
-def _small(index: DataFrame) -> bool:
-    """The glossary index is metadata; check its size before broadcasting."""
-    return index.count() <= MAX_BROADCAST_KEYS
+def _substrings(text, longest):
+    """Distinct substrings of up to ``longest`` characters."""
+    n = F.length(text)
+    starts = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
+    every = F.flatten(F.transform(starts, lambda i: F.transform(
+        F.sequence(F.lit(1), F.least(n - i + 1, longest)), lambda m: F.substring(text, i, m))))
+    return F.array_distinct(F.when(n > 0, every).otherwise(F.array().cast("array<string>")))
 
 
 def _match(rows: DataFrame, phrase: str, index: DataFrame) -> DataFrame:
-    """Rows x index keys with the exact-beats-partial rule per phrase.
-
-    A small index is broadcast (no shuffle of the phrase rows); a larger one
-    is joined without a hint and Spark distributes the nested loop.
-    """
-    keys = index.select(F.col("key").alias("_k")).distinct() \
-        .withColumn("_exact_phrase", F.lit(True))
-    if _small(index):
-        keys, idx = F.broadcast(keys), F.broadcast(index)
-    else:
-        idx = index
-    flagged = rows.join(keys, rows[phrase] == F.col("_k"), "left").drop("_k")
-    exact = F.coalesce(F.col("_exact_phrase"), F.lit(False))
-    p, k = F.col(phrase), F.col("key")
-    cond = F.when(exact, k == p).otherwise(k.contains(p) | p.contains(k))
-    return flagged.crossJoin(idx).where(cond).drop("_exact_phrase")
+    """Rows with the index keys of the exact-beats-partial rule per phrase
+    (a row and key may come twice)."""
+    keys = index.select("key").distinct()
+    keys = stored(keys)
+    exact = keys.select(F.col("key").alias(phrase), F.lit(True).alias("_exact"))
+    rows = rows.join(exact, phrase, "left")
+    names = [c for c in rows.columns if c != "_exact"]
+    equal = rows.where("_exact").select(*names, F.col(phrase).alias("key"))
+    rows = rows.where("_exact is null").drop("_exact")
+    parts = stored(keys.select("key", F.explode(_substrings(F.col("key"), F.length("key"))).alias(phrase)))
+    inside_key = rows.join(parts, phrase).select(*names, "key")
+    # the empty key is inside every phrase, the empty phrase inside every key
+    first = F.filter(F.split("key", " "), lambda w: w != "")
+    firsts = keys.select("key", F.try_element_at(first, F.lit(1)).alias("_part")).where("_part is not null")
+    words = rows.withColumn("_word", F.explode(F.array_distinct(F.split(phrase, " "))))
+    longest = F.broadcast(firsts.agg(F.max(F.length("_part")).alias("_longest")))
+    pieces = words.select("_word").distinct().crossJoin(longest).select(
+        "_word", F.explode(_substrings(F.col("_word"), F.col("_longest"))).alias("_part"))
+    # stored, so that the planner knows its size and broadcasts it or not
+    candidates = stored(pieces.join(firsts, "_part").select("_word", "key").distinct())
+    inside_phrase = words.join(candidates, "_word").where(F.col(phrase).contains(F.col("key"))).select(*names, "key")
+    found = equal.unionByName(inside_key).unionByName(inside_phrase)
+    return found.join(index, "key")
 
 
 def resolve_terms(inputs: DataFrame, index: DataFrame,
