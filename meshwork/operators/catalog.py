@@ -156,6 +156,15 @@ def recommendations(products: DataFrame, columns: DataFrame,
     return rules.unionByName(nulls)
 
 
+def catalog_entries(products: DataFrame, columns: DataFrame) -> DataFrame:
+    """M9: per product its rows, number of columns and their names in order
+    (one small list per product)."""
+    names = columns.groupBy("product").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("ordinal", "column_name"))), lambda c: c["column_name"]).alias("columns"))
+    return products.join(names, "product", "left").select(
+        "product", "row_count", F.coalesce(F.size("columns"), F.lit(0)).cast("bigint").alias("column_count"), "columns")
+
+
 def catalog_summary(products: DataFrame, columns: DataFrame, usage_log: DataFrame,
                     alerts: DataFrame, changes: DataFrame) -> DataFrame:
     """M9: counts of products, columns, rows, queries, alerts and changes."""

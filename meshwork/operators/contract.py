@@ -179,11 +179,13 @@ def contract_status(contracts: DataFrame, violations: DataFrame) -> DataFrame:
 
 
 def compliance_report(status: DataFrame) -> DataFrame:
-    """Number of products, compliant and non-compliant ones."""
+    """Number of products, compliant and non-compliant ones, and the
+    status of each product (one small entry per product, sorted)."""
     return status.agg(
         F.count(F.lit(1)).alias("total_products"),
         F.count_if(F.col("is_compliant")).alias("compliant"),
-        F.count_if(~F.col("is_compliant")).alias("non_compliant"))
+        F.count_if(~F.col("is_compliant")).alias("non_compliant"),
+        F.array_sort(F.collect_list(F.struct("product", "is_compliant", "violation_count"))).alias("details"))
 
 
 def check_expectations(product: str, dims: DataFrame, dup: DataFrame,

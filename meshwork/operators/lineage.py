@@ -105,6 +105,12 @@ def platform_metrics(products: DataFrame, graph_nodes: DataFrame,
     return out
 
 
+def run_steps(steps: DataFrame) -> DataFrame:
+    """The step table: agent, status, duration and message of every step
+    with its number among the run's steps."""
+    return steps.select("trace_id", "step", "agent", "status", "duration_ms", "message")
+
+
 def run_step_stats(steps: DataFrame) -> DataFrame:
     """Per agent: steps, errors, mean duration (ms, 2 decimals)."""
     return steps.groupBy("agent").agg(

@@ -532,7 +532,9 @@ def assess_many(products: dict, contract_columns: DataFrame | None = None,
 
 
 def quality_summary(report: DataFrame) -> DataFrame:
-    """Number of products, mean score (1 decimal), total issues."""
+    """Number of products, mean score (1 decimal), total issues, and
+    each product's grade and score (sorted by product)."""
     return report.agg(F.count(F.lit(1)).alias("total_assessed"),
                       _r(F.avg("composite_score"), 1).alias("average_score"),
-                      F.sum("total_issues").cast("bigint").alias("total_issues"))
+                      F.sum("total_issues").cast("bigint").alias("total_issues"),
+                      F.array_sort(F.collect_list(F.struct("product", "grade", "composite_score"))).alias("products"))

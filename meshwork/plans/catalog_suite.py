@@ -209,6 +209,28 @@ def recommendations(spark, sf):
     return M.recommendations(prods, cols, usage_log(spark, sf))
 
 
+def _tables_and_columns(spark, sf):
+    entries = cols = None
+    for name, df in all_tables(spark, sf).items():
+        e = df.agg(F.count(F.lit(1)).alias("row_count")).select(
+            F.lit(name).alias("product"), "row_count",
+            F.lit(len(df.columns)).alias("column_count"))
+        entries = e if entries is None else entries.unionByName(e)
+        c = P.schema_table(df).select(F.lit(name).alias("product"), "column_name", "ordinal")
+        cols = c if cols is None else cols.unionByName(c)
+    return entries, cols
+
+
+@register("catalog_entries", "\nunion all ".join(
+    f"select '{t}' as product, count(*) as row_count, "
+    f"(select count(*) from information_schema.columns where table_name = '{t}') as column_count, "
+    f"(select string_agg(column_name, ',' order by ordinal_position) from information_schema.columns "
+    f"where table_name = '{t}') as columns from {t}" for t in TABLES))
+def catalog_entries(spark, sf):
+    entries, cols = _tables_and_columns(spark, sf)
+    return M.catalog_entries(entries, cols).withColumn("columns", F.array_join("columns", ","))
+
+
 @register("catalog_summary", f"""
 with h as (select event_type as product, cast(ts as date) as d, avg(value) as score from events group by 1, 2),
 l as (select *, lag(score) over (partition by product order by d) as previous from h)
@@ -220,15 +242,6 @@ select {len(TABLES)}::bigint as total_products,
        {len(TABLES)}::bigint as change_log_entries
 """)
 def catalog_summary(spark, sf):
-    tables = all_tables(spark, sf)
-    entries = None
-    cols = None
-    for name, df in tables.items():
-        e = df.agg(F.count(F.lit(1)).alias("row_count")).select(
-            F.lit(name).alias("product"), "row_count",
-            F.lit(len(df.columns)).alias("column_count"))
-        entries = e if entries is None else entries.unionByName(e)
-        c = P.schema_table(df).select(F.lit(name).alias("product"), "column_name")
-        cols = c if cols is None else cols.unionByName(c)
+    entries, cols = _tables_and_columns(spark, sf)
     alerts = M.quality_drop_alerts(score_history(spark, sf))
     return M.catalog_summary(entries, cols, usage_log(spark, sf), alerts, M.change_log(entries))

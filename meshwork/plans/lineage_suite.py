@@ -125,6 +125,15 @@ def run_steps(spark, sf):
     return L.run_step_stats(steps(spark, sf))
 
 
+@register("run_step_table", """
+select cast(conv_id as varchar) as trace_id, turn as step, role as agent,
+       case when role = 'system' then 'error' else 'success' end as status,
+       cast(length(text) as double) as duration_ms, text as message
+from conversations""")
+def run_step_table(spark, sf):
+    return L.run_steps(steps(spark, sf))
+
+
 @register("run_status", f"""
 with {RUNS_SQL}
 select trace_id, case when error is not null or coalesce(length(trim(query_text)), 0) = 0

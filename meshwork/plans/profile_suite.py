@@ -272,12 +272,16 @@ def contract_status(spark, sf):
         "select product, column_name, \"check\", message from v where hit",
         """, p(product) as (values ('orders'), ('orders_nulls'), ('orders_dups'), ('orders_badvals')),
 c as (select product, count(*) as n from v where hit group by 1),
-s as (select p.product, coalesce(c.n, 0) = 0 as ok from p left join c using (product))
+s as (select p.product, coalesce(c.n, 0) as n, coalesce(c.n, 0) = 0 as ok from p left join c using (product))
 select count(*) as total_products, count(*) filter (where ok) as compliant,
-       count(*) filter (where not ok) as non_compliant from s"""),
+       count(*) filter (where not ok) as non_compliant,
+       string_agg(product || ' ' || ok || ' ' || n, ', ' order by product) as details from s"""),
     "orders_nulls", "orders_dups", "orders_badvals"))
 def compliance_report(spark, sf):
-    return C.compliance_report(contract_status(spark, sf))
+    entry = lambda d: F.concat_ws(" ", d["product"], d["is_compliant"].cast("string"),
+                                  d["violation_count"].cast("string"))
+    report = C.compliance_report(contract_status(spark, sf))
+    return report.withColumn("details", F.array_join(F.transform("details", entry), ", "))
 
 
 @register("profile_nested", """

@@ -355,14 +355,17 @@ def quality_report(spark, sf):
 
 @register("quality_summary", with_views(f"""
 select count(*) as total_assessed, round(avg(round(composite, 1)), 1) as average_score,
-       sum(total_issues)::bigint as total_issues
+       sum(total_issues)::bigint as total_issues,
+       string_agg(product || ' ' || {grade_sql('composite')} || ' ' || printf('%.1f', round(composite, 1)), ', ' order by product) as products
 from ({_REPORT_SQL})""", *REPORT_VIEWS))
 def quality_summary(spark, sf):
     out, contract = None, clean_contract(spark, sf)
     for name in REPORT_VIEWS:
         r = _assess(spark, sf, name, contract).report
         out = r if out is None else out.unionByName(r)
-    return D.quality_summary(out)
+    entry = lambda p: F.concat_ws(" ", p["product"], p["grade"],
+                                  F.format_string("%.1f", p["composite_score"]))
+    return D.quality_summary(out).withColumn("products", F.array_join(F.transform("products", entry), ", "))
 
 
 def sql_unique_pct(view):
