@@ -6,10 +6,11 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as E
+from meshwork.plans.registry import load_all
 from meshwork.plans.tables import TABLES
 
 SF = "/root/testdata/sf0.001"
-SQL = E.oracle_sql()
+QUERIES, SQL = load_all()
 KEYS = sorted(SQL)
 
 
@@ -42,12 +43,12 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(E.queries()) == set(SQL)
+    assert set(QUERIES) == set(SQL)
 
 
 @pytest.mark.parametrize("key", KEYS)
 def test_matches_duckdb(spark, con, key):
-    got = E.queries()[key](spark, SF).toPandas()
+    got = QUERIES[key](spark, SF).toPandas()
     want = con.sql(SQL[key]).df()
     gc, gr = _rows(got)
     wc, wr = _rows(want)

@@ -125,6 +125,43 @@ def test_quantiles_match_pandas_in_every_mode(spark):
         assert np.allclose(want, got, atol=1e-12, rtol=0)
 
 
+def test_quantiles_with_heavy_ties_and_many_values(spark):
+    """More equal values than a band may hold, beside many distinct ones."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([np.full(4000, 3.5), np.full(2500, -1.0), rng.normal(size=6000), np.full(300, np.nan)])
+    pdf = pd.DataFrame({"x": x, "y": np.arange(len(x)) % 7})
+    probs = [0, 0.01, 0.2, 0.3, 0.5, 0.68, 0.9, 1]
+    got = exact_quantiles(spark.createDataFrame(pdf), ["x", "y"], probs, small=40, accuracy=100).toPandas()
+    for c in ("x", "y"):
+        own = got[got.column_name == c].sort_values("p").value.values
+        assert np.allclose(pdf[c].quantile(probs).values, own, atol=1e-12, rtol=0)
+
+
+def test_equal_values_of_odd_types_count_once(spark):
+    df = spark.sql("""select * from values
+        (array('a, b'), 0.0D, map('k', 1, 'l', 2), parse_json('{"a":1}')),
+        (array('a', 'b'), -0.0D, map('l', 2, 'k', 1), parse_json('{"a":1}')),
+        (array('a', 'b'), double('nan'), null, null) as t(a, z, m, v)""")
+    counts = {r.column_name: r.distinct_count for r in P.distinct_counts(df).collect()}
+    assert counts == {"a": 2, "z": 1, "m": 1, "v": 1}
+    nulls = {r.column_name: r.null_count for r in P.column_profile(df).collect()}
+    assert nulls == {"a": 0, "z": 1, "m": 1, "v": 1}
+
+
+def test_repeated_ids_stay_single_rows(spark):
+    from meshwork.operators import graph as G
+    from meshwork.operators import graph_queries as Q
+    df = spark.createDataFrame([("c1", "One year", "Yes", 10.0), ("c1", "One year", "Yes", 10.0),
+                                ("c1", "One year", "No", 10.0), ("c2", "One year", "No", 20.0)],
+                               "customerID string, Contract string, Churn string, MonthlyCharges double")
+    g = G.build_graph(df, G.TELCO_GRAPH)
+    r = Q.rate_by_dimension(g, "HAS_CONTRACT", "HAS_CHURN_STATUS", "Yes").first()
+    assert (r.total, r.positives, r.rate_pct) == (4, 2, 50.0)
+    m = Q.aggregate_measures(g, "MonthlyCharges", "HAS_CONTRACT").first()
+    assert (m.row_count, m.sum_value, m.avg_value) == (4, 50.0, 12.5)
+    assert Q.match_1hop(g, "HAS_CONTRACT", "contract_type").count() == 4
+
+
 def test_score_drop_alert_boundary(spark):
     rows = [("p", dt.date(2024, 1, 1), 80.0), ("p", dt.date(2024, 1, 2), 70.0),
             ("p", dt.date(2024, 1, 3), 59.9)]
