@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 # Keyword lists of the reference's read-only query check.
 DANGEROUS_SQL = ("DROP", "DELETE", "UPDATE", "INSERT", "ALTER", "TRUNCATE", "GRANT")
-# The second list after stripping; its DETACH DELETE and DELETE entries can
-# never fire because DELETE is already in the first list.
-DANGEROUS_CYPHER = ("DETACH DELETE", "DELETE", "SET", "REMOVE", "CREATE", "MERGE")
+# The reference's second list also names DETACH DELETE and DELETE, which can
+# never fire because DELETE is in the first list.
+DANGEROUS_CYPHER = ("SET", "REMOVE", "CREATE", "MERGE")
 
 # The reference's error classes (lower-cased substrings).
 RATE_LIMIT_MARKS = ("429", "rate_limit", "rate limit")
@@ -64,7 +64,7 @@ def mutation_keywords(text: Column) -> Column:
         excused = (k == F.lit("CREATE")) & (F.instr(u, "CREATE INDEX") > 0)
         return (first > 0) & ~excused & (F.instr(before, "RETURN") == 0)
 
-    cypher_hits = F.filter(F.array(*[F.lit(k) for k in DANGEROUS_CYPHER[2:]]),
+    cypher_hits = F.filter(F.array(*[F.lit(k) for k in DANGEROUS_CYPHER]),
                            cypher_hit)
     return F.when(F.size(sql_hits) > 0, sql_hits).otherwise(cypher_hits)
 
@@ -75,62 +75,40 @@ def py_list_repr(arr: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
 
 
+# The patterns by which replies are read.
+JSON_FENCE = r"(?s)```(?:json)?\s*\n?(.*?)\n?```"
+JSON_BRACES = r"(?s)(\{.*\})"
+QUERY_FENCE = r"(?s)```(?:sql|cypher)?\s*\n?(.*?)\n?```"
+MATCH_QUERY = r"(?is)(MATCH\s+.+)"
+SELECT_QUERY = r"(?is)(SELECT\s+.+)"
+
+
 def extract_json_candidate(text: Column) -> Column:
     """Text of the JSON object in a reply: the fenced block if any, then the
     widest ``{...}`` span inside it, else the whole (fenced) text."""
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*\n?(.*?)\n?```", 1)
-    has_fence = text.rlike(r"(?s)```(?:json)?\s*\n?(.*?)\n?```")
-    body = F.when(has_fence, fenced).otherwise(text)
-    brace = F.regexp_extract(body, r"(?s)(\{.*\})", 1)
-    return body, brace
+    body = F.when(text.rlike(JSON_FENCE), F.regexp_extract(text, JSON_FENCE, 1)).otherwise(text)
+    return body, F.regexp_extract(body, JSON_BRACES, 1)
 
 
-def extract_query_text(text: Column) -> Column:
+def with_query_text(df, text_col: str, out: str = "query"):
     """Query text of a reply: the fenced block (sql, cypher or unmarked);
     else from the first MATCH, else from the first SELECT, cut at the first
-    stop marker after position 0; else the stripped text."""
-    fence_re = r"(?s)```(?:sql|cypher)?\s*\n?(.*?)\n?```"
-    fenced = py_strip(F.regexp_extract(text, fence_re, 1))
-
-    def from_keyword(kw, stops):
-        pat = rf"(?is)({kw}\s+.+)"
-        q = py_strip(F.regexp_extract(text, pat, 1))
-        cut = F.lit(None).cast("int")
-        for s in stops:
-            pos = F.instr(q, s)  # 1-based; 0 = absent, 1 = at the start
-            cut = F.when((pos > 1) & (cut.isNull() | (pos < cut)), pos).otherwise(cut)
-        return text.rlike(pat), F.when(cut.isNull(), q).otherwise(
-            py_strip(F.substring(q, F.lit(1), cut - 1)))
-
-    m_ok, m_q = from_keyword("MATCH", MATCH_STOPS)
-    s_ok, s_q = from_keyword("SELECT", SELECT_STOPS)
-    return (F.when(text.rlike(fence_re), fenced)
-            .when(m_ok, m_q).when(s_ok, s_q).otherwise(py_strip(text)))
-
+    stop marker after position 0; else the stripped text.
 
-def with_query_text(df, text_col: str, out: str = "query"):
-    """DataFrame form of :func:`extract_query_text`, staged in steps.
-
-    The single nested expression is large enough to exceed the generated
-    code size limit (Spark then falls back to interpretation); computing
-    the candidates as intermediate columns keeps every step compiled.
+    Computing the candidates as intermediate columns keeps every step
+    compiled; as one nested expression it exceeds the generated code size.
     """
     text = F.col(text_col)
-    fence_re = r"(?s)```(?:sql|cypher)?\s*\n?(.*?)\n?```"
-    staged = df.withColumns({
-        "_fenced": F.when(text.rlike(fence_re),
-                          py_strip(F.regexp_extract(text, fence_re, 1))),
-        "_mq": F.when(text.rlike(r"(?is)(MATCH\s+.+)"),
-                      py_strip(F.regexp_extract(text, r"(?is)(MATCH\s+.+)", 1))),
-        "_sq": F.when(text.rlike(r"(?is)(SELECT\s+.+)"),
-                      py_strip(F.regexp_extract(text, r"(?is)(SELECT\s+.+)", 1))),
-    })
+
+    def found(pattern):
+        return F.when(text.rlike(pattern), py_strip(F.regexp_extract(text, pattern, 1)))
 
     def cut(q, stops):
         pos = F.array(*[F.instr(q, s) for s in stops])
         first = F.array_min(F.filter(pos, lambda p: p > 1))
         return F.when(first.isNull(), q).otherwise(py_strip(F.substring(q, F.lit(1), first - 1)))
 
+    staged = df.withColumns({"_fenced": found(QUERY_FENCE), "_mq": found(MATCH_QUERY), "_sq": found(SELECT_QUERY)})
     staged = staged.withColumns({"_mc": cut(F.col("_mq"), MATCH_STOPS),
                                  "_sc": cut(F.col("_sq"), SELECT_STOPS)})
     result = F.coalesce(F.col("_fenced"), F.col("_mc"), F.col("_sc"), py_strip(text))

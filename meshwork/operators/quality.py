@@ -336,7 +336,8 @@ def rare_value_columns(product: str, df: DataFrame,
     per = nn.groupBy("column_name").agg(F.sum("n").alias("total"),
                                         F.count(F.lit(1)).alias("distinct_count"))
     limit = F.greatest(F.lit(float(RARE_MIN_COUNT)), F.col("total") * RARE_SHARE)
-    rare = nn.join(per, "column_name").where(F.col("n") < limit)
+    # one row per column: the values stay where they are
+    rare = nn.join(F.broadcast(per), "column_name").where(F.col("n") < limit)
     examples = P.top_values(rare.select("column_name", "value", "n"), 5) \
         .groupBy("column_name").agg(
             F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))),

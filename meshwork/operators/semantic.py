@@ -83,7 +83,7 @@ def resolve_terms(inputs: DataFrame, index: DataFrame,
 
 def columns_for_term(resolved: DataFrame, glossary: DataFrame) -> DataFrame:
     """S3: distinct related columns of the resolved terms."""
-    return (resolved.join(F.broadcast(glossary.select("term", "related_columns")), "term")
+    return (resolved.join(glossary.select("term", "related_columns"), "term")
             .select("input_id", F.explode("related_columns").alias("column_name"))
             .distinct())
 
@@ -122,7 +122,7 @@ def enrich_queries(texts: DataFrame, index: DataFrame, glossary: DataFrame,
     first = m.groupBy(id_col, "term").agg(
         F.min(F.struct("pos", "len", "key_order")).alias("first"))
     gl = glossary.select("term", "definition", "related_columns")
-    per = (first.join(F.broadcast(gl), "term")
+    per = (first.join(gl, "term")
            .groupBy(id_col)
            .agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "term"))),
                             lambda s: s["term"]).alias("resolved_terms"),

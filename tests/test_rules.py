@@ -190,7 +190,7 @@ def test_extract_texts(spark):
             ("select 1 Explanation: x",), ("  plain  ",)]
     df = spark.createDataFrame(rows, "t string")
     body, brace = X.extract_json_candidate(F.col("t"))
-    out = df.select(brace.alias("b"), X.extract_query_text(F.col("t")).alias("q")).collect()
+    out = X.with_query_text(df.withColumn("b", brace), "t", "q").select("b", "q").collect()
     assert out[0].b == "{\"a\": 1}" and out[1].b == "{\"b\": 2}" and out[2].b == ""
     assert out[3].q == "MATCH (c) RETURN c"
     assert out[4].q == "MATCH (x) RETURN x"
