@@ -21,13 +21,18 @@ def shared_folder(spark: SparkSession) -> str:
     return checkpoint_dir(spark).rstrip("/")
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, narrow: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts the lineage: after the loss of an executor later steps read the
     table again, and rows and their numbering stay as they were written.
+    ``narrow`` tables hold a few numbers per row: they are written by at most
+    four tasks per core, so that many shuffle partitions don't become as many
+    tiny files.
     """
     spark = df.sparkSession
+    if narrow:
+        df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
     path = f"{shared_folder(spark)}/meshwork-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

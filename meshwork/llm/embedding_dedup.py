@@ -170,7 +170,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
     up to BLOCK rows is one block; in a larger one each block meets itself
     (side 2) and every other (sides 0 and 1)."""
     where = ["label", "dim", "tbl", "bucket"]
-    large = materialise(rows.groupBy(*where).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK))
+    large = materialise(rows.groupBy(*where).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK), narrow=True)
     if large.isEmpty():
         return rows.select("*", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side"))
     rows = rows.join(large, where, "left").withColumn("blocks", F.ceil(F.coalesce("size", F.lit(1)) / BLOCK).cast("int"))
@@ -186,29 +186,32 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, miss: float = 1
                     vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector."""
     e = F.col("embedding")
+    kind = dict(vectors.dtypes)[vector_col]
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
     table = vectors.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("vec_id"),
-                           F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("embedding"))
+                           F.col(label_col).alias("label"), F.col(vector_col).cast(kind).alias("embedding"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     usable = F.col("label").isNotNull() & e.isNotNull() & ~F.exists(e, bad) & F.exists(e, lambda x: x != 0)
     table = materialise(table.withColumn("usable", F.coalesce(usable, F.lit(False))))
     good = table.where("usable")
     classes = good.groupBy("label", "embedding").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("n"))
-    classes = materialise(classes.withColumn("dim", F.size("embedding").cast("long")))
-    sizes = materialise(classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("classes")))
+    classes = materialise(classes.withColumn("dim", F.size("embedding").cast("long")), narrow=True)
+    sizes = materialise(classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("classes")), narrow=True)
     rows = classes.join(sizes, ["label", "dim"]).select("rep", "n", "label", "embedding", "dim", "classes")
     label = dict(rows.dtypes)["label"]
     rows = materialise(rows.where("classes > 1").mapInArrow(
-        _rows(threshold, miss), f"rep long, n long, label {label}, embedding array<double>, dim long, classes long, "
+        _rows(threshold, miss), f"rep long, n long, label {label}, embedding {kind}, dim long, classes long, "
         "tbl int, bucket long"))
     found = materialise(_blocks(rows).groupBy("label", "dim", "tbl", "bucket", "i", "j").applyInArrow(
-        _bucket(threshold, miss), "a long, b long, n long"))
+        _bucket(threshold, miss), "a long, b long, n long"), narrow=True)
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("links")).withColumnRenamed("a", "rep")
     roots = connected_components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "rep")
     classes = classes.join(counts, "rep", "left").join(roots, "rep", "left").select(
         "label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
         F.coalesce("root", "rep").alias("root"))
-    members = materialise(good.join(materialise(classes), ["label", "embedding"]).select("row", "vec_id", "n_links", "root"))
-    ids = materialise(members.groupBy("root").agg(F.min("vec_id").alias("component_id")))
+    members = materialise(good.join(materialise(classes, narrow=True), ["label", "embedding"])
+                          .select("row", "vec_id", "n_links", "root"), narrow=True)
+    ids = materialise(members.groupBy("root").agg(F.min("vec_id").alias("component_id")), narrow=True)
     members = members.join(ids, "root").select("vec_id", "n_links", "component_id")
     alone = table.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"),
                                              F.col("vec_id").alias("component_id"))

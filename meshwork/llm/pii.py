@@ -172,18 +172,18 @@ def _score(rows: DataFrame, rounds: int, threshold: float) -> DataFrame:
     useful = edges.groupBy("pattern").agg(
         F.count(F.lit(1)).alias("size"), F.count(F.when(F.col("kind") < 0, 1)).alias("open"), *seeds)
     useful = useful.where((F.col("open") > 0) & (F.greatest(*(f"seeds{i}" for i in range(len(KINDS)))) >= SUPPORT))
-    useful = materialise(useful)
-    open_ = materialise(edges.where("kind < 0").join(useful.select("pattern"), "pattern").select("value", "pattern"))
+    useful = materialise(useful, narrow=True)
+    open_ = materialise(edges.where("kind < 0").join(useful.select("pattern"), "pattern").select("value", "pattern"), narrow=True)
     scores = open_.select("value").distinct().select("value", *(F.lit(0.0).alias(f"s{i}") for i in range(len(KINDS))))
     for _ in range(rounds):
         gained = open_.join(scores, "value").groupBy("pattern").agg(
             *(F.sum(f"s{i}").alias(f"g{i}") for i in range(len(KINDS))))
         trust = [F.when(F.col(f"seeds{i}") >= SUPPORT, (F.col(f"seeds{i}") + F.col(f"g{i}")) / (F.col("size") + 1))
                  .otherwise(0.0).alias(f"c{i}") for i in range(len(KINDS))]
-        patterns = materialise(useful.join(gained, "pattern").select("pattern", *trust))
+        patterns = materialise(useful.join(gained, "pattern").select("pattern", *trust), narrow=True)
         miss = lambda i: F.sum(F.log1p(-F.least(F.col(f"c{i}"), F.lit(1 - 1e-9))))
         scores = materialise(open_.join(patterns, "pattern").groupBy("value").agg(
-            *((1 - F.exp(miss(i))).alias(f"s{i}") for i in range(len(KINDS)))))
+            *((1 - F.exp(miss(i))).alias(f"s{i}") for i in range(len(KINDS)))), narrow=True)
     best = F.array_max(F.array(*(F.struct(F.col(f"s{i}").alias("s"), F.lit(-i).alias("i")) for i in range(len(KINDS)))))
     return scores.select("value", best.alias("best")).where(F.col("best.s") >= threshold).select(
         "value", (-F.col("best.i")).alias("kind"))
@@ -206,7 +206,7 @@ def with_spans(docs: DataFrame, text_col: str = "text", rounds: int = 4, thresho
     names = [f"__{k}" for k in KINDS]
     table = materialise(table.withColumn("__base", _spans(*names)).select(
         "__row", *columns, *names, "__other", "__base"))
-    rows = materialise(_occurrences(table.select("__row", *names, "__other")))
+    rows = materialise(_occurrences(table.select("__row", *names, "__other")), narrow=True)
     known = _score(rows, rounds, threshold)
     found = rows.where("kind < 0").drop("kind", "patterns").join(known, "value").groupBy("__row").agg(
         F.collect_set(F.struct("start", "kind", "end")).alias("__found"))

@@ -164,8 +164,8 @@ def links(prints: DataFrame, max_bits: int = 3) -> DataFrame:
     found = None
     while True:
         # a table of its own, so that the join can be split where a key is hot
-        sizes = materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-        rows = materialise(rows.join(sizes, "key"))
+        sizes = materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), narrow=True)
+        rows = materialise(rows.join(sizes, "key"), narrow=True)
         large = (F.col("n") > BUCKET) & (F.bit_count("free") > FEW) if "free" in rows.columns else F.col("n") > BUCKET
         small = rows.where(~large).groupBy("key").agg(F.collect_set("fp").alias("fps"))
         small = small.select("fps").mapInArrow(_links(max_bits), "a long, b long")
@@ -179,7 +179,7 @@ def links(prints: DataFrame, max_bits: int = 3) -> DataFrame:
 
 def components(prints: DataFrame, max_bits: int = 3) -> DataFrame:
     """(fp, root) for every fingerprint of a table with column ``fp``."""
-    nodes = materialise(prints.select("fp").distinct())
+    nodes = materialise(prints.select("fp").distinct(), narrow=True)
     roots = connected_components(links(nodes, max_bits)).withColumnRenamed("node", "fp")
     return nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
@@ -191,9 +191,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3, id_col
     prints = materialise(fingerprints(texts, shingle).select("doc_id", "fp"))
     roots = components(prints, max_bits)
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).join(roots, "fp")
-    least = materialise(least)
+    least = materialise(least, narrow=True)
     ids = least.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    ids = materialise(least.select("fp", "root").join(ids, "root").select("fp", "component_id"))
+    ids = materialise(least.select("fp", "root").join(ids, "root").select("fp", "component_id"), narrow=True)
     return prints.join(ids, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -178,12 +178,12 @@ def classify(rows: DataFrame) -> DataFrame:
     example of each repeated context that others may repeat in part)."""
     # counts become tables of their own, so that the joins with them can be
     # split where a bucket is hot
-    shared = materialise(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"))
-    shared = materialise(rows.join(shared, "bucket", "left_semi"))
+    shared = materialise(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), narrow=True)
+    shared = materialise(rows.join(shared, "bucket", "left_semi"), narrow=True)
     classes = shared.groupBy("bucket", "full").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "place")).alias("example"))
     mixed = classes.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    classes = materialise(classes.join(mixed, "bucket", "left"))
+    classes = materialise(classes.join(mixed, "bucket", "left"), narrow=True)
     open_ = F.col("classes").isNotNull() & ((F.col("n") == 1) | (F.col("example") == F.struct("k", "place")))
     flag = (F.col("n") > 1).cast("long") + open_.cast("long") * 2
     return (shared.join(classes, ["bucket", "full"]).withColumn("flag", flag).where("flag > 0")
@@ -277,7 +277,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
         if width == 1:
             marks.append(level)
             break
-        level = materialise(level)
+        level = materialise(level, narrow=True)
         marks.append(level.where(F.col("mark").bitwiseAND(F.lit(1 << 60)) > 0))
         again = level.where(F.col("mark").bitwiseAND(F.lit(1 << 61)) > 0).select(
             "k", F.col("mark").bitwiseAND(F.lit((1 << 60) - 1)).alias("mark"))

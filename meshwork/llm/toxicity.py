@@ -200,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_docs: int
     base = toxic_docs / max(toxic_docs + clean_docs, 1)
     words = sample.mapInArrow(_words, "word string, toxic long").groupBy("word").agg(
         F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    words = materialise(words)
+    words = materialise(words, narrow=True)
     # at most one row per word of the bounded sample
     tests = words.count()
     suspects = words.where(F.col("t") >= F.greatest(F.lit(2), 3 * F.col("c"))).orderBy(F.desc("t"), "word").limit(20 * examples)
