@@ -163,9 +163,10 @@ def links(prints: DataFrame, max_bits: int = 3) -> DataFrame:
     rows = spread.mapInArrow(_variants(max_bits), "key long, fp long")
     found = None
     while True:
-        # a table of its own, so that the join can be split where a key is hot
+        # a table of its own and a merge join, so that the join can be split
+        # where a key is hot and runs alike at every size
         sizes = materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), narrow=True)
-        rows = materialise(rows.join(sizes, "key"), narrow=True)
+        rows = materialise(rows.join(sizes.hint("merge"), "key"), narrow=True)
         large = (F.col("n") > BUCKET) & (F.bit_count("free") > FEW) if "free" in rows.columns else F.col("n") > BUCKET
         small = rows.where(~large).groupBy("key").agg(F.collect_set("fp").alias("fps"))
         small = small.select("fps").mapInArrow(_links(max_bits), "a long, b long")
