@@ -1,8 +1,10 @@
 """Helpers shared by the corpus operators."""
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,17 @@ def shared_folder(spark: SparkSession) -> str:
     return checkpoint_dir(spark).rstrip("/")
 
 
+def workers_import(spark: SparkSession) -> None:
+    """Let Python workers on this machine find the package when the driver
+    found it by ``sys.path`` only. A cluster has it installed or gets it with
+    ``--py-files``."""
+    root = str(Path(__file__).resolve().parents[2])
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [*paths, root]))
+
+
 def materialise(df: DataFrame, narrow: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 

@@ -1,16 +1,24 @@
 """One registered query per corpus operator, over its whole table."""
 from __future__ import annotations
 
+from functools import wraps
+
+from .common import workers_import
+
 QUERIES: dict = {}
 ORACLE: dict = {}
 
 
 def register(name: str, sql: str | None = None):
     def deco(fn):
-        QUERIES[name] = fn
+        @wraps(fn)
+        def run(spark, sf_dir):
+            workers_import(spark)
+            return fn(spark, sf_dir)
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql.strip()
-        return fn
+        return run
     return deco
 
 
