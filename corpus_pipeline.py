@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from meshwork.llm import decontaminate, labelled, packing, pii, quality, simhash
-from meshwork.llm.common import materialise
+from meshwork.llm.common import materialise, workers_import
 
 
 def _table(spark, sf_dir, name):
@@ -59,6 +59,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the documents of ``sf_dir``."""
+    workers_import(spark)
     docs = _table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir))
