@@ -113,20 +113,3 @@ def _ranges(start, length):
     """The numbers of all ranges start..start+length, one after the other."""
     total = np.cumsum(length)
     return np.arange(total[-1] if len(total) else 0) + np.repeat(start - total + length, length)
-
-
-class RankTokens:
-    """Token counts by a ``tiktoken`` rank file."""
-
-    def __init__(self, path: str):
-        import base64
-
-        import public_tokenizers
-        import tiktoken
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
-                                          special_tokens={})
-
-    def count_all(self, texts: list[str]) -> list[int]:
-        return [len(self.encoding.encode_ordinary(t)) for t in texts]
