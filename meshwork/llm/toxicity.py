@@ -9,16 +9,19 @@ runs of three or more one-letter words are read as one word.
 
 Training. Sentences of at most ``fit_docs`` labelled documents (a sentence
 of a toxic document need not be toxic: only some word of the document is).
-Spark counts in how many toxic and clean documents each word occurs. Words
+Spark counts in how many different sentences of toxic and of clean documents
+each word occurs; copies of a sentence count once, so that the words of a
+document that was copied often don't look toxic with it. Words
 whose counts give them away as toxic are the positive examples; the words of
 clean documents that are most frequent, and those most like a positive, are
 the negative ones. Landmarks are taken from both; the kernel against the
 landmarks, times the inverse root of their kernel matrix, gives the features
-of a linear SVM trained by subgradient descent. Because kernel values are
+of a linear SVM. Because kernel values are
 inner products, landmarks and weights fold into one number per subsequence.
 
 Scoring. A sentence scores as its most toxic word; a document has the three
-highest margins of its words (repetitions count), and a logistic function of them,
+highest margins of its words (repetitions count), and a logistic function of
+them and of the number of words,
 fitted on the sample, is the probability.
 
 Edge cases: null and empty texts and texts without letters have no word and
@@ -28,23 +31,26 @@ toxic labels (0.0 without labels); an empty table gives an empty result.
 """
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, append_columns, materialise, schema_with, span_ids, text_blocks, word_spans
 from .labelled import fit_sample, fold
 
-DECAY = 0.6
+DECAY = 0.45
 SPAN = 5
 LETTER_BITS = 6
 SIZE = 1 << 3 * LETTER_BITS
-ROUNDS = 4
+ROUNDS = 5
 #: Words whose margin a task remembers (20 bytes each).
 KNOWN_WORDS = 4_000_000
 #: Margins count from LOW (that of no word) to HIGH; a document has TOP of them.
-LOW, HIGH, TOP = -3.0, 3.5, 3
+LOW, HIGH, TOP = -2.0, 2.0, 3
 _STEPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN) if a + b < SPAN]
 _CODES = None
 
@@ -91,12 +97,22 @@ def subsequences(words: list[str]):
 
 
 def kernel(a: list[str], b: list[str]) -> np.ndarray:
-    (oa, sa, wa), (ob, sb, wb) = subsequences(a), subsequences(b)
-    subs = np.unique(np.concatenate([sa, sb]))
-    x, y = np.zeros((len(a), len(subs)), np.float32), np.zeros((len(b), len(subs)), np.float32)
-    x[oa, np.searchsorted(subs, sa)] = wa
-    y[ob, np.searchsorted(subs, sb)] = wb
-    return (x @ y.T).astype(np.float64)
+    """Kernel values of the words of ``a`` (in parts) and ``b``."""
+    owner, sub, weight = subsequences(b)
+    subs = np.unique(sub)
+    right = np.zeros((len(subs), len(b)), np.float32)
+    right[np.searchsorted(subs, sub), owner] = weight
+    out = np.empty((len(a), len(b)))
+    for lo in range(0, len(a), 500):
+        part = a[lo:lo + 500]
+        owner, sub, weight = subsequences(part)
+        at = np.searchsorted(subs, sub)
+        own = at < len(subs)
+        own[own] = subs[at[own]] == sub[own]
+        left = np.zeros((len(part), len(subs)), np.float32)
+        left[owner[own], at[own]] = weight[own]
+        out[lo:lo + len(part)] = left @ right
+    return out
 
 
 def margins(words: list[str], weights: np.ndarray) -> np.ndarray:
@@ -126,57 +142,65 @@ def spelled(words: list[str]) -> list[str]:
     return out
 
 
-def _words(batches):
-    """Distinct words of each document of the sample."""
+_ENDS = re.compile(r"[.!?\n]+")
+
+
+def _sentences(batches):
+    """The sentences of the sample's documents: identifier, label, words."""
     for block, _, _ in text_blocks(batches, "text"):
-        words, labels = [], []
+        ids, labels, words = [], [], []
         for text, label in zip(block.column(block.schema.get_field_index("text")).to_pylist(),
                                block.column(block.schema.get_field_index("label")).to_pylist()):
-            own = tokens(text or "")
-            own = {normal(w) for w in own} | set(spelled(own))
-            own.discard("")
-            words += own
-            labels += [int(label > 0)] * len(own)
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(labels, pa.int64())],
-                                         names=["word", "toxic"])
-
-
-def train_words(toxic: dict[str, float], clean: dict[str, int], landmarks: int = 384, epochs: int = 40, seed: int = 5):
-    """One weight per subsequence, and the offset, from toxic words with the
-    margin asked of them and clean words (margin -1) with their documents."""
-    counts = np.sqrt(np.array([*clean.values()], float))
-    toxic, clean, asked = list(toxic), list(clean), np.array([*toxic.values(), *[1.0] * len(clean)])
-    rng = np.random.default_rng(seed)
+            for sentence in {s.strip() for s in _ENDS.split((text or "").lower())}:
+                own = tokens(sentence)
+                own = {normal(w) for w in own} | set(spelled(own))
+                own.discard("")
+                if own:
+                    ids.append(xxhash.xxh64_intdigest(sentence) - 2**63)
+                    labels.append(int(label > 0))
+                    words.append(sorted(own))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, pa.int64()),
+                                          pa.array(words, pa.list_(pa.string()))], names=["id", "toxic", "words"])
+
+
+def train_words(toxic: dict[str, int], clean: dict[str, int], landmarks: int = 768, ridge: float = 0.01,
+                steps: int = 30):
+    """One weight per subsequence, and the offset, from toxic and clean words
+    with the numbers of their sentences.
+
+    The linear SVM (squared hinge; clean words weigh ten times as much in
+    total, each word by the root of its number) is solved in its primal form by Newton's
+    method on the examples inside the margin.
+    """
     half = landmarks // 2
-    marks = list(dict.fromkeys(toxic[:half] + clean[:half]))
+    marks = list(dict.fromkeys([*toxic][:half] + [*clean][:half]))
     values, vectors = np.linalg.eigh(kernel(marks, marks))
-    use = values > 1e-4
+    use = values > 1e-3
     root = vectors[:, use] / np.sqrt(values[use])
-    words = toxic + clean
+    words = [*toxic, *clean]
+    x = np.hstack([kernel(words, marks) @ root, np.ones((len(words), 1))])
     sign = np.array([1.0] * len(toxic) + [-1.0] * len(clean))
-    x = kernel(words, marks) @ root
-    x = np.hstack([x, np.ones((len(x), 1))])
-    weight = np.concatenate([np.full(len(toxic), 0.5 / max(len(toxic), 1)), 0.5 * counts / max(counts.sum(), 1)]) * len(words)
-    w, decay, t = np.zeros(x.shape[1]), 1e-4, 0
-    total = np.zeros_like(w)
-    for epoch in range(epochs):
-        for i in rng.permutation(len(words)):
-            t += 1
-            step = 1 / (decay * (t + 1000))
-            w *= 1 - step * decay
-            if sign[i] * (x[i] @ w) < asked[i]:
-                w += min(step, 0.5) * weight[i] * sign[i] * x[i]
-        if epoch >= epochs // 2:
-            total += w
-    w = total / (epochs - epochs // 2)
+    weight = np.sqrt(np.array([*toxic.values(), *clean.values()], float))
+    weight[sign > 0] *= 100 / weight[sign > 0].sum()
+    weight[sign < 0] *= 1000 / weight[sign < 0].sum()
+    w = np.zeros(x.shape[1])
+    penalty = ridge * np.eye(x.shape[1])
+    penalty[-1, -1] = 1e-6
+    for _ in range(steps):
+        inside = sign * (x @ w) < 1
+        rows = x[inside] * weight[inside, None]
+        new = np.linalg.solve(penalty + rows.T @ x[inside], rows.T @ sign[inside])
+        if np.allclose(new, w, atol=1e-6):
+            break
+        w = new
     alpha = root @ w[:-1]
     owner, sub, value = subsequences(marks)
     return np.bincount(sub, value * alpha[owner], SIZE), float(w[-1])
 
 
-def telling(counts: list, toxic_docs: int, clean_docs: int, tests: int):
-    """(word, toxic, clean documents) of words that toxic documents alone explain."""
-    base = toxic_docs / max(toxic_docs + clean_docs, 1)
+def telling(counts: list, toxic_n: int, clean_n: int, tests: int):
+    """(word, toxic, clean sentences) of words that toxic documents alone explain."""
+    base = toxic_n / max(toxic_n + clean_n, 1)
     out = []
     for word, t, c in counts:
         n = t + c
@@ -194,38 +218,39 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_docs: int
     """A model from the labelled documents; ``labels`` holds the rows that may be used."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sample = fit_sample(rows, labels, label, id_col, fit_docs).select("text", "label")
-    kinds = {r.toxic: r.n for r in sample.groupBy((F.col("label") > 0).cast("int").alias("toxic"))
-             .agg(F.count(F.lit(1)).alias("n")).collect()}
-    toxic_docs, clean_docs = kinds.get(1, 0), kinds.get(0, 0)
-    base = toxic_docs / max(toxic_docs + clean_docs, 1)
-    words = sample.mapInArrow(_words, "word string, toxic long").groupBy("word").agg(
+    # copies count once: of the documents and, for the words, of the sentences
+    sample = materialise(sample.dropDuplicates(["text", "label"]), narrow=True)
+    base = sample.agg(F.avg((F.col("label") > 0).cast("int"))).first()[0] or 0.0
+    sentences = sample.mapInArrow(_sentences, "id long, toxic long, words array<string>").dropDuplicates(["id", "toxic"])
+    sentences = materialise(sentences, narrow=True)
+    kinds = {r.toxic: r.n for r in sentences.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    toxic_n, clean_n = kinds.get(1, 0), kinds.get(0, 0)
+    words = sentences.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(
         F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     words = materialise(words, narrow=True)
     # at most one row per word of the bounded sample
     tests = words.count()
     suspects = words.where(F.col("t") >= F.greatest(F.lit(2), 3 * F.col("c"))).orderBy(F.desc("t"), "word").limit(20 * examples)
     suspects = [(r.word, r.t, r.c) for r in suspects.collect()]
-    # the margin asked of a word grows with its log odds
-    asked = {w: float(np.clip(np.log((t + 0.5) / (c + 0.5) * clean_docs / toxic_docs) / 2.5, 1, HIGH))
-             for w, t, c in suspects} if toxic_docs and clean_docs else {}
-    toxic = [w for w, _, _ in telling(suspects, toxic_docs, clean_docs, tests)][:examples] if asked else []
+    found = telling(suspects, toxic_n, clean_n, tests)[:examples] if toxic_n and clean_n else []
+    toxic = {w: t for w, t, _ in found}
     if not toxic:
         return None, base
     plain = words.where("t <= c").where("c >= 1")
     common = {r.word: r.c for r in plain.orderBy(F.desc("c"), "word").limit(examples).collect()}
-    sums = subsequences(toxic)
+    sums = subsequences([*toxic])
     weights = (np.bincount(sums[1], sums[2], SIZE) / len(toxic), 0.0)
     for turn in range(ROUNDS):
         # words of clean documents that look toxic so far, and rarer words of
         # toxic documents that do
         scored = plain.select("word", "c").mapInArrow(_margins(weights), "word string, c long, margin double")
-        like = scored.orderBy(F.desc("margin"), "word").limit(examples).collect()
+        like = scored.orderBy(F.desc("margin"), "word").limit(2 * examples).collect()
         common = {**{r.word: r.c for r in like}, **common}
-        if turn:
+        if turn == ROUNDS - 1:
             m = margins([w for w, _, _ in suspects], weights[0]) + weights[1]
-            rarer = [w for (w, _, _), x in sorted(zip(suspects, m.tolist()), key=lambda y: -y[1]) if x > 0]
-            toxic = list(dict.fromkeys(toxic + rarer))[:2 * examples]
-        weights = train_words({w: asked[w] for w in toxic}, common)
+            rarer = sorted(((x, w, t) for (w, t, _), x in zip(suspects, m.tolist()) if x > 0.5), reverse=True)
+            toxic = {**toxic, **{w: t for _, w, t in rarer[:examples] if w not in toxic}}
+        weights = train_words(toxic, common)
     rows = sample.mapInArrow(_score((weights, None), "text", "z"), schema_with(sample, "z array<double>"))
     rows = [(r.z, int(r.label > 0)) for r in rows.select("z", "label").collect()]
     return weights, logistic(np.array([z for z, _ in rows]), np.array([y for _, y in rows]))
@@ -285,7 +310,8 @@ class Words:
         self.letters = np.insert(self.letters, at, letters)
 
     def highest(self, data, offsets) -> np.ndarray:
-        """The TOP highest margins of each text of a block."""
+        """The TOP highest margins of each text of a block, and the negative
+        logarithm of its number of words."""
         start, stop = word_spans(data, offsets)
         counts = np.diff(np.searchsorted(start, offsets))
         keys, first, which = np.unique(span_ids(LOWER[data], start, stop), return_index=True, return_inverse=True)
@@ -317,7 +343,8 @@ class Words:
         order = np.lexsort((-margin, doc))
         doc, margin = doc[order], margin[order]
         begin = np.searchsorted(doc, np.arange(len(counts) + 1))
-        out = np.full((len(counts), TOP), LOW)
+        out = np.full((len(counts), TOP + 1), LOW)
+        out[:, TOP] = -np.log1p(counts)  # long texts have high margins by chance
         for k in range(TOP):
             has = begin[:-1] + k < begin[1:]
             out[has, k] = margin[begin[:-1][has] + k]
