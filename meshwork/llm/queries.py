@@ -50,7 +50,29 @@ def op7_quality(spark, sf_dir):
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-@register("op8_decontaminate")
+_WORDS_SQL = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+              "'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')")
+
+OP8_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS_SQL} AS ws FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {_WORDS_SQL} AS ws FROM benchmark),
+k AS (SELECT item, least(13, len(ws)) AS n, unnest(range(1, greatest(len(ws) - 13, 0) + 2)) AS i, ws
+      FROM b WHERE len(ws) > 0),
+win AS (SELECT DISTINCT item, n, array_to_string(ws[i:i + n - 1], ' ') AS g FROM k),
+p AS (SELECT r, n, unnest(range(1, len(ws) - n + 2)) AS j, ws
+      FROM d, (SELECT DISTINCT n FROM win) WHERE len(ws) >= n),
+hit AS (SELECT DISTINCT p.r, p.j, p.n, win.item
+        FROM (SELECT r, n, j, array_to_string(ws[j:j + n - 1], ' ') AS g FROM p) p JOIN win USING (n, g)),
+nh AS (SELECT r, count(*) AS c FROM (SELECT DISTINCT r, unnest(range(j, j + n)) AS pos FROM hit) GROUP BY r),
+it AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS s FROM hit GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(c, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(s, '')) AS items_sha256,
+       coalesce(c, 0) > 0 AND 20 * coalesce(c, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN nh USING (r) LEFT JOIN it USING (r)
+"""
+
+
+@register("op8_decontaminate", OP8_SQL)
 def op8_decontaminate(spark, sf_dir):
     from .decontaminate import find_contamination
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
