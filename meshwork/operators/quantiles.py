@@ -127,15 +127,20 @@ def exact_quantiles(df: DataFrame, columns, probs, small: int = DEFAULT_SMALL,
                                    "column_name string, rank long, value double")
     open_ = [t for t in targets.values() if t.value is None]
     if open_:
-        arms = F.array(*[F.struct(F.lit(t.column).alias("column_name"), F.lit(t.rank).cast("long").alias("rank"),
-                                  F.lit(t.below).cast("long").alias("below"), t.band().alias("v")) for t in open_])
+        # ranks of the same band share its rows
+        bands = {}
+        for t in open_:
+            bands.setdefault((t.column, t.low, t.high, t.below), []).append(t)
+        arms = F.array(*[F.struct(F.lit(i).alias("band"), own[0].band().alias("v"))
+                         for i, own in enumerate(bands.values())])
         band = (df.select(F.inline(arms)).where(F.col("v").isNotNull())
-                .groupBy("column_name", "rank", "below", "v").agg(F.count(F.lit(1)).alias("n")))
-        upto = Window.partitionBy("column_name", "rank").orderBy("v").rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)
-        end = F.col("below") + F.sum("n").over(upto)
-        ranked = band.withColumn("end", end).where(
-            (F.col("end") > F.col("rank")) & (F.col("end") - F.col("n") <= F.col("rank")))
+                .groupBy("band", "v").agg(F.count(F.lit(1)).alias("n")))
+        ranks = spark.createDataFrame([(i, t.column, t.rank, t.below) for i, own in enumerate(bands.values()) for t in own],
+                                      "band int, column_name string, rank long, below long")
+        upto = Window.partitionBy("band").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ranked = band.withColumn("end", F.sum("n").over(upto)).join(F.broadcast(ranks), "band").where(
+            (F.col("below") + F.col("end") > F.col("rank"))
+            & (F.col("below") + F.col("end") - F.col("n") <= F.col("rank")))
         solved = solved.unionByName(ranked.select("column_name", "rank", F.col("v").alias("value")))
     wanted = spark.createDataFrame(wanted, "column_name string, p double, lo long, hi long, frac double")
     of = lambda rank, name: F.max(F.when(F.col("rank") == F.col(rank), F.col("value"))).alias(name)

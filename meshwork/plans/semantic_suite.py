@@ -57,9 +57,16 @@ r as (select input_id, term, min(key_order) as key_order from f
       where (has_ex and ex) or not has_ex group by 1, 2)"""
 
 
+def _documents(spark, sf):
+    """The documents over all cores: the test tables are one row group each,
+    which one task would read and split into phrases."""
+    return table(spark, sf, "documents").select("doc_id", "text").repartition(
+        spark.sparkContext.defaultParallelism, "doc_id")
+
+
 def _resolved(spark, sf):
     """Resolve every distinct word of the documents (the corpus vocabulary)."""
-    docs = table(spark, sf, "documents")
+    docs = _documents(spark, sf)
     vocab = (S.phrases(docs.select("doc_id", "text"), "doc_id", "text", max_len=1)
              .select(F.col("phrase").alias("input_id")).distinct()
              .withColumn("text", F.col("input_id")))
@@ -99,7 +106,7 @@ select d.doc_id as query_id, coalesce(a.resolved_terms, '') as resolved_terms,
 from documents d left join a using (doc_id)
 """)
 def enrich_queries(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), "text")
+    docs = _documents(spark, sf).select(F.col("doc_id").alias("query_id"), "text")
     out = S.enrich_queries(docs, S.term_index(_glossary(spark)), _glossary(spark))
     return out.select("query_id", F.array_join("resolved_terms", "|").alias("resolved_terms"),
                       F.array_join("suggested_columns", ",").alias("suggested_columns"),
