@@ -12,7 +12,7 @@ the same two passes as profiling.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import profile as P
@@ -31,6 +31,11 @@ EXPECT_MIN_VALIDITY = 0.90
 EXPECT_MAX_DUPLICATES_PERCENT = 5.0
 CATEGORICAL_MAX_DISTINCT = 20
 
+#: A message names the most frequent invalid values of a column up to these
+#: bounds and their number; all of them are rows of ``invalid_values``.
+MESSAGE_VALUES = 100
+MESSAGE_CHARS = 10_000
+
 CONTRACT_SCHEMA = (
     "product string, version string, owner string, team string, "
     "domain string, description string, tags array<string>, "
@@ -108,6 +113,25 @@ def _pct1(x):
     return F.format_string("%.1f", F.round(x, 1))
 
 
+def _outside(vc: DataFrame, lists: DataFrame) -> DataFrame:
+    """Value counts outside the allowed list of their column."""
+    return (vc.where(F.col("value").isNotNull())
+            .join(F.broadcast(lists.select("column_name", "allowed_values")), "column_name")
+            .where(~F.array_contains("allowed_values", F.col("value")))
+            .select("column_name", "value", "n"))
+
+
+def invalid_values(product: str, df: DataFrame, contract_columns: DataFrame,
+                   vc: DataFrame | None = None) -> DataFrame:
+    """Every distinct non-null value outside the allowed list as a row
+    (product, column_name, check, value, n); ``n`` data rows hold it. Values
+    are never gathered, so a column may have any number of them."""
+    vc = P.value_counts(df) if vc is None else vc
+    lists = contract_columns.where((F.col("product") == product) & (F.size("allowed_values") > 0))
+    return _outside(vc, lists).select(F.lit(product).alias("product"), "column_name",
+                                      F.lit("allowed").alias("check"), "value", "n")
+
+
 def contract_violations(product: str, df: DataFrame, contract_columns: DataFrame,
                         vc: DataFrame | None = None) -> DataFrame:
     """One row per violation: (product, column_name, check, message).
@@ -115,11 +139,13 @@ def contract_violations(product: str, df: DataFrame, contract_columns: DataFrame
     * missing   contract column absent from the data (other checks skipped)
     * nullable  ``nullable=False`` but missing values exist
     * unique    ``unique=True`` but a value repeats (null counts as a value)
-    * allowed   non-null values outside the allowed list
+    * allowed   non-null values outside the allowed list, listed in order
 
     Counts come from one column profile (value counts + wide statistics);
     only columns with unexpected values go back to the value counts to list
-    them.
+    them. A list of more than ``MESSAGE_VALUES`` values or ``MESSAGE_CHARS``
+    characters names the most frequent ones and how many there are in all;
+    :func:`invalid_values` has every one as a row.
     """
     vc = P.value_counts(df) if vc is None else vc
     cc = contract_columns.where(F.col("product") == product)
@@ -145,18 +171,21 @@ def contract_violations(product: str, df: DataFrame, contract_columns: DataFrame
                               .alias("v"))
                .select(F.lit(product).alias("product"), "column_name", "v.check", "v.message"))
     bad_cols = prof.where(F.col("has_allowed") & (F.col("invalid_count") > 0)) \
-        .select("column_name", "allowed_values")
-    invalid = (vc.where(F.col("value").isNotNull())
-               .join(F.broadcast(bad_cols), "column_name")
-               .where(~F.array_contains("allowed_values", F.col("value")))
-               .groupBy("column_name")
-               .agg(F.array_sort(F.collect_list("value")).alias("invalid"),
-                    F.first("allowed_values").alias("allowed_values")))
-    bad = invalid.select(
+        .select("column_name", "allowed_values", "invalid_count")
+    running = Window.partitionBy("column_name").orderBy("rank")
+    listed = (P.top_values(_outside(vc, bad_cols), MESSAGE_VALUES)
+              .withColumn("chars", F.sum(F.length("value") + 2).over(running))
+              .where(F.col("chars") <= MESSAGE_CHARS)
+              .groupBy("column_name")
+              .agg(F.array_sort(F.collect_list("value")).alias("invalid")))
+    invalid = F.coalesce("invalid", F.array().cast("array<string>"))
+    more = F.when(F.size(invalid) < F.col("invalid_count"), F.array(F.format_string(
+        "... (%d values in all)", "invalid_count"))).otherwise(F.array().cast("array<string>"))
+    bad = bad_cols.join(F.broadcast(listed), "column_name", "left").select(
         F.lit(product).alias("product"), "column_name",
         F.lit("allowed").alias("check"),
         F.format_string("%s: invalid values [%s] (allowed: [%s])", "column_name",
-                        F.array_join("invalid", ", "),
+                        F.array_join(F.concat(invalid, more), ", "),
                         F.array_join("allowed_values", ", ")).alias("message"))
     return missing.unionByName(counted).unionByName(bad)
 

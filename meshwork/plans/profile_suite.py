@@ -250,6 +250,26 @@ def contract_violations(spark, sf):
     return _violations(spark, sf)
 
 
+#: A list that allows one customer name: all other names are invalid.
+ONE_CUSTOMER = "Customer#000000001"
+
+
+@register("contract_invalid_values", with_views("\nunion all ".join([
+    f"select '{view}' as product, '{c}' as column_name, 'allowed' as \"check\", {c} as value, count(*) as n from {view} "
+    f"where {c} is not null and {c} not in (select {c} from orders) and (select count(distinct {c}) <= 20 from orders) group by {c}"
+    for view in ("orders_nulls", "orders_dups", "orders_badvals") for c, _t, is_text in ORDERS_COLS if is_text]
+    + [f"select 'customer', 'c_name', 'allowed', c_name, count(*) from customer where c_name <> '{ONE_CUSTOMER}' group by c_name"]),
+    "orders_nulls", "orders_dups", "orders_badvals"))
+def contract_invalid_values(spark, sf):
+    """Every invalid value as a row, also of an id-like column."""
+    contract = orders_contract(spark, sf)
+    one = spark.createDataFrame([("customer", "c_name", "string", True, False, [ONE_CUSTOMER], "")], C.COLUMN_SCHEMA)
+    out = C.invalid_values("customer", table(spark, sf, "customer"), one)
+    for name in ("orders_nulls", "orders_dups", "orders_badvals"):
+        out = out.unionByName(C.invalid_values(name, VIEWS[name](spark, sf), contract.withColumn("product", F.lit(name))))
+    return out
+
+
 @register("contract_status", with_views(
     "with " + _VIOL_SQL.strip()[5:].replace(
         "select product, column_name, \"check\", message from v where hit",

@@ -107,8 +107,8 @@ def discover_products(spark: SparkSession, folder: str,
 def publish_product(registry: dict, name: str, df: DataFrame,
                     contract=None) -> dict:
     """Add or replace one product in a registry dict: its frame, column
-    profile, contract columns (``contract``, or inferred from the data) and
-    the violations of the contract.
+    profile, contract columns (``contract``, or inferred from the data), the
+    violations of the contract and the invalid values as rows.
 
     The product is also registered as a temporary view so SQL users can reach
     it by name.
@@ -119,7 +119,8 @@ def publish_product(registry: dict, name: str, df: DataFrame,
     columns = C.infer_contract(name, df, counts) if contract is None else contract
     df.createOrReplaceTempView(name)
     registry[name] = {"df": df, "contract": columns, "profile": P.column_profile(df, counts),
-                      "violations": C.contract_violations(name, df, columns, counts)}
+                      "violations": C.contract_violations(name, df, columns, counts),
+                      "invalid_values": C.invalid_values(name, df, columns, counts)}
     return registry
 
 
