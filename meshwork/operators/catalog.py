@@ -85,8 +85,19 @@ USAGE_SCHEMA = ("product string, query string, columns_accessed array<string>, "
                 "user_role string, timestamp timestamp")
 
 
+def usage_rows(runs: DataFrame) -> DataFrame:
+    """M6: usage rows of ``runs(query, products, relevant_columns, user_role,
+    timestamp)``, ``relevant_columns`` a map of product to columns: one row
+    per product used, each with the columns of all products (T17, as in the
+    reference); runs without products have none; the role is ``analyst`` if
+    null."""
+    columns = F.coalesce(F.flatten(F.map_values("relevant_columns")), F.array().cast("array<string>"))
+    return runs.select(F.explode("products").alias("product"), "query", columns.alias("columns_accessed"),
+                       F.coalesce("user_role", F.lit("analyst")).alias("user_role"), "timestamp")
+
+
 def record_usage(usage_log: DataFrame, path: str) -> None:
-    """M6: append a batch of usage rows to the usage table."""
+    """M6: append a batch of usage rows (see ``usage_rows``) to the usage table."""
     usage_log.write.mode("append").parquet(path)
 
 

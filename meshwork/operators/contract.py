@@ -254,3 +254,28 @@ def check_expectations(product: str, dims: DataFrame, dup: DataFrame,
             F.col("duplicate_pct"),
             F.col("duplicate_pct") <= F.col("max_duplicates_percent")))
     return row.select("product", F.inline(arms))
+
+
+def check_terms(product: str, df: DataFrame, contract_columns: DataFrame, contracts: DataFrame,
+                last_modified: DataFrame, as_of=None) -> DataFrame:
+    """C9, the other arms, in the columns of :func:`check_expectations`:
+
+    * expected_type  share of the contract's columns (with a type) that the
+                     data has in that type; all must
+    * max_age_hours  hours from ``last_modified`` (one row) to ``as_of`` (now
+                     if null) against the contract's ``freshness_hours``; null
+                     if the time of the last change isn't known
+    """
+    cc = contract_columns.where((F.col("product") == product) & F.col("expected_type").isNotNull())
+    own = F.broadcast(P.schema_table(df).select("column_name", "data_type"))
+    same = F.coalesce(F.col("data_type") == F.col("expected_type"), F.lit(False))
+    share = cc.join(own, "column_name", "left").agg((F.count_if(same) / F.nullif(F.count(F.lit(1)), F.lit(0))).alias("actual"))
+    types = share.select(F.lit(product).alias("product"), F.lit("expected_type").alias("expectation"),
+                         F.lit(1.0).alias("threshold"), F.col("actual").cast("double"),
+                         F.coalesce(F.col("actual") == 1, F.lit(True)).alias("passed"))
+    now = F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
+    hours = F.timestamp_diff("MICROSECOND", F.col("last_modified").cast("timestamp"), now) / 3.6e9
+    age = contracts.where(F.col("product") == product).crossJoin(last_modified.select(hours.alias("actual"))).select(
+        "product", F.lit("max_age_hours").alias("expectation"), F.col("freshness_hours").cast("double").alias("threshold"),
+        "actual", (F.col("actual") <= F.col("freshness_hours")).alias("passed"))
+    return types.unionByName(age)

@@ -177,13 +177,17 @@ def compliance_history(results: DataFrame, checked_at: Column | None = None) ->
 
 def compliance_summary(rules: DataFrame, policies: DataFrame,
                        history: DataFrame) -> DataFrame:
-    """Counts of global rules, domain rules, policies, personal-data
-    products and checks."""
+    """Counts of global rules, domain rules (in all and per domain),
+    policies, personal-data products and checks; the newest check (null
+    without any; of equal times the last product by name)."""
     r = rules.agg(F.count_if(F.col("scope") == "global").alias("total_rules"),
                   F.count_if(F.col("scope") == "domain").alias("domain_rules"))
     p = policies.agg(F.count(F.lit(1)).alias("access_policies"),
                      F.array_sort(F.collect_list(F.when(F.size("pii_columns") > 0,
                                                         F.col("product"))))
                      .alias("pii_products"))
-    h = history.agg(F.count(F.lit(1)).alias("compliance_checks"))
-    return r.crossJoin(p).crossJoin(h)
+    newest = F.max_by(F.struct("product", "overall", "rules_checked", "passed", "timestamp"), F.struct("timestamp", "product"))
+    h = history.agg(F.count(F.lit(1)).alias("compliance_checks"), newest.alias("latest_results"))
+    d = (rules.where(F.col("scope") == "domain").groupBy("domain").agg(F.count(F.lit(1)).alias("rules"))
+         .agg(F.array_sort(F.collect_list(F.struct("domain", "rules"))).alias("rules_by_domain")))
+    return r.crossJoin(p).crossJoin(h).crossJoin(d)

@@ -1,7 +1,7 @@
 """Lineage graphs and run logs of query runs (survey ops L1-L7).
 
 Runs are a table ``runs(trace_id, products array<string>, query_text,
-row_count, error)``; every run gets a small lineage graph: one source node
+row_count, error)``, with ``created_at`` if the time of a run is known; every run gets a small lineage graph: one source node
 per product used (else every catalog product, else ``data_source``), two
 transform nodes and one sink, linked by read / analyze / certify edges.
 Node ids are derived from the trace id, so they are stable when a task is
@@ -23,7 +23,8 @@ NODE_SCHEMA = ("trace_id string, node_id string, node_type string, label string,
 
 
 def lineage_graphs(runs: DataFrame, catalog_products: DataFrame | None = None):
-    """L1: (nodes, edges) for every run."""
+    """L1: (nodes, edges) for every run; nodes have the ``created_at`` of
+    runs that have one."""
     spark = runs.sparkSession
     if catalog_products is None:
         catalog_products = spark.createDataFrame([], "product string")
@@ -35,9 +36,10 @@ def lineage_graphs(runs: DataFrame, catalog_products: DataFrame | None = None):
         .otherwise(F.array(F.lit("data_source"))))
     tid = F.col("trace_id")
     t1, t2, sk = (F.concat(tid, F.lit(s)) for s in (":t1", ":t2", ":k"))
-    src = r.select("trace_id", F.posexplode("_srcs").alias("pos", "label"))
+    run = [c for c in ("trace_id", "created_at") if c in runs.columns]
+    src = r.select(*run, F.posexplode("_srcs").alias("pos", "label"))
     src_nodes = src.select(
-        "trace_id", F.concat(tid, F.lit(":s"), F.col("pos").cast("string")).alias("node_id"),
+        *run, F.concat(tid, F.lit(":s"), F.col("pos").cast("string")).alias("node_id"),
         F.lit("source").alias("node_type"), "label",
         F.create_map(F.lit("type"), F.lit("csv")).alias("metadata"))
     arms = F.array(
@@ -52,7 +54,7 @@ def lineage_graphs(runs: DataFrame, catalog_products: DataFrame | None = None):
                  F.lit(SINK_LABEL).alias("label"),
                  F.create_map(F.lit("rows"), F.coalesce(F.col("row_count"), F.lit(0))
                               .cast("string")).alias("metadata")))
-    other = r.select("trace_id", F.inline(arms))
+    other = r.select(*run, F.inline(arms))
     nodes = src_nodes.unionByName(other)
     read = src_nodes.select("trace_id", F.col("node_id").alias("from_node"),
                             F.concat(tid, F.lit(":t1")).alias("to_node"),
@@ -84,8 +86,9 @@ def edge_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def trace_sizes(nodes: DataFrame) -> DataFrame:
-    """L4: trace id and node count."""
-    return nodes.groupBy("trace_id").agg(F.count(F.lit(1)).alias("node_count"))
+    """L4: trace id, time (if nodes have it) and node count."""
+    run = [c for c in ("trace_id", "created_at") if c in nodes.columns]
+    return nodes.groupBy(*run).agg(F.count(F.lit(1)).alias("node_count"))
 
 
 def platform_metrics(products: DataFrame, graph_nodes: DataFrame,

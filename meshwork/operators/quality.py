@@ -36,6 +36,7 @@ DUP_CRITICAL_PCT, DUP_WARNING_PCT = 5, 1
 UNIQUE_KEY_PENALTY = 10
 MISSING_COLUMN_PENALTY = 5
 INVALID_PENALTY_CAP = 10
+INVALID_EXAMPLES = 5
 MIXED_TYPE_SHARE, MIXED_TYPE_PENALTY = 0.9, 3
 IQR_FACTOR, OUTLIER_PCT, OUTLIER_PENALTY = 3, 5, 5
 RARE_SHARE, RARE_MIN_COUNT, RARE_MIN_DISTINCT, RARE_PENALTY = 0.001, 2, 5, 2
@@ -251,6 +252,17 @@ def validity_dimension(product: str, df: DataFrame,
     return g.select(*_dimension(product, "validity", score, F.col("issues")))
 
 
+def invalid_examples(product: str, df: DataFrame, contract_columns: DataFrame,
+                     vc: DataFrame | None = None) -> DataFrame:
+    """D5 detail: columns with unexpected values, their number and five
+    examples (most frequent first, ties by value)."""
+    rows = C.invalid_values(product, df, contract_columns, vc)
+    examples = P.top_values(rows, INVALID_EXAMPLES).groupBy("column_name").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda s: s["value"]).alias("examples"))
+    return (rows.groupBy("column_name").agg(F.count(F.lit(1)).alias("invalid_count")).join(examples, "column_name")
+            .select(F.lit(product).alias("product"), "column_name", "invalid_count", "examples"))
+
+
 def mixed_type_columns(product: str, df: DataFrame) -> DataFrame:
     """D6 detail: text columns where some but under 90 % of the non-null
     values look numeric."""

@@ -245,3 +245,22 @@ def catalog_summary(spark, sf):
     entries, cols = _tables_and_columns(spark, sf)
     alerts = M.quality_drop_alerts(score_history(spark, sf))
     return M.catalog_summary(entries, cols, usage_log(spark, sf), alerts, M.change_log(entries))
+
+
+@register("usage_rows", """
+with k as (select distinct user_id, event_type from events)
+select k.event_type as product, 'user ' || k.user_id as query,
+       (select string_agg(o.event_type || '_a,' || o.event_type || '_b', ',' order by o.event_type)
+        from k o where o.user_id = k.user_id) as columns_accessed,
+       case when k.user_id % 2 = 0 then 'manager' else 'analyst' end as user_role
+from k""")
+def usage_rows(spark, sf):
+    """One usage row per user (a run) and event type (a product of two
+    columns)."""
+    columns = lambda p: F.struct(p.alias("key"), F.array(F.concat(p, F.lit("_a")), F.concat(p, F.lit("_b"))).alias("value"))
+    used = table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("products"))
+    runs = used.select(F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("query"), "products",
+                       F.map_from_entries(F.transform("products", columns)).alias("relevant_columns"),
+                       F.when(F.col("user_id") % 2 == 0, "manager").alias("user_role"),
+                       F.lit(None).cast("timestamp").alias("timestamp"))
+    return M.usage_rows(runs).drop("timestamp").withColumn("columns_accessed", F.array_join("columns_accessed", ","))

@@ -237,10 +237,37 @@ def compliance_summary(spark, sf):
                                  "Order keys must be positive", "warning")])
     pol = E.access_policies(_columns(spark, sf))
     hist = E.compliance_history(_compliance(spark, sf))
-    out = E.compliance_summary(rules, pol, hist)
+    out = E.compliance_summary(rules, pol, hist).drop("latest_results", "rules_by_domain")
     return out.withColumn("pii_products", F.array_join("pii_products", ","))
 
 
+@register("compliance_newest", f"""
+with p as ({POLICY_SQL}),
+h as (select event_type as product, max(ts) as newest, count(*) as n, count(*) filter (where value >= 50) as ok from events group by 1)
+select count(*) as access_policies, (select count(*) from h) as compliance_checks, 'events:1,orders:2' as rules_by_domain,
+       (select arg_max(product || ':' || case when ok < n then 'fail' else 'pass' end || ':' || ok || '/' || n || ':'
+                       || strftime(newest, '%Y-%m-%d %H:%M:%S'), newest) from h) as latest
+from p""")
+def compliance_newest(spark, sf):
+    """Rules per domain and the newest check; events are rule results
+    (type = product, a value of 50 or more passes)."""
+    rules = seeds.rules(spark, [("orders", "D001", "Order keys positive", "Order keys must be positive", "warning"),
+                                ("orders", "D002", "Orders dated", "Orders must have a date", "error"),
+                                ("events", "D003", "Events typed", "Events must have a type", "error")])
+    results = table(spark, sf, "events").select(F.col("event_type").alias("product"), "ts", F.when(
+        F.col("value") >= 50, "pass").otherwise("fail").alias("status"))
+    times = results.groupBy("product").agg(F.max("ts").alias("timestamp"))
+    hist = E.compliance_history(results).drop("timestamp").join(times, "product")
+    out = E.compliance_summary(rules, E.access_policies(_columns(spark, sf)), hist)
+    last = F.col("latest_results")
+    return out.select(
+        "access_policies", "compliance_checks",
+        F.array_join(F.transform("rules_by_domain", lambda d: F.concat_ws(":", d["domain"], d["rules"].cast("string"))), ",")
+        .alias("rules_by_domain"),
+        F.concat_ws(":", last["product"], last["overall"], F.concat_ws("/", last["passed"], last["rules_checked"]),
+                    F.date_format(last["timestamp"], "yyyy-MM-dd HH:mm:ss")).alias("latest"))
+
+
 # -- reply texts --------------------------------------------------------------------
 
 def replies_from_documents(spark, sf):

@@ -96,6 +96,19 @@ def trace_sizes(spark, sf):
     return L.trace_sizes(graphs(spark, sf)[0])
 
 
+@register("trace_times", """
+select cast(user_id as varchar) as trace_id, min(ts) as created_at, count(distinct event_type) + 3 as node_count
+from events group by user_id""")
+def trace_times(spark, sf):
+    """Traces with their time; runs are users, products their event types."""
+    timed = table(spark, sf, "events").groupBy("user_id").agg(
+        F.collect_set("event_type").alias("products"), F.min("ts").alias("created_at"),
+        F.count(F.lit(1)).alias("row_count")).select(
+        F.col("user_id").cast("string").alias("trace_id"), "products", F.lit("").alias("query_text"), "row_count",
+        F.lit(None).cast("string").alias("error"), "created_at")
+    return L.trace_sizes(L.lineage_graphs(timed, catalog(spark))[0])
+
+
 @register("platform_metrics", f"""
 with {RUNS_SQL}
 select 'Products Loaded' as metric, {len(TABLES)}::bigint as value

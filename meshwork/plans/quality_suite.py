@@ -401,3 +401,37 @@ def check_expectations(spark, sf):
         one = C.check_expectations(name, D.completeness_dimension(name, df), D.duplicate_rows(name, df), cols)
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@register("check_contract_terms", """
+with m as (select max(ts) as last_modified from events),
+a as (select cast(x as timestamp) as as_of from (values """ + ", ".join(f"('{a}')" for a in AS_OF) + """) t(x)),
+g as (select strftime(a.as_of, '%Y-%m-%d %H:%M:%S') as as_of, (epoch_us(a.as_of) - epoch_us(m.last_modified)) / 3.6e9 as age from a, m)
+select as_of, 'events' as product, 'max_age_hours' as expectation, 24.0::double as threshold, age as actual, age <= 24 as passed from g
+union all select as_of, 'events', 'expected_type', 1.0, (count(*) - 1) / (count(*) + 1), false
+from g, information_schema.columns where table_name = 'events' group by as_of
+""")
+def check_contract_terms(spark, sf):
+    """Events by their contract, in which one column has another type and one
+    is absent from the data."""
+    df = table(spark, sf, "events")
+    cc = P.small_cached(C.infer_contract("events", df))
+    cc = cc.withColumn("expected_type", F.when(F.col("column_name") == "value", "int").otherwise(F.col("expected_type")))
+    cc = cc.unionByName(spark.createDataFrame([("events", "absent", "string", True, False, None, "")], C.COLUMN_SCHEMA))
+    contracts = C.default_contract(C.product_table(spark, ["events"]))
+    last, out = df.agg(F.max("ts").alias("last_modified")), None
+    for as_of in AS_OF:
+        one = C.check_terms("events", df, cc, contracts, last, as_of).withColumn("as_of", F.lit(as_of))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("quality_validity_examples", """
+with v as (select p_type as value, count(*) as n from part where p_type <> 'none' group by 1)
+select 'part' as product, 'p_type' as column_name, count(*) as invalid_count,
+       (select string_agg(value, '|' order by n desc, value) from (select * from v order by n desc, value limit 5)) as examples
+from v""")
+def quality_validity_examples(spark, sf):
+    """Examples of part types, none of which the contract allows."""
+    cc = spark.createDataFrame([("part", "p_type", "string", True, False, ["none"], "")], C.COLUMN_SCHEMA)
+    return D.invalid_examples("part", table(spark, sf, "part"), cc).withColumn("examples", F.array_join("examples", "|"))
