@@ -7,7 +7,9 @@ Vectors of one label are linked if their cosine is at least ``threshold``.
    code) and the correction factor f = <code, rotated vector>. Further
    rotations give the bits of ``tables`` bucket keys; bits per key grow with
    the logarithm of the label's classes, tables so that a pair at the
-   threshold shares no key with probability ``miss`` at most. A label of up
+   threshold shares no key with probability ``miss`` at most, and so that the
+   expected number of lost links of the label, were all pairs at the
+   threshold, is below one. A label of up
    to ``TARGET`` classes is one bucket and is searched exhaustively.
 3. Inside a bucket <code x, rotated y> / f(x) estimates the inner product
    without bias; its error is sqrt((1 - f^2) / f^2 / (D - 1)) times about a
@@ -54,6 +56,8 @@ def plan_tables(classes: int, threshold: float, miss: float) -> tuple[int, int]:
     bits = max(0, math.ceil(math.log2(max(classes, 1) / TARGET)))
     if not bits or threshold <= 0:
         return 0, 1
+    # at most classes**2 / 2 links
+    miss = min(miss, 2 / classes**2)
     same = (1 - math.acos(min(threshold, 1)) / math.pi) ** bits
     return bits, max(1, math.ceil(math.log(miss) / math.log1p(-same))) if same < 1 else 1
 
