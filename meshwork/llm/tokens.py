@@ -1,6 +1,8 @@
 """Token ids of texts by public tokenizers, with a table of known words."""
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 from .common import LOWER, span_ids, word_spans
@@ -24,6 +26,8 @@ class WordTokens:
     hold ASCII white space, nor punctuation after a letter or digit: the ids
     of a text are then those of its words (cut at both), one after the other.
     Words are looked up by a 64-bit identifier; new ones go to the tokenizer.
+    Special tokens respect case, so words that hold one in any case have the
+    identifier of their own bytes, all others that of their lower case.
     """
 
     def __init__(self, path: str):
@@ -83,6 +87,19 @@ class WordTokens:
         self.length = np.insert(self.length, at, counts)
         self.used += len(ids)
 
+    def _folded(self, data, start, stop):
+        """The bytes in lower case, but for words that hold a special token
+        in any case."""
+        folded = LOWER[data]
+        text = folded.tobytes()
+        for special in {s.lower() for s in self.special}:
+            if special and special in text:
+                at = np.array([m.start() for m in re.finditer(re.escape(special), text)])
+                word = np.unique(np.searchsorted(start, at, side="right") - 1)
+                own = _ranges(start[word], stop[word] - start[word])
+                folded[own] = data[own]
+        return folded
+
     def encode(self, data: np.ndarray, offsets: np.ndarray):
         """(ids of all texts, where each text's ids start) of a block of
         UTF-8 texts."""
@@ -91,7 +108,7 @@ class WordTokens:
         cut = None if any(s in raw for s in self.special) else _LETTER[data[:-1]] & _PUNCTUATION[data[1:]]
         start, stop = word_spans(data, offsets, cut)
         words = np.diff(np.searchsorted(start, offsets))
-        keys, first, which = np.unique(span_ids(LOWER[data], start, stop), return_index=True, return_inverse=True)
+        keys, first, which = np.unique(span_ids(self._folded(data, start, stop), start, stop), return_index=True, return_inverse=True)
         for attempt in range(2):
             at = np.searchsorted(self.keys, keys)
             known = at < len(self.keys)
