@@ -47,6 +47,10 @@ def _substrings(text, longest):
     return F.array_distinct(F.when(n > 0, every).otherwise(F.array().cast("array<string>")))
 
 
+def _with_empty(parts):
+    return F.concat(F.array(F.lit("")), parts)
+
+
 def _match(rows: DataFrame, phrase: str, index: DataFrame) -> DataFrame:
     """Rows with the index keys of the exact-beats-partial rule per phrase
     (a row and key may come twice)."""
@@ -57,15 +61,16 @@ def _match(rows: DataFrame, phrase: str, index: DataFrame) -> DataFrame:
     names = [c for c in rows.columns if c != "_exact"]
     equal = rows.where("_exact").select(*names, F.col(phrase).alias("key"))
     rows = rows.where("_exact is null").drop("_exact")
-    parts = stored(keys.select("key", F.explode(_substrings(F.col("key"), F.length("key"))).alias(phrase)))
+    # the empty phrase is inside every key
+    parts = stored(keys.select("key", F.explode(_with_empty(_substrings(F.col("key"), F.length("key")))).alias(phrase)))
     inside_key = rows.join(parts, phrase).select(*names, "key")
-    # the empty key is inside every phrase, the empty phrase inside every key
+    # a key without a word (empty or spaces) has the empty part, as has every word of a phrase
     first = F.filter(F.split("key", " "), lambda w: w != "")
-    firsts = keys.select("key", F.try_element_at(first, F.lit(1)).alias("_part")).where("_part is not null")
+    firsts = keys.select("key", F.coalesce(F.try_element_at(first, F.lit(1)), F.lit("")).alias("_part"))
     words = rows.withColumn("_word", F.explode(F.array_distinct(F.split(phrase, " "))))
     longest = F.broadcast(firsts.agg(F.max(F.length("_part")).alias("_longest")))
     pieces = words.select("_word").distinct().crossJoin(longest).select(
-        "_word", F.explode(_substrings(F.col("_word"), F.col("_longest"))).alias("_part"))
+        "_word", F.explode(_with_empty(_substrings(F.col("_word"), F.col("_longest")))).alias("_part"))
     # stored, so that the planner knows its size and broadcasts it or not
     candidates = stored(pieces.join(firsts, "_part").select("_word", "key").distinct())
     inside_phrase = words.join(candidates, "_word").where(F.col(phrase).contains(F.col("key"))).select(*names, "key")
