@@ -19,6 +19,14 @@ landmarks, times the inverse root of their kernel matrix, gives the features
 of a linear SVM. Because kernel values are
 inner products, landmarks and weights fold into one number per subsequence.
 
+Bounds. ``fit_docs`` bounds the documents, ``examples`` the words that
+training sees: the first 20 * ``examples`` suspects by toxic sentences are
+tested, at most ``examples`` telling words and as many rarer ones that look
+like them are positive, and of the clean words the ``examples`` most frequent
+and the 2 * ``examples`` most like a positive of each round are negative. In
+a sample with many languages the rarer insults may be left out; raise
+``examples`` then. Scoring reads all words of all documents.
+
 Scoring. A sentence scores as its most toxic word; a document has the three
 highest margins of its words (repetitions count), and a logistic function of
 them and of the number of words,
