@@ -18,7 +18,8 @@ delete or revision needs only the id, not the old text.
 Edge cases: null and empty texts are documents with 0 tokens; null source or
 language is a key of its own; deletes and revisions of ids that are not
 there change nothing (a revision then inserts); several rows of one id are
-all taken off by one delete; repeated inserts add up; an empty batch
+all taken off by one delete; a null id names no document: deletes of null
+change nothing, inserts and revisions with a null id add the document; repeated inserts add up; an empty batch
 commits; totals of zero documents are left out; extra columns are ignored.
 """
 from __future__ import annotations
