@@ -183,3 +183,77 @@ def op13_fill_in_middle(spark, sf_dir):
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
                        F.sha2("fim_text", 256).alias("output_sha256"),
                        F.sha2(restore(F.col("fim_text"), F.col("form")), 256).alias("restored_sha256"))
+
+
+@register("op12_whitening")
+def op12_whitening(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .whitening import whiten
+    return whiten(_table(spark, sf_dir, "embeddings"), components=16).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"),
+             ("allow", "org", "/fr/")]
+
+_CASE = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+OP11_SQL = f"""
+WITH RECURSIVE rules(verdict, rhost, rpath) AS (
+  VALUES {', '.join(str(r) for r in URL_RULES)}
+), u AS (
+  SELECT row_number() OVER () AS r, page_id, html,
+         CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS rest
+  FROM pages
+), p AS (
+  SELECT r, page_id, html, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), {_CASE}), '') AS host,
+         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+  FROM u
+), fits AS (
+  SELECT r, arg_min({{'rule': rhost || rpath, 'verdict': verdict}},
+                    (-length(rhost || rpath), -length(rhost), verdict <> 'block')) AS best
+  FROM p JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+  GROUP BY r
+), seeds AS (
+  SELECT host, avg((best.verdict IS NOT DISTINCT FROM 'allow')::INT) AS allowed,
+         avg((best.verdict IS NOT DISTINCT FROM 'block')::INT) AS blocked
+  FROM p LEFT JOIN fits USING (r) WHERE host <> '' GROUP BY host
+), links AS (
+  SELECT src, dst, count(*) AS pages
+  FROM (SELECT DISTINCT r, host AS src, translate(unnest(regexp_extract_all(html,
+          '(?i)\\bhref\\s*=\\s*["'']?\\s*(?:https?:)?//([^/?#"''<>\\s\\\\]+)', 1)), {_CASE}) AS dst FROM p)
+  WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY src, dst
+), hosts AS (
+  SELECT host, max(allowed) AS allowed, max(blocked) AS blocked
+  FROM (FROM seeds UNION ALL SELECT src, 0, 0 FROM links UNION ALL SELECT dst, 0, 0 FROM links) GROUP BY host
+), base AS (
+  SELECT 'trust' AS kind, host, 0.15::DOUBLE * allowed AS a0, 0.85::DOUBLE AS a1, 0.15::DOUBLE AS b0, 0.85::DOUBLE AS b1
+  FROM hosts
+  UNION ALL SELECT 'distrust', host, blocked, 0.85::DOUBLE * (1 - blocked), 1, 0 FROM hosts
+), w AS (
+  SELECT src, dst, pages / sum(pages) OVER (PARTITION BY src) AS w FROM links
+), e AS (
+  SELECT 'trust' AS kind, src, dst, w FROM w UNION ALL SELECT 'distrust', dst, src, w FROM w
+  UNION ALL SELECT kind, host, host, 0 FROM base
+), ranks AS (
+  SELECT 0 AS k, kind, host, a0 AS a, b0 AS b FROM base
+  UNION ALL
+  SELECT k + 1, e.kind, e.dst, any_value(a0) + any_value(a1) * sum(e.w * a), any_value(b0) + any_value(b1) * sum(e.w * b)
+  FROM ranks JOIN e ON e.kind = ranks.kind AND e.src = ranks.host
+       JOIN base ON base.kind = e.kind AND base.host = e.dst
+  WHERE k < 100 GROUP BY k, e.kind, e.dst
+), trust AS (
+  SELECT host, max(a / b) FILTER (kind = 'trust') AS t, max(a / b) FILTER (kind = 'distrust') AS d
+  FROM ranks WHERE k = 100 GROUP BY host
+)
+SELECT page_id, p.host, path, best.rule AS rule,
+       coalesce(best.verdict, CASE WHEN d >= 0.5 AND d > t THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN fits USING (r) LEFT JOIN trust ON trust.host = p.host
+"""
+
+
+@register("op11_url_filter", OP11_SQL)
+def op11_url_filter(spark, sf_dir):
+    from .url_filter import judge, rule_table
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return judge(pages, rule_table(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
