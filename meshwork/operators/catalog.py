@@ -3,9 +3,10 @@ quality badges and drop alerts, usage statistics, recommendations
 (survey ops M1-M9)."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.commit_log import CommitLog
 from . import profile as P
 
 QUALITY_DROP_POINTS = 10
@@ -97,10 +98,22 @@ def usage_rows(runs: DataFrame) -> DataFrame:
 
 
 def record_usage(usage_log: DataFrame, path: str) -> None:
-    """M6: append a batch of usage rows (see ``usage_rows``) to the usage table."""
+    """M6: append a batch of usage rows (see ``usage_rows``) to the usage
+    table. A retry appends them again; ``commit_usage`` does not."""
     usage_log.write.mode("append").parquet(path)
 
 
+def committed_usage(spark: SparkSession, path: str) -> CommitLog:
+    """M6: the usage log under ``path`` whose batches count once."""
+    return CommitLog(spark, path, USAGE_SCHEMA)
+
+
+def commit_usage(usage: DataFrame, path: str, batch_id: str) -> bool:
+    """M6: append a batch of usage rows unless batch ``batch_id`` is already
+    in the log (then False), so that a batch may be retried at will."""
+    return committed_usage(usage.sparkSession, path).commit(batch_id, usage)
+
+
 def top_products(usage_log: DataFrame, k: int = 5) -> DataFrame:
     """M7: most used products (ties by name)."""
     return (usage_log.groupBy("product").agg(F.count(F.lit(1)).alias("queries"))

@@ -24,7 +24,7 @@ import posixpath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.catalog import USAGE_SCHEMA, quality_drop_alerts
+from ..operators.catalog import USAGE_SCHEMA, commit_usage, quality_drop_alerts, usage_rows
 from ..plans.session import checkpoint_dir
 
 SCORE_SCHEMA = "product string, assessed_at timestamp, score double"
@@ -70,6 +70,18 @@ def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def start_usage_recording(runs: DataFrame, path: str, name: str, available_now=True):
+    """Record the usage of a stream of runs (see ``catalog.usage_rows``): one
+    committed batch per epoch, so an epoch that is run again counts once.
+    ``name`` tells the streams that write to the same log apart."""
+    def run(batch: DataFrame, epoch: int):
+        commit_usage(usage_rows(batch), path, f"{name}/{epoch}")
+
+    w = runs.writeStream.option("checkpointLocation", _ckpt(runs.sparkSession, f"usage_recording_{name}")).foreachBatch(run)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
+    return w.start()
+
+
 def read_log(spark: SparkSession, path: str, schema: str,
              max_files_per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema).format("parquet")
