@@ -24,5 +24,5 @@ def load_all():
     # importing the suites fills the registry
     from . import graph_suite, profile_suite, quality_suite  # noqa: F401
     from . import governance_suite, semantic_suite, catalog_suite  # noqa: F401
-    from . import lineage_suite, assurance_suite  # noqa: F401
+    from . import lineage_suite, assurance_suite, store_suite  # noqa: F401
     return QUERIES, ORACLE
