@@ -1,28 +1,23 @@
 """Semantic layer: glossary index, term resolution, query enrichment and
 column annotations (survey ops S1-S7).
 
-Matching is the reference's loose rule: a phrase resolves to the glossary
-keys equal to it; when none is equal, to every key that contains it or is
-contained in it. Both directions are equi-joins:
-
-* phrase inside key: the phrase against the distinct substrings of the keys;
-* key inside phrase: a key's first word lies inside one word of the phrase,
-  so the distinct words of the phrases are matched with the first words of
-  the keys by their substrings (no longer than the longest first word), and
-  the few candidates are checked.
-
-The key tables and candidates are stored first, so Spark knows their size and
-broadcasts them if they are small; the phrase rows then stay where they are
-and only distinct words are shuffled. Matches are aggregated by (text, term) with map-side combine,
-which bounds every group by the number of glossary terms.
+Matching is the loose rule: a phrase resolves to the glossary keys equal to
+it; when none is equal, to every key that contains it or is contained in it.
+Tasks hold all keys (a glossary is metadata; its size is checked before it is
+read) and match whole Arrow batches in one pass over each text, see
+``functions.matching``. No text is shuffled: ``resolve_terms`` shuffles only
+its matches and ``enrich_queries`` nothing.
 """
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, LongType, MapType, StringType, StructField, StructType
 
+from ..functions.matching import checked_keys, matcher
 from ..functions.text import WS
-from ..plans.session import stored
+from ..plans.session import let_workers_import
 
 
 def term_index(glossary: DataFrame) -> DataFrame:
@@ -38,52 +33,42 @@ def term_index(glossary: DataFrame) -> DataFrame:
             .groupBy("key", "term").agg(F.min("key_order").alias("key_order")))
 
 
-def _substrings(text, longest):
-    """Distinct substrings of up to ``longest`` characters."""
-    n = F.length(text)
-    starts = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    every = F.flatten(F.transform(starts, lambda i: F.transform(
-        F.sequence(F.lit(1), F.least(n - i + 1, longest)), lambda m: F.substring(text, i, m))))
-    return F.array_distinct(F.when(n > 0, every).otherwise(F.array().cast("array<string>")))
-
-
-def _with_empty(parts):
-    return F.concat(F.array(F.lit("")), parts)
-
-
-def _match(rows: DataFrame, phrase: str, index: DataFrame) -> DataFrame:
-    """Rows with the index keys of the exact-beats-partial rule per phrase
-    (a row and key may come twice)."""
-    keys = index.select("key").distinct()
-    keys = stored(keys)
-    exact = keys.select(F.col("key").alias(phrase), F.lit(True).alias("_exact"))
-    rows = rows.join(exact, phrase, "left")
-    names = [c for c in rows.columns if c != "_exact"]
-    equal = rows.where("_exact").select(*names, F.col(phrase).alias("key"))
-    rows = rows.where("_exact is null").drop("_exact")
-    # the empty phrase is inside every key
-    parts = stored(keys.select("key", F.explode(_with_empty(_substrings(F.col("key"), F.length("key")))).alias(phrase)))
-    inside_key = rows.join(parts, phrase).select(*names, "key")
-    # a key without a word (empty or spaces) has the empty part, as has every word of a phrase
-    first = F.filter(F.split("key", " "), lambda w: w != "")
-    firsts = keys.select("key", F.coalesce(F.try_element_at(first, F.lit(1)), F.lit("")).alias("_part"))
-    words = rows.withColumn("_word", F.explode(F.array_distinct(F.split(phrase, " "))))
-    longest = F.broadcast(firsts.agg(F.max(F.length("_part")).alias("_longest")))
-    pieces = words.select("_word").distinct().crossJoin(longest).select(
-        "_word", F.explode(_with_empty(_substrings(F.col("_word"), F.col("_longest")))).alias("_part"))
-    # stored, so that the planner knows its size and broadcasts it or not
-    candidates = stored(pieces.join(firsts, "_part").select("_word", "key").distinct())
-    inside_phrase = words.join(candidates, "_word").where(F.col(phrase).contains(F.col("key"))).select(*names, "key")
-    found = equal.unionByName(inside_key).unionByName(inside_phrase)
-    return found.join(index, "key")
+def _terms_of(rows):
+    """Key -> its (term, key_order), and the keys, from a term index's rows."""
+    terms: dict[str, list] = {}
+    for key, term, order in rows:
+        terms.setdefault(key, []).append((term, order))
+    return tuple(terms), [tuple(t) for t in terms.values()]
 
 
 def resolve_terms(inputs: DataFrame, index: DataFrame,
                   text_col: str = "text") -> DataFrame:
-    """``inputs(input_id, text)`` -> (input_id, term, key_order)."""
-    rows = inputs.select("input_id", F.lower(text_col).alias("_phrase"))
-    m = _match(rows, "_phrase", index)
-    return m.groupBy("input_id", "term").agg(F.min("key_order").alias("key_order"))
+    """``inputs(input_id, text)`` -> (input_id, term, key_order). A null
+    text resolves to nothing, the empty text to every key."""
+    let_workers_import(inputs.sparkSession)
+    keys, terms = _terms_of(checked_keys(index))
+
+    def matches(batches):
+        found = matcher(keys)
+        for batch in batches:
+            rows, names, orders = [], [], []
+            for i, phrase in enumerate(batch.column(1).to_pylist()):
+                least: dict[str, int] = {}
+                for key in found.match(phrase) if phrase is not None else ():
+                    for term, order in terms[key]:
+                        least[term] = min(order, least.get(term, order))
+                rows += [i] * len(least)
+                names += least
+                orders += least.values()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(names, pa.string()), pa.array(orders, pa.int64())],
+                names=["input_id", "term", "key_order"])
+
+    rows = inputs.select("input_id", F.lower(text_col).alias("phrase"))
+    order_type = dict(index.dtypes)["key_order"]
+    schema = StructType([rows.schema["input_id"], StructField("term", StringType()), StructField("key_order", LongType())])
+    return (rows.mapInArrow(matches, schema).groupBy("input_id", "term")
+            .agg(F.min("key_order").cast(order_type).alias("key_order")))
 
 
 def columns_for_term(resolved: DataFrame, glossary: DataFrame) -> DataFrame:
@@ -93,55 +78,53 @@ def columns_for_term(resolved: DataFrame, glossary: DataFrame) -> DataFrame:
             .distinct())
 
 
-def phrases(texts: DataFrame, id_col: str = "query_id",
-            text_col: str = "text", max_len: int = 3) -> DataFrame:
-    """Whitespace words of the lower-cased text and every phrase of 1 to
-    ``max_len`` consecutive words: (id, pos, len, phrase). Whole texts."""
-    # the word array is materialised as a column first: referring to the
-    # split expression inside the lambda would re-split the text per word
-    words = F.filter(F.split(F.lower(F.col(text_col)), f"{WS}+"), lambda w: w != "")
-    staged = texts.select(F.col(id_col).alias("_id"), words.alias("_w"))
-    ws = F.col("_w")
-    tri = F.transform(ws, lambda w, i: F.struct(
-        i.alias("pos"), w.alias("w1"),
-        *[F.try_element_at(ws, i + j + 1).alias(f"w{j + 1}") for j in range(1, max_len)]))
-    rows = staged.select("_id", F.inline(tri))
-    arms = []
-    for n in range(1, max_len + 1):
-        parts = [F.col(f"w{j}") for j in range(1, n + 1)]
-        ok = F.col(f"w{n}").isNotNull()
-        arms.append(F.struct(F.lit(n).alias("len"),
-                             F.when(ok, F.concat_ws(" ", *parts)).alias("phrase")))
-    return (rows.select("_id", "pos", F.inline(F.array(*arms)))
-            .where(F.col("phrase").isNotNull())
-            .withColumnRenamed("_id", id_col))
+def _words(text_col: str):
+    """Lower-cased words of a text, split at white space."""
+    return F.filter(F.split(F.lower(F.col(text_col)), f"{WS}+"), lambda w: w != "")
+
+
+def vocabulary(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word): the distinct lower-cased words of whole texts."""
+    return texts.select(F.explode(_words(text_col)).alias("word")).distinct()
 
 
 def enrich_queries(texts: DataFrame, index: DataFrame, glossary: DataFrame,
-                   id_col: str = "query_id", text_col: str = "text") -> DataFrame:
+                   id_col: str = "query_id", text_col: str = "text", max_len: int = 3) -> DataFrame:
     """Per text: resolved terms in first-seen order (start word, then
     phrase length, then index order), suggested columns (sorted),
-    definitions and an ``enriched`` flag."""
-    ph = phrases(texts, id_col, text_col)
-    m = _match(ph, "phrase", index)
-    first = m.groupBy(id_col, "term").agg(
-        F.min(F.struct("pos", "len", "key_order")).alias("first"))
-    gl = glossary.select("term", "definition", "related_columns")
-    per = (first.join(gl, "term")
-           .groupBy(id_col)
-           .agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "term"))),
-                            lambda s: s["term"]).alias("resolved_terms"),
-                F.array_sort(F.array_distinct(F.flatten(F.collect_list("related_columns"))))
-                .alias("suggested_columns"),
-                F.map_from_entries(F.collect_list(F.struct("term", "definition")))
-                .alias("definitions")))
-    empty = F.array().cast("array<string>")
-    return (texts.select(id_col).join(per, id_col, "left")
-            .select(id_col,
-                    F.coalesce("resolved_terms", empty).alias("resolved_terms"),
-                    F.coalesce("suggested_columns", empty).alias("suggested_columns"),
-                    "definitions",
-                    F.coalesce(F.size("resolved_terms") > 0, F.lit(False)).alias("enriched")))
+    definitions and an ``enriched`` flag. A phrase is 1 to ``max_len``
+    consecutive words; texts are taken whole, each row for itself (repeated
+    and null ids too); a null text resolves to nothing."""
+    let_workers_import(texts.sparkSession)
+    entries = {r["term"]: (r["definition"], list(r["related_columns"] or []))
+               for r in glossary.select("term", "definition", "related_columns").collect()}
+    keys, terms = _terms_of([r for r in checked_keys(index) if r[1] in entries])
+    wanted = {t for own in terms for t, _ in own}
+
+    def enrich(batches):
+        found = matcher(keys)
+        complete = lambda seen: len({t for k in seen for t, _ in terms[k]}) == len(wanted)
+        for batch in batches:
+            resolved, columns, definitions = [], [], []
+            for text in batch.column(1).to_pylist():
+                first: dict[str, tuple] = {}
+                for key, place in found.first_matches(text or "", max_len, complete).items():
+                    for term, order in terms[key]:
+                        first[term] = min((*place, order), first.get(term, (*place, order)))
+                order = sorted(first, key=lambda t: (first[t], t))
+                resolved.append(order)
+                columns.append(sorted({c for t in order for c in entries[t][1]}))
+                definitions.append([(t, entries[t][0]) for t in order] or None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(resolved, pa.list_(pa.string())), pa.array(columns, pa.list_(pa.string())),
+                 pa.array(definitions, pa.map_(pa.string(), pa.string())), pa.array([bool(r) for r in resolved])],
+                names=[id_col, "resolved_terms", "suggested_columns", "definitions", "enriched"])
+
+    rows = texts.select(id_col, F.array_join(_words(text_col), " ").alias("words"))
+    names = ArrayType(StringType())
+    schema = StructType([rows.schema[id_col], StructField("resolved_terms", names), StructField("suggested_columns", names),
+                         StructField("definitions", MapType(StringType(), StringType())), StructField("enriched", BooleanType())])
+    return rows.mapInArrow(enrich, schema)
 
 
 def annotate_columns(columns: DataFrame, annotations: DataFrame) -> DataFrame:

@@ -67,9 +67,7 @@ def _documents(spark, sf):
 def _resolved(spark, sf):
     """Resolve every distinct word of the documents (the corpus vocabulary)."""
     docs = _documents(spark, sf)
-    vocab = (S.phrases(docs.select("doc_id", "text"), "doc_id", "text", max_len=1)
-             .select(F.col("phrase").alias("input_id")).distinct()
-             .withColumn("text", F.col("input_id")))
+    vocab = S.vocabulary(docs).select(F.col("word").alias("input_id"), F.col("word").alias("text"))
     return S.resolve_terms(vocab, S.term_index(_glossary(spark)))
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,6 +55,17 @@ def build_session(master: str | None = None, app_name: str = "meshwork",
     return spark
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Let Python workers on this machine find the package when the driver
+    found it by ``sys.path`` only. A cluster has it installed or gets it with
+    ``--py-files``."""
+    root = str(Path(__file__).resolve().parents[2])
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [*paths, root]))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, configuring the context with it.
 
