@@ -118,7 +118,7 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 
 def column_profile(df: DataFrame, vc: DataFrame | None = None,
-                   allowed: DataFrame | None = None) -> DataFrame:
+                   allowed: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
     """Everything the column-level checks need, in one aggregation.
 
     Inputs: the wide statistics (one scan, no shuffle of values) and the
@@ -135,7 +135,8 @@ def column_profile(df: DataFrame, vc: DataFrame | None = None,
     contract, completeness, uniqueness, validity and column score from it.
     """
     vc = value_counts(df) if vc is None else vc
-    stats = column_stats(df).select("column_name", "row_count", "null_count")
+    stats = column_stats(df) if stats is None else stats
+    stats = stats.select("column_name", "row_count", "null_count")
     side = schema_table(df).join(stats, "column_name", "left")
     if allowed is None:
         side = side.withColumn("allowed_values", F.lit(None).cast("array<string>"))

@@ -157,6 +157,11 @@ def duplicate_rows(product: str, df: DataFrame, exact: bool = False) -> DataFram
     else:
         groups = df.select(*row_key(df)).groupBy("_h1", "_h2", "_nm").agg(
             F.count(F.lit(1)).alias("n"))
+    return duplicates_of_groups(product, groups)
+
+
+def duplicates_of_groups(product: str, groups: DataFrame) -> DataFrame:
+    """D3 from the sizes ``n`` of the groups of identical rows."""
     g = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
                    F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
     pct = F.when(F.col("row_count") > 0,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import fingerprint as FP
 from ..operators import graph as G
 from ..operators.graph_store import GraphStore
+from ..operators.profile_state import ProfileState
 from .registry import register
 from .session import checkpoint_dir
 from .tables import table
@@ -100,3 +101,52 @@ def graph_stale(spark, sf):
         out = one if out is None else out.unionByName(one)
     return out.crossJoin(F.broadcast(was)).select(
         "product", "row_count", "stored_rows", (F.col("fingerprint") == F.col("was")).alias("is_current"))
+
+
+# -- profile of a product that grows (B2-B5, D1-D3) --------------------------------------
+
+def _grown(spark, sf):
+    """Orders with repeated rows in two batches, one of them committed twice;
+    then the low-priority ones are replaced by rows with nulls."""
+    dups, nulls = VIEWS["orders_dups"](spark, sf), VIEWS["orders_nulls"](spark, sf)
+    name = f"profile-{uuid.uuid4().hex}"
+    state = ProfileState(spark, f"{checkpoint_dir(spark).rstrip('/')}/meshwork-{name}", "orders", dups.schema)
+    urgent, low = F.col("o_orderpriority") == "1-URGENT", F.col("o_orderpriority") == "5-LOW"
+    state.commit("urgent", dups.where(urgent))
+    for _ in range(2):
+        state.commit("rest", dups.where(~urgent))
+    state.commit("low again", added=nulls.where(low), removed=dups.where(low))
+    return state
+
+
+_GROWN_SQL = ("(select * from orders_dups where o_orderpriority <> '5-LOW' "
+              "union all by name select * from orders_nulls where o_orderpriority = '5-LOW')")
+_ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+_ORDER_NUMBERS = ("o_orderkey", "o_custkey", "o_totalprice")
+
+
+def _profile_sql(column: str) -> str:
+    number = column in _ORDER_NUMBERS
+    of = lambda sql, name: f"{sql if number else 'null::double'} as {name}"
+    return (f"select '{column}' as column_name, count(*) as row_count, count(*) - count({column}) as null_count, "
+            f"count(distinct {column}) as distinct_count, {of(f'min({column})::double', 'min_value')}, "
+            f"{of(f'max({column})::double', 'max_value')}, {of(f'round(avg({column}), 4)', 'mean_value')}, "
+            f"{of(f'round(stddev_samp({column}), 4)', 'std_value')} from {_GROWN_SQL}")
+
+
+@register("profile_appended", with_views(" union all ".join(map(_profile_sql, _ORDER_COLUMNS)), "orders_dups", "orders_nulls"))
+def profile_appended(spark, sf):
+    state = _grown(spark, sf)
+    facts = state.profile().select("column_name", "row_count", "null_count", "distinct_count")
+    return facts.join(state.column_stats().drop("row_count", "null_count", "ordinal"), "column_name").join(
+        state.deviations(), "column_name", "left").withColumns({
+            "mean_value": F.round("mean_value", 4), "std_value": F.round("std_value", 4)})
+
+
+@register("duplicates_appended", with_views(f"""
+select 'orders' as product, sum(n)::bigint as row_count, sum(n - 1)::bigint as duplicate_rows,
+       round(sum(n - 1) / sum(n) * 100, 2) as duplicate_pct
+from (select count(*) as n from {_GROWN_SQL} group by {', '.join(_ORDER_COLUMNS)})
+""", "orders_dups", "orders_nulls"))
+def duplicates_appended(spark, sf):
+    return _grown(spark, sf).duplicate_rows().drop("_pct", "issue")
