@@ -88,16 +88,13 @@ def infer_contract(product: str, df: DataFrame,
     """Per column: type, nullable (has a missing value), unique (distinct
     count equals rows), allowed values (distinct values of a text column with
     at most 20 of them, sorted) and a description."""
-    vc = P.value_counts(df) if vc is None else vc
-    facts = column_facts(df, vc)
-    texts = P.text_columns(df)
-    allowed = (vc.where(F.col("value").isNotNull()
-                        & F.col("column_name").isin(texts))
-               .join(F.broadcast(facts.where(
-                   F.col("distinct_count") <= CATEGORICAL_MAX_DISTINCT)
-                   .select("column_name")), "column_name", "left_semi")
-               .groupBy("column_name")
-               .agg(F.array_sort(F.collect_list("value")).alias("allowed_values")))
+    facts = P.small_cached(column_facts(df, vc))
+    # one row per column decides which columns are counted again, and read
+    few = [r["column_name"] for r in facts.where(
+        F.col("column_name").isin(P.text_columns(df)) & (F.col("distinct_count") <= CATEGORICAL_MAX_DISTINCT)).collect()]
+    allowed = (P.value_counts(df, few).where(F.col("value").isNotNull()).groupBy("column_name")
+               .agg(F.array_sort(F.collect_list("value")).alias("allowed_values")) if few else
+               df.sparkSession.createDataFrame([], "column_name string, allowed_values array<string>"))
     return (facts.join(allowed, "column_name", "left")
             .select(F.lit(product).alias("product"), "column_name",
                     F.col("data_type").alias("expected_type"),
@@ -172,8 +169,12 @@ def contract_violations(product: str, df: DataFrame, contract_columns: DataFrame
                .select(F.lit(product).alias("product"), "column_name", "v.check", "v.message"))
     bad_cols = prof.where(F.col("has_allowed") & (F.col("invalid_count") > 0)) \
         .select("column_name", "allowed_values", "invalid_count")
+    # only columns with unexpected values are counted again, and read at all
+    named = [r["column_name"] for r in bad_cols.select("column_name").collect()]
+    if not named:
+        return missing.unionByName(counted)
     running = Window.partitionBy("column_name").orderBy("rank")
-    listed = (P.top_values(_outside(vc, bad_cols), MESSAGE_VALUES)
+    listed = (P.top_values(_outside(P.value_counts(df, named), bad_cols), MESSAGE_VALUES)
               .withColumn("chars", F.sum(F.length("value") + 2).over(running))
               .where(F.col("chars") <= MESSAGE_CHARS)
               .groupBy("column_name")

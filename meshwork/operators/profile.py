@@ -118,13 +118,13 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 
 def column_profile(df: DataFrame, vc: DataFrame | None = None,
-                   allowed: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
-    """Everything the column-level checks need, in one aggregation.
+                   allowed: DataFrame | None = None) -> DataFrame:
+    """Everything the column-level checks need, from the value counts alone
+    (of ``df`` only the schema is used if ``vc`` is given): one scan.
 
-    Inputs: the wide statistics (one scan, no shuffle of values) and the
-    value-count table. The small per-column side table (row and null counts,
-    optional allowed values) is broadcast into the value counts and a single
-    ``groupBy(column_name)`` produces per column:
+    The values of a column are first counted by how often they occur, then
+    added up per column, so the second shuffle moves a few numbers for each
+    number of occurrences. Per column:
 
     ``row_count, null_count, distinct_count, groups`` (distinct values with
     null as one value), ``in_list`` (rows whose value is allowed),
@@ -135,39 +135,32 @@ def column_profile(df: DataFrame, vc: DataFrame | None = None,
     contract, completeness, uniqueness, validity and column score from it.
     """
     vc = value_counts(df) if vc is None else vc
-    stats = column_stats(df) if stats is None else stats
-    stats = stats.select("column_name", "row_count", "null_count")
-    side = schema_table(df).join(stats, "column_name", "left")
+    side = schema_table(df)
     if allowed is None:
         side = side.withColumn("allowed_values", F.lit(None).cast("array<string>"))
+        tagged = vc.withColumn("allowed_values", F.lit(None).cast("array<string>"))
     else:
         side = side.join(allowed.select("column_name", "allowed_values"), "column_name", "left")
-    nn = F.col("row_count") - F.col("null_count")
-    lst = F.col("allowed_values")
+        tagged = vc.join(side.select("column_name", "allowed_values"), "column_name", "left")
+    lst, val, n = F.col("allowed_values"), F.col("value"), F.col("n")
     has_list = lst.isNotNull() & (F.size(lst) > 0)
-    val = F.col("value")
-    tagged = vc.join(F.broadcast(side.select("column_name", nn.alias("nn"), "allowed_values")),
-                     "column_name")
-    per = tagged.groupBy("column_name").agg(
-        F.count_if(val.isNotNull()).alias("distinct_count"),
-        F.count(F.lit(1)).alias("groups"),
-        F.sum(F.when(val.isNotNull() & has_list & F.array_contains(lst, val), F.col("n"))
-              .otherwise(0)).alias("in_list"),
-        F.count_if(val.isNotNull() & has_list & ~F.array_contains(lst, val)).alias("invalid_count"),
-        F.count_if(val.isNotNull() & (F.col("n") < F.greatest(F.lit(2.0), F.col("nn") * 0.001)))
-        .alias("rare_count"))
+    there = val.isNotNull()
+    by_size = tagged.groupBy("column_name", "n").agg(
+        F.count_if(there).alias("values"), F.count(F.lit(1)).alias("sizes"),
+        F.count_if(there & has_list & F.array_contains(lst, val)).alias("listed"),
+        F.count_if(there & has_list & ~F.array_contains(lst, val)).alias("outside"))
+    by_column = Window.partitionBy("column_name")
+    limit = F.greatest(F.lit(2.0), F.sum(n * F.col("values")).over(by_column) * 0.001)
+    per = by_size.withColumn("rare", F.when(n < limit, F.col("values")).otherwise(0)).groupBy("column_name").agg(
+        F.sum(n * F.col("sizes")).alias("row_count"),
+        F.sum(n * (F.col("sizes") - F.col("values"))).alias("null_count"),
+        F.sum("values").alias("distinct_count"), F.sum("sizes").alias("groups"), F.sum(n * F.col("listed")).alias("in_list"),
+        F.sum("outside").alias("invalid_count"), F.sum("rare").alias("rare_count"))
     z = F.lit(0).cast("bigint")
-    return (side.join(per, "column_name", "left")
-            .select("column_name", "ordinal", "data_type",
-                    F.coalesce("row_count", z).cast("bigint").alias("row_count"),
-                    F.coalesce("null_count", z).cast("bigint").alias("null_count"),
-                    F.coalesce("distinct_count", z).cast("bigint").alias("distinct_count"),
-                    F.coalesce("groups", z).cast("bigint").alias("groups"),
-                    F.coalesce("in_list", z).cast("bigint").alias("in_list"),
-                    F.coalesce("invalid_count", z).cast("bigint").alias("invalid_count"),
-                    F.coalesce("rare_count", z).cast("bigint").alias("rare_count"),
-                    "allowed_values",
-                    (lst.isNotNull() & (F.size(lst) > 0)).alias("has_allowed")))
+    numbers = ("row_count", "null_count", "distinct_count", "groups", "in_list", "invalid_count", "rare_count")
+    return side.join(per, "column_name", "left").select(
+        "column_name", "ordinal", "data_type", *(F.coalesce(c, z).cast("bigint").alias(c) for c in numbers),
+        "allowed_values", has_list.alias("has_allowed"))
 
 
 def column_facts(df: DataFrame, vc: DataFrame | None = None) -> DataFrame:
@@ -185,10 +178,11 @@ def small_cached(df: DataFrame) -> DataFrame:
     It is checkpointed (eagerly) into the shared folder named by
     ``spark.checkpoint.dir``: later branches read a plain scan, a lost
     executor re-reads the files, and no cache entry is left behind (many
-    cached plans slow down every later query's cache lookup).
+    cached plans slow down every later query's cache lookup). One partition:
+    what is derived from it is grouped and joined without an exchange.
     """
     from ..plans.session import cut_lineage
-    return cut_lineage(df)
+    return cut_lineage(df).coalesce(1)
 
 
 def value_counts(df: DataFrame, columns=None) -> DataFrame:
@@ -207,8 +201,11 @@ def distinct_counts(df: DataFrame, vc: DataFrame | None = None,
                     exact: bool = True) -> DataFrame:
     """Distinct non-null values per column (pandas ``nunique``).
 
-    ``exact=False`` uses HyperLogLog++ in one wide aggregate (no shuffle of
-    values), for very large tables where an estimate is enough.
+    Values are shuffled as 128-bit hashes, 24 bytes a distinct value and
+    task whatever their length; two different values of a column share one
+    with probability ``2**-128``. A value-count table ``vc``, if there is one
+    already, is counted instead. ``exact=False`` uses HyperLogLog++ in one wide
+    aggregate (no shuffle of values), where an estimate is enough.
     """
     if not exact:
         fields = _fields(df)
@@ -218,7 +215,8 @@ def distinct_counts(df: DataFrame, vc: DataFrame | None = None,
                          F.col(f"d{i}").alias("distinct_count"))
                 for i, f in enumerate(fields)]
         return wide.select(F.inline(F.array(*arms)))
-    vc = value_counts(df) if vc is None else vc
+    if vc is None:
+        return _distinct_by_hash(df)
     names = schema_table(df).select("column_name")
     counted = (vc.where(F.col("value").isNotNull()).groupBy("column_name")
                .agg(F.count(F.lit(1)).alias("distinct_count")))
@@ -228,6 +226,29 @@ def distinct_counts(df: DataFrame, vc: DataFrame | None = None,
                     .alias("distinct_count")))
 
 
+def _distinct_by_hash(df: DataFrame) -> DataFrame:
+    fields = _fields(df)
+    arms = []
+    for i, f in enumerate(fields):
+        value = q(f.name)
+        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+            value = F.when(~F.isnan(value), value + F.lit(0.0).cast(f.dataType))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+            value = as_text(f.name, f.dataType)
+        there = value.isNotNull()
+        arms.append(F.struct(F.lit(i).alias("i"), F.when(there, F.xxhash64(F.lit(1), value)).alias("a"),
+                             F.when(there, F.xxhash64(F.lit(2), value)).alias("b")))
+    if not arms:
+        return df.sparkSession.createDataFrame([], "column_name string, distinct_count long")
+    distinct = df.select(F.inline(F.array(*arms))).where("a is not null").distinct()
+    per = distinct.groupBy("i").count()
+    # one number per column
+    counts = per.agg(F.map_from_entries(F.collect_list(F.struct("i", "count"))).alias("counts"))
+    return counts.select(F.inline(F.array(*[F.struct(
+        F.lit(f.name).alias("column_name"), F.coalesce(F.try_element_at("counts", F.lit(i)), F.lit(0)).alias("distinct_count"))
+        for i, f in enumerate(fields)])))
+
+
 def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if is_text(f.dataType)]
 

@@ -97,8 +97,7 @@ class ProfileState:
     def profile(self, allowed: DataFrame | None = None) -> DataFrame:
         """As ``profile.column_profile`` of all rows: what contract and
         quality checks read."""
-        return P.column_profile(self.empty, self.value_counts(), allowed,
-                                self.column_stats().select("column_name", "row_count", "null_count"))
+        return P.column_profile(self.empty, self.value_counts(), allowed)
 
     def top_values(self, k: int = 10) -> DataFrame:
         return P.top_values(self.value_counts(), k)

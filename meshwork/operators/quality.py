@@ -18,12 +18,14 @@ shuffle carries 24 bytes per row instead of whole rows.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import looks_numeric
+from ..plans.session import together
 from . import contract as C
 from . import profile as P
 from .quantiles import quantile_wide
@@ -250,7 +252,7 @@ def validity_dimension(product: str, df: DataFrame,
                      F.least(pct, F.lit(INVALID_PENALTY_CAP * 1.0)).alias("penalty"),
                      _fmt("Column '%s': %d unexpected values", "column_name",
                           "invalid_count").alias("issue"))
-    pen = missing.unionByName(bad)
+    pen = missing.unionByName(bad).coalesce(1)
     g = pen.groupBy().agg(F.coalesce(F.sum("penalty"), F.lit(0.0)).alias("pen"),
                           _ordered_issues(pen, "column_name").alias("issues"))
     score = F.greatest(F.lit(0.0), _r(100 - F.col("pen"), 2))
@@ -315,23 +317,19 @@ def outlier_columns(product: str, df: DataFrame, **quantile_kw) -> DataFrame:
               "outliers bigint, outlier_pct double, issue string")
     if not nums:
         return spark.createDataFrame([], schema)
-    quart = quantile_wide(df, nums, [0.25, 0.75], **quantile_kw) \
-        .select("column_name", F.col("q_0").alias("q1"), F.col("q_1").alias("q3"))
-    # one row of fences per column, broadcast into one counting pass
-    fences = quart.groupBy().agg(*[
-        F.max(F.when(F.col("column_name") == c, F.struct("q1", "q3"))).alias(f"f{i}")
-        for i, c in enumerate(nums)])
-    cnt = [F.count(F.lit(1)).alias("__rows")]
-    for i, c in enumerate(nums):
-        x = P.q(c).cast("double")
-        q1, q3 = F.col(f"f{i}.q1"), F.col(f"f{i}.q3")
-        iqr = q3 - q1
+    # two numbers per column; as literals they need no join in the counting pass
+    fences = quantile_wide(df, nums, [0.25, 0.75], **quantile_kw).collect()
+    if not fences:
+        return spark.createDataFrame([], schema)
+    counts = [F.count(F.lit(1)).alias("__rows")]
+    arms = []
+    for i, (c, q1, q3) in enumerate(fences):
+        x, iqr = P.q(c).cast("double"), q3 - q1
         out = (x < q1 - IQR_FACTOR * iqr) | (x > q3 + IQR_FACTOR * iqr)
-        cnt.append(F.count_if(out & (iqr > 0)).alias(f"o{i}"))
-    counted = df.crossJoin(F.broadcast(fences)).agg(*cnt)
-    arms = [F.struct(F.lit(c).alias("column_name"), F.col(f"o{i}").alias("outliers"))
-            for i, c in enumerate(nums)]
-    long = counted.select("__rows", F.inline(F.array(*arms))).join(quart, "column_name")
+        counts.append((F.count_if(out) if iqr > 0 else F.lit(0).cast("long")).alias(f"o{i}"))
+        arms.append(F.struct(F.lit(c).alias("column_name"), F.lit(q1).cast("double").alias("q1"),
+                             F.lit(q3).cast("double").alias("q3"), F.col(f"o{i}").alias("outliers")))
+    long = df.agg(*counts).select("__rows", F.inline(F.array(*arms)))
     pct = F.try_divide(F.col("outliers"), F.col("__rows")) * 100
     return long.select(
         F.lit(product).alias("product"), "column_name", "q1", "q3",
@@ -386,7 +384,7 @@ def consistency_dimension(product: str, outliers: DataFrame,
                           rare: DataFrame) -> DataFrame:
     o = outliers.select(F.lit(0).alias("kind"), "column_name", "issue")
     r = rare.select(F.lit(1).alias("kind"), "column_name", "issue")
-    both = o.unionByName(r).withColumn("order", F.struct("kind", "column_name"))
+    both = o.unionByName(r).coalesce(1).withColumn("order", F.struct("kind", "column_name"))
     g = both.groupBy().agg(
         F.count_if((F.col("kind") == 0) & F.col("issue").isNotNull()).alias("a"),
         F.count_if((F.col("kind") == 1) & F.col("issue").isNotNull()).alias("b"),
@@ -424,7 +422,7 @@ def timeliness_dimension(product: str, spark, last_modified=None,
     -> 80 with an issue. ``last_modified`` may be a one-row DataFrame with a
     ``last_modified`` column (e.g. ``max`` of a timestamp column)."""
     if last_modified is None:
-        base = spark.range(1).select(F.lit(None).cast("timestamp").alias("last_modified"))
+        base = spark.range(1, numPartitions=1).select(F.lit(None).cast("timestamp").alias("last_modified"))
     else:
         base = last_modified
     as_of_col = F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
@@ -504,41 +502,58 @@ class Assessment:
     rare_values: DataFrame
 
 
+@dataclass
+class Facts:
+    """What an assessment needs of the data: small tables of one product."""
+    profile: DataFrame
+    duplicates: DataFrame
+    outliers: DataFrame
+    rare_values: DataFrame
+
+
+def facts_of(product: str, df: DataFrame, contract_columns: DataFrame | None = None,
+             exact_duplicates: bool = False, **quantile_kw) -> Facts:
+    """The data passes of an assessment, as jobs submitted together: the
+    value-count shuffle and the wide statistics (one small column profile), the
+    row-key shuffle for duplicates, and the quantile passes for outliers."""
+    vc = P.value_counts(df)
+    prof, dup, outl = together(
+        lambda: P.small_cached(P.column_profile(df, vc, allowed_lists(product, contract_columns))),
+        lambda: P.small_cached(duplicate_rows(product, df, exact=exact_duplicates)),
+        lambda: P.small_cached(outlier_columns(product, df, **quantile_kw)))
+    return Facts(prof, dup, outl, rare_value_columns(product, df))
+
+
 def assess(product: str, df: DataFrame, contract_columns: DataFrame | None = None,
            last_modified: DataFrame | None = None, as_of=None,
-           exact_duplicates: bool = False, **quantile_kw) -> Assessment:
+           exact_duplicates: bool = False, facts: Facts | None = None, **quantile_kw) -> Assessment:
     """All dimensions, column scores and the report for one product.
 
-    Data passes: the value-count shuffle and the wide statistics (folded
-    into one small, persisted column profile), the row-key shuffle for
-    duplicates, and the quantile passes for outliers. Every other step reads
-    the small profile.
+    Only ``facts`` (made by ``facts_of`` if not given, or kept in an
+    ``AssessmentStore``) read the data. Every other step reads these small
+    tables, of one partition, without an exchange.
     """
-    spark = df.sparkSession
-    vc = P.value_counts(df)
-    prof = P.small_cached(P.column_profile(df, vc, allowed_lists(product, contract_columns)))
+    if facts is None:
+        facts = facts_of(product, df, contract_columns, exact_duplicates, **quantile_kw)
+    spark, prof, dup, outl = df.sparkSession, facts.profile, facts.duplicates, facts.outliers
     comp = completeness_dimension(product, df, prof)
-    dup = duplicate_rows(product, df, exact=exact_duplicates)
     keys = (unique_key_violations(product, df, contract_columns, prof=prof)
             if contract_columns is not None else None)
     uniq = uniqueness_dimension(product, dup, keys)
     valid = validity_dimension(product, df, contract_columns, prof=prof)
-    outl = outlier_columns(product, df, **quantile_kw)
     rare = rare_issues_from_profile(product, df, prof)
     cons = consistency_dimension(product, outl, rare)
     time = timeliness_dimension(product, spark, last_modified, as_of)
-    dims = comp.unionByName(uniq).unionByName(valid).unionByName(cons).unionByName(time)
+    dims = comp.unionByName(uniq).unionByName(valid).unionByName(cons).unionByName(time).coalesce(1)
     cols = column_quality(product, df, contract_columns, facts=prof)
-    return Assessment(dims, cols, report_from_dimensions(dims), dup, outl,
-                      rare_value_columns(product, df, vc))
+    return Assessment(dims, cols, report_from_dimensions(dims), dup, outl, facts.rare_values)
 
 
 def assess_many(products: dict, contract_columns: DataFrame | None = None,
                 last_modified: dict | None = None, as_of=None) -> Assessment:
     """Assess several products in one plan (union of per-product plans)."""
-    parts = [assess(name, df, contract_columns,
-                    (last_modified or {}).get(name), as_of)
-             for name, df in products.items()]
+    parts = together(*(partial(assess, name, df, contract_columns, (last_modified or {}).get(name), as_of)
+                       for name, df in products.items()))
 
     def u(attr):
         out = getattr(parts[0], attr)

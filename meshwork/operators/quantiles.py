@@ -17,8 +17,8 @@ up to the band:
 3. Rows inside the final bands (at most ``small`` each) are the only ones
    that are exploded; they are counted by value and ranked in a window.
 
-The bookkeeping between rounds is a handful of numbers per column and is
-read on the driver; the data itself never leaves the executors.
+The bookkeeping between rounds and the results are a handful of numbers per
+column and are read on the driver; the data itself never leaves the executors.
 
 Interpolation: ``h = (n - 1) * p``, value ``lo + (hi - lo) * (h - floor(h))``,
 the definition of pandas ('linear'), Spark ``percentile`` and DuckDB
@@ -122,9 +122,7 @@ def exact_quantiles(df: DataFrame, columns, probs, small: int = DEFAULT_SMALL,
         got = _wide(df, tests)
         for i, (t, (low, high)) in enumerate(zip(wide, ends)):
             t.narrow(low, high, got[4 * i:4 * i + 4])
-    found = {(t.column, t.rank): t.value for t in targets.values()}
-    solved = spark.createDataFrame([(c, r, v) for (c, r), v in found.items() if v is not None],
-                                   "column_name string, rank long, value double")
+    found = {(t.column, t.rank): t.value for t in targets.values() if t.value is not None}
     open_ = [t for t in targets.values() if t.value is None]
     if open_:
         # ranks of the same band share its rows
@@ -135,27 +133,30 @@ def exact_quantiles(df: DataFrame, columns, probs, small: int = DEFAULT_SMALL,
                          for i, own in enumerate(bands.values())])
         band = (df.select(F.inline(arms)).where(F.col("v").isNotNull())
                 .groupBy("band", "v").agg(F.count(F.lit(1)).alias("n")))
-        ranks = spark.createDataFrame([(i, t.column, t.rank, t.below) for i, own in enumerate(bands.values()) for t in own],
-                                      "band int, column_name string, rank long, below long")
         upto = Window.partitionBy("band").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ranked = band.withColumn("end", F.sum("n").over(upto)).join(F.broadcast(ranks), "band").where(
-            (F.col("below") + F.col("end") > F.col("rank"))
-            & (F.col("below") + F.col("end") - F.col("n") <= F.col("rank")))
-        solved = solved.unionByName(ranked.select("column_name", "rank", F.col("v").alias("value")))
-    wanted = spark.createDataFrame(wanted, "column_name string, p double, lo long, hi long, frac double")
-    of = lambda rank, name: F.max(F.when(F.col("rank") == F.col(rank), F.col("value"))).alias(name)
-    both = (F.broadcast(wanted).join(solved, "column_name")
-            .where((F.col("rank") == F.col("lo")) | (F.col("rank") == F.col("hi")))
-            .groupBy("column_name", "p", "frac").agg(of("lo", "lo_v"), of("hi", "hi_v")))
-    value = F.when(F.col("frac") == 0, F.col("lo_v")).otherwise(
-        F.col("lo_v") + (F.col("hi_v") - F.col("lo_v")) * F.col("frac"))
-    return both.select("column_name", "p", value.alias("value"))
+        last, first = F.col("end"), F.col("end") - F.col("n")
+        hits = F.lit(False)
+        for i, own in enumerate(bands.values()):
+            for t in own:
+                hits = hits | ((F.col("band") == i) & (last > t.rank - t.below) & (first <= t.rank - t.below))
+        # at most one row per wanted rank
+        ranked = band.withColumn("end", F.sum("n").over(upto)).where(hits).select("band", "v", first, last).collect()
+        for i, own in enumerate(bands.values()):
+            for t in own:
+                found.update({(t.column, t.rank): v for b, v, lo, hi in ranked if b == i and lo <= t.rank - t.below < hi})
+    rows = []
+    for c, p, lo, hi, frac in wanted:
+        low, high = found[c, lo], found[c, hi]
+        rows.append((c, p, low if frac == 0 else low + (high - low) * frac))
+    return spark.createDataFrame(rows, schema)
 
 
 def quantile_wide(df: DataFrame, columns, probs, **kw) -> DataFrame:
     """Same as :func:`exact_quantiles` pivoted to one column per probability
     (``q_<index>``)."""
-    long = exact_quantiles(df, columns, probs, **kw)
-    aggs = [F.max(F.when(F.col("p") == float(p), F.col("value"))).alias(f"q_{i}")
-            for i, p in enumerate(probs)]
-    return long.groupBy("column_name").agg(*aggs)
+    rows: dict[str, dict] = {}
+    for c, p, value in exact_quantiles(df, columns, probs, **kw).collect():
+        rows.setdefault(c, {})[p] = value
+    names = ", ".join(f"q_{i} double" for i in range(len(probs)))
+    return df.sparkSession.createDataFrame(
+        [(c, *(of[float(p)] for p in probs)) for c, of in rows.items()], f"column_name string, {names}")

@@ -8,7 +8,7 @@ from ..operators import catalog as M
 from ..operators import contract as C
 from ..operators import profile as P
 from ..operators import quality as D
-from .quality_suite import clean_contract, orders_contract, sql_report
+from .quality_suite import reports, sql_report
 from .profile_suite import _VIOL_SQL
 from .registry import register
 from .tables import TABLES, all_tables, table
@@ -83,11 +83,7 @@ _GRADE = ("case when composite >= 90 then 'A' when composite >= 80 then 'B' "
 
 
 def _report(spark, sf):
-    out, contract = None, clean_contract(spark, sf)
-    for name in VIEW3:
-        r = D.assess(name, VIEWS[name](spark, sf), orders_contract(spark, sf, name, contract)).report
-        out = r if out is None else out.unionByName(r)
-    return out
+    return reports(spark, sf, VIEW3)
 
 
 @register("quality_badge", with_views(f"""

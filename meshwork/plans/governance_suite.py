@@ -7,10 +7,10 @@ from ..functions import text as X
 from ..operators import contract as C
 from ..operators import governance as E
 from ..operators import profile as P
-from ..operators import quality as D
 from . import seeds
-from .quality_suite import clean_contract, orders_contract, sql_report
+from .quality_suite import reports, sql_report
 from .registry import register
+from .session import together
 from .tables import TABLES, all_tables, table
 from .views import VIEWS, with_views
 
@@ -167,21 +167,15 @@ def _compliance(spark, sf):
     frames = {"orders": table(spark, sf, "orders"),
               "orders_nulls": VIEWS["orders_nulls"](spark, sf),
               "orders_badvals": VIEWS["orders_badvals"](spark, sf)}
-    cc = None
-    for name, df in frames.items():
-        x = C.infer_contract(name, df)
-        cc = x if cc is None else cc.unionByName(x)
-    for name in ("customer", "part"):
-        x = C.infer_contract(name, table(spark, sf, name))
-        cc = cc.unionByName(x.withColumn("description", F.when(
-            F.col("column_name") != "c_acctbal", F.col("description")).otherwise("")))
+    frames |= {name: table(spark, sf, name) for name in ("customer", "part")}
+    inferred = together(*(lambda name=name, df=df: P.small_cached(C.infer_contract(name, df)) for name, df in frames.items()))
+    cc = inferred[0]
+    for x in inferred[1:]:
+        cc = cc.unionByName(x)
+    cc = cc.withColumn("description", F.when(F.col("column_name") != "c_acctbal", F.col("description")).otherwise(""))
     frames |= {name: table(spark, sf, name) for name in ("customer", "part", "supplier")}
     pol = E.access_policies(E.columns_table(spark, frames))
-    scores, contract = None, clean_contract(spark, sf)
-    for name in ("orders_nulls", "orders_badvals"):
-        r = D.assess(name, frames[name], orders_contract(spark, sf, name, contract)).report
-        scores = r if scores is None else scores.unionByName(r)
-    return E.compliance_checks(prods, contracts, cc, pol, scores)
+    return E.compliance_checks(prods, contracts, cc, pol, reports(spark, sf, ("orders_nulls", "orders_badvals")))
 
 
 _SCORES_SQL = "\nunion all ".join(sql_report(v) for v in ("orders_nulls", "orders_badvals"))

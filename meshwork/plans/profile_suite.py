@@ -8,6 +8,7 @@ from ..operators import graph as G
 from ..operators import graph_queries as Q
 from ..operators import profile as P
 from .registry import register
+from .session import together
 from .tables import table
 from .views import VIEWS, with_views
 
@@ -232,15 +233,17 @@ _VIOL_SQL = ("with v as (\n" + "\nunion all ".join(
 
 
 def _violations(spark, sf, clean=False):
-    out, contract = None, orders_contract(spark, sf)
+    contract = orders_contract(spark, sf)
     frames = {name: VIEWS[name](spark, sf) for name in ("orders_nulls", "orders_dups", "orders_badvals")}
+    jobs = [lambda name=name, df=df: C.contract_violations(name, df, contract.withColumn("product", F.lit(name)))
+            for name, df in frames.items()]
     if clean:
-        frames["orders"] = table(spark, sf, "orders")
         # the clean table against its own contract: no violation
-        out = C.contract_violations("orders", frames.pop("orders"), contract.where("column_name <> 'o_comment'"))
-    for name, df in frames.items():
-        v = C.contract_violations(name, df, contract.withColumn("product", F.lit(name)))
-        out = v if out is None else out.unionByName(v)
+        jobs.append(lambda: C.contract_violations("orders", table(spark, sf, "orders"), contract.where("column_name <> 'o_comment'")))
+    parts = together(*jobs)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 

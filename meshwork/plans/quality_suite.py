@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..operators import contract as C
 from ..operators import profile as P
 from ..operators import quality as D
+from ..operators.assessment_store import AssessmentStore
 from .registry import register
+from .session import checkpoint_dir, together
 from .tables import table
 from .views import VIEWS, with_views
 
@@ -158,8 +160,21 @@ def grade_sql(x):
 REPORT_VIEWS = ("orders_nulls", "orders_dups", "orders_badvals")
 
 
-def _assess(spark, sf, name, contract=None):
-    return D.assess(name, VIEWS[name](spark, sf), orders_contract(spark, sf, name, contract))
+def assessments(spark, sf, names=REPORT_VIEWS, shared=True):
+    """Assessments of order views by the contract of clean orders; ``shared``:
+    from the store that all keys of a checkpoint folder share."""
+    contract = clean_contract(spark, sf)
+    store = AssessmentStore(spark, f"{checkpoint_dir(spark).rstrip('/')}/meshwork-assessments")
+    one = store.assess if shared else D.assess
+    return dict(zip(names, together(*(lambda name=name: one(
+        name, VIEWS[name](spark, sf), orders_contract(spark, sf, name, contract)) for name in names))))
+
+
+def reports(spark, sf, names=REPORT_VIEWS, shared=True):
+    out = None
+    for one in assessments(spark, sf, names, shared).values():
+        out = one.report if out is None else out.unionByName(one.report)
+    return out
 
 
 # -- keys ------------------------------------------------------------------------------
@@ -345,10 +360,8 @@ select product, round(composite, 1) as composite_score, {grade_sql('composite')}
        total_issues::bigint as total_issues, critical_count::bigint as critical_count
 from ({_REPORT_SQL})""", *REPORT_VIEWS))
 def quality_report(spark, sf):
-    out, contract = None, clean_contract(spark, sf)
-    for name in REPORT_VIEWS:
-        r = _assess(spark, sf, name, contract).report
-        out = r if out is None else out.unionByName(r)
+    """Made from the data; the keys that build on reports share stored ones."""
+    out = reports(spark, sf, shared=False)
     return out.select("product", "composite_score", "grade", "total_issues",
                       F.size("critical_issues").cast("bigint").alias("critical_count"))
 
@@ -359,10 +372,7 @@ select count(*) as total_assessed, round(avg(round(composite, 1)), 1) as average
        string_agg(product || ' ' || {grade_sql('composite')} || ' ' || printf('%.1f', round(composite, 1)), ', ' order by product) as products
 from ({_REPORT_SQL})""", *REPORT_VIEWS))
 def quality_summary(spark, sf):
-    out, contract = None, clean_contract(spark, sf)
-    for name in REPORT_VIEWS:
-        r = _assess(spark, sf, name, contract).report
-        out = r if out is None else out.unionByName(r)
+    out = reports(spark, sf)
     entry = lambda p: F.concat_ws(" ", p["product"], p["grade"],
                                   F.format_string("%.1f", p["composite_score"]))
     return D.quality_summary(out).withColumn("products", F.array_join(F.transform("products", entry), ", "))
@@ -394,11 +404,10 @@ def sql_expectations(view):
 
 @register("check_expectations", with_views("\nunion all ".join(map(sql_expectations, REPORT_VIEWS)), *REPORT_VIEWS))
 def check_expectations(spark, sf):
-    out, contract = None, clean_contract(spark, sf)
-    for name in REPORT_VIEWS:
-        df = VIEWS[name](spark, sf)
-        cols = D.column_quality(name, df, orders_contract(spark, sf, name, contract))
-        one = C.check_expectations(name, D.completeness_dimension(name, df), D.duplicate_rows(name, df), cols)
+    out = None
+    for name, found in assessments(spark, sf).items():
+        complete = found.dimensions.where("dimension = 'completeness'")
+        one = C.check_expectations(name, complete, found.duplicates, found.columns)
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -10,10 +10,15 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+#: Jobs that one call submits at the same time.
+JOBS_AT_ONCE = 8
+
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -66,6 +71,18 @@ def let_workers_import(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join(filter(None, [*paths, root]))
 
 
+def together(*jobs):
+    """The results of independent functions that run Spark jobs, submitted at
+    the same time: small jobs don't wait for each other's stragglers."""
+    if len(jobs) < 2:
+        return [job() for job in jobs]
+    session = SparkSession.getActiveSession()
+    with ThreadPoolExecutor(min(len(jobs), JOBS_AT_ONCE)) as pool:
+        # threads take the session's job groups and properties with them
+        running = [pool.submit(inheritable_thread_target(session)(job) if session else job) for job in jobs]
+        return [f.result() for f in running]
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, configuring the context with it.
 
