@@ -66,20 +66,21 @@ class Tests:
         self.window = window
         raw = [t.encode() for _, t in items]
         ids, counts = word_ids(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
-        suffixes, of, at = [], [], []
-        for item, (n, end) in enumerate(zip(counts.tolist(), np.cumsum(counts).tolist())):
-            own = ids[end - n:end]
-            for i in range(max(n - window, 0) + 1 if n else 0):
-                row = np.zeros(window, np.uint64)
-                row[:min(window, n)] = own[i:i + window]
-                suffixes.append(row)
-                of.append(item)
-                at.append(i)
-        rows = np.array(suffixes, np.uint64).reshape(-1, window)
+        windows = np.where(counts > 0, np.maximum(counts - window, 0) + 1, 0)
+        of = np.repeat(np.arange(len(items)), windows)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
+        ends = np.cumsum(counts)
+        start = (ends - counts)[of] + at
+        rows = np.zeros((len(of), window), np.uint64)
+        for k in range(window):
+            inside = start + k < ends[of]
+            rows[inside, k] = ids[start[inside] + k]
         self.rows, which = np.unique(rows, axis=0, return_inverse=True)
         which = which.ravel()
         order = np.argsort(which, kind="stable")
-        self.places = np.array(list(zip(of, at)), np.int64).reshape(-1, 2)[order]
+        #: The row of each window, item by item, and where an item's begin.
+        self.sequence, self.begin = which, np.cumsum(windows) - windows
+        self.places = np.stack([of, at], axis=1)[order]
         self.first = np.searchsorted(which[order], np.arange(len(self.rows) + 1))
         self.length = (self.rows != 0).sum(1)
         self.names = [name for name, _ in items]
@@ -141,15 +142,11 @@ class Tests:
 
 
 def _merge(first, last):
-    """Union of ranges."""
+    """Union of ranges, as (first, last) of its parts."""
     order = np.argsort(first, kind="stable")
-    out = []
-    for a, b in zip(first[order].tolist(), last[order].tolist()):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return out
+    first, reach = first[order], np.maximum.accumulate(last[order])
+    new = np.flatnonzero(np.append(True, first[1:] > reach[:-1]))
+    return first[new].tolist(), reach[np.append(new[1:], len(first)) - 1].tolist()
 
 
 _ADDED = ("n_words long, hits array<struct<start: long, end: long>>, items array<string>, "
@@ -159,22 +156,66 @@ _MATCH = pa.list_(pa.struct([("item_id", pa.string()), ("item_word", pa.int64())
                              ("n_words", pa.int64())]))
 
 
+def _starts(tests, row, p, before):
+    """Pairs (item, its word, document word) at which a chain of windows
+    begins: the windows before differ. ``row``, ``p``: the windows of a text
+    in order of place, ``before``: the row of the window before each, or -1."""
+    order = np.argsort(row, kind="stable")
+    own, bounds = np.unique(row[order], return_index=True)
+    bounds = np.append(bounds, len(order))
+    found = []
+    for r, a, b in zip(own.tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+        here, places = order[a:b], tests.places[tests.first[r]:tests.first[r + 1]]
+        item, at = places[:, 0], places[:, 1]
+        old = np.where(at > 0, tests.sequence[tests.begin[item] + at - 1], -2)
+        # of equal windows before, only pairs with another one start a chain
+        for value in np.unique(before[here]).tolist():
+            mine, other = here[before[here] == value], np.flatnonzero(old != value)
+            found.append(np.stack([np.repeat(item[other], len(mine)), np.repeat(at[other], len(mine)),
+                                   np.tile(p[mine], len(other))]))
+    return np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+
+
 def _longest(tests, test, place):
-    """Chains of windows that follow each other in item and document."""
-    found = {}
-    for t, p in sorted(zip(test.tolist(), place.tolist()), key=lambda x: x[1]):
-        length = int(tests.length[t])
-        for item, at in tests.places[tests.first[t]:tests.first[t + 1]].tolist():
-            chains = found.setdefault((item, at - p), [])
-            if chains and chains[-1][1] + chains[-1][2] >= p + length - 1 and chains[-1][1] < p:
-                chains[-1][2] = p + length - chains[-1][1]
-            else:
-                chains.append([at, p, length])
-    return [{"item_id": tests.names[item], "item_word": at, "doc_word": p, "n_words": n}
-            for (item, _), chains in found.items() for at, p, n in chains]
-
-
-def _search(tests, text_col, names, again):
+    """The longest chains of windows that follow each other in item and
+    document, which are the longest verbatim matches."""
+    order = np.argsort(place, kind="stable")
+    test, place = test[order], place[order]
+    full = tests.length[test] == tests.window
+    out = []
+    short, p = test[~full], place[~full]
+    n = tests.first[short + 1] - tests.first[short]
+    pick = np.repeat(tests.first[short], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    out += zip(tests.places[pick, 0].tolist(), tests.places[pick, 1].tolist(), np.repeat(p, n).tolist(),
+               np.repeat(tests.length[short], n).tolist())
+    row, p = test[full], place[full]
+    if len(row):
+        rows = np.full(int(p[-1]) + 2, -1, np.int64)
+        rows[p] = row
+        item, at, word = _starts(tests, row, p, np.where(p > 0, rows[p - 1], -1))
+        size = np.diff(np.append(tests.begin, len(tests.sequence)))
+        length, going = np.full(len(item), tests.window), np.arange(len(item))
+        step = 1
+        while len(going):
+            i, j, k = item[going], at[going] + step, word[going] + step
+            on = (j < size[i]) & (k < len(rows))
+            going, i, j, k = going[on], i[on], j[on], k[on]
+            going = going[tests.sequence[tests.begin[i] + j] == rows[k]]
+            length[going] += 1
+            step += 1
+        out += zip(item.tolist(), at.tolist(), word.tolist(), length.tolist())
+    return [{"item_id": tests.names[i], "item_word": a, "doc_word": d, "n_words": n} for i, a, d, n in out]
+
+
+def _items(tests, test):
+    """The names of the items that windows belong to."""
+    rows = np.unique(test)
+    n = tests.first[rows + 1] - tests.first[rows]
+    pick = np.repeat(tests.first[rows], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return {tests.names[i] for i in np.unique(tests.places[pick, 0]).tolist()}
+
+
+def _search(tests, text_col, names, again, located):
     n_words, hits_, items_, matches_ = names
 
     def rows(batches):
@@ -186,15 +227,16 @@ def _search(tests, text_col, names, again):
             old = [block.column(block.schema.get_field_index(c)).to_pylist() if again else [[]] * block.num_rows
                    for c in (hits_, items_, matches_)]
             hits, items, matches = (list(x) for x in old)
-            for row in np.unique(doc).tolist():
-                own = doc == row
+            order = np.argsort(doc, kind="stable")
+            hit, bounds = np.unique(doc[order], return_index=True)
+            for row, own in zip(hit.tolist(), np.split(order, bounds[1:])):
                 t, p = test[own], place[own] - (ends[row] - counts[row])
                 first = np.concatenate([p, [h["start"] for h in hits[row]]]).astype(np.int64)
                 last = np.concatenate([p + tests.length[t], [h["end"] for h in hits[row]]]).astype(np.int64)
-                hits[row] = [{"start": a, "end": b} for a, b in _merge(first, last)]
-                found = _longest(tests, t, p)
-                matches[row] = matches[row] + found
-                items[row] = sorted({*items[row], *(m["item_id"] for m in found)})
+                hits[row] = [{"start": a, "end": b} for a, b in zip(*_merge(first, last))]
+                if located:
+                    matches[row] = matches[row] + _longest(tests, t, p)
+                items[row] = sorted({*items[row], *_items(tests, t)})
             yield append_columns(block, {n_words: pa.array(counts, pa.int64()), hits_: pa.array(hits, _SPAN),
                                          items_: pa.array(items, pa.list_(pa.string())),
                                          matches_: pa.array(matches, _MATCH)})
@@ -203,11 +245,14 @@ def _search(tests, text_col, names, again):
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, min_share: float = 0.05,
                        text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-                       prefix: str = "") -> DataFrame:
+                       prefix: str = "", located: bool = True) -> DataFrame:
     """The documents with n_words, hits (word ranges), items, matches (the
-    longest verbatim matches and where they are), n_hit, n_items,
-    items_sha256 and contaminated; ``prefix`` names them apart from columns
-    that the documents have already."""
+    longest verbatim matches and where they are; none unless ``located``),
+    n_hit, n_items, items_sha256 and contaminated; ``prefix`` names them apart
+    from columns that the documents have already.
+
+    A text that repeats a test's words has as many matches as there are ways
+    to lay one along the other; without ``located`` they cost nothing."""
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"),
                              F.coalesce(F.col(item_text_col), F.lit("")).alias("words"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("words") + F.octet_length("item") + 16), F.lit(0))).first()[0]
@@ -220,7 +265,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     for i in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == i)
         tests = Tests([(r.item, r.words) for r in part.collect()], window)
-        out = out.mapInArrow(_search(tests, text_col, names, i > 0), schema_with(out, added))
+        out = out.mapInArrow(_search(tests, text_col, names, i > 0, located), schema_with(out, added))
     n_hit = F.aggregate(names[1], F.lit(0).cast("long"), lambda n, h: n + h["end"] - h["start"])
     out = out.withColumn(f"{prefix}n_hit", n_hit)
     share = F.col(f"{prefix}n_hit") >= F.lit(min_share).cast("decimal(20,10)") * F.col(names[0])
@@ -231,5 +276,5 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
-    found = find_contamination(docs, benchmark, prefix="__test_", **options)
+    found = find_contamination(docs, benchmark, prefix="__test_", located=False, **options)
     return found.where(~F.col("__test_contaminated")).select(*docs.columns)

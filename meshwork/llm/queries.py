@@ -76,7 +76,7 @@ FROM d LEFT JOIN nh USING (r) LEFT JOIN it USING (r)
 def op8_decontaminate(spark, sf_dir):
     from .decontaminate import find_contamination
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return find_contamination(docs, _table(spark, sf_dir, "benchmark")).select(
+    return find_contamination(docs, _table(spark, sf_dir, "benchmark"), located=False).select(
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
