@@ -14,8 +14,14 @@ def fold(id_col: str, folds: int, held: int) -> Column:
 def fit_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, limit: int) -> DataFrame:
     """(doc_id, text, label) of at most ``limit`` labelled documents, the
     first in hash order of the id. ``docs`` and ``labels`` hold the rows that
-    may be used; of repeated ids one row is taken, with the largest label."""
+    may be used. Of repeated ids one is taken: the largest label, and of the
+    documents (with a column ``own``: those whose own label it is) the one
+    whose text has the least hash, whatever their order."""
     ids = (labels.select(F.col(id_col).alias("doc_id"), F.col(label).alias("label")).dropna()
            .groupBy("doc_id").agg(F.max("label").alias("label"))
            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit))
-    return docs.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.join(F.broadcast(ids), "doc_id")
+    if "own" in docs.columns:
+        rows = rows.where(F.col("own") == F.col("label"))
+    hashes = F.struct(F.xxhash64(F.lit(1), "text"), F.xxhash64(F.lit(2), "text"))
+    return rows.groupBy("doc_id").agg(F.min_by(F.struct("text", "label"), hashes).alias("x")).select("doc_id", "x.*")

@@ -136,7 +136,7 @@ def fit(docs: DataFrame, fit_docs: int = 20_000, id_col: str = "doc_id", text_co
         lang_col: str = "lang") -> dict[str, np.ndarray]:
     """Prototypes of the languages of ``docs``, from at most ``fit_docs`` of
     its documents with a language (the first in hash order of the id)."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("own"))
     langs = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"))
     sample = fit_sample(rows, langs, "lang", "doc_id", fit_docs).select("text", F.col("label").cast("string").alias("label"))
     parts = sample.mapInArrow(_learn, "lang string, place int, value double")
