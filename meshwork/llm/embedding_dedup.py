@@ -4,8 +4,8 @@ Vectors of one label are linked if their cosine is at least ``threshold``.
 
 1. Equal vectors become one class with a count.
 2. A class gets the signs of its unit vector after a random rotation (its
-   code) and the correction factor f = <code, rotated vector>. Further
-   rotations give the bits of ``tables`` bucket keys; bits per key grow with
+   code, one bit a dimension) and the correction factor f = <code, rotated
+   vector>; both are computed once and stored with it. Further rotations give the bits of ``tables`` bucket keys; bits per key grow with
    the logarithm of the label's classes, tables so that a pair at the
    threshold shares no key with probability ``miss`` at most, and so that the
    expected number of lost links of the label, were all pairs at the
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import append_columns, materialise, schema_with
 from .components import connected_components
 
 TARGET = 256
@@ -72,10 +72,33 @@ def keys(unit: np.ndarray, bits: int, tables: int) -> np.ndarray:
     return signs.reshape(len(unit), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
 
 
+def binary_codes(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Packed signs of the rotated unit vectors, one bit a dimension, and the
+    correction factor <code, rotated vector> of each."""
+    turned = unit @ rotation(unit.shape[1], 0).T
+    return np.packbits(turned >= 0, axis=1), np.abs(turned).sum(1) / math.sqrt(unit.shape[1])
+
+
+def _coded(batches):
+    """Classes with their code and factor, which are stored."""
+    for batch in batches:
+        vec = batch.column(batch.schema.get_field_index("embedding"))
+        dims = batch.column(batch.schema.get_field_index("dim")).to_numpy()
+        raw, ends = vec.flatten().to_numpy().astype(np.float64), np.cumsum(dims)
+        codes, factors = [b""] * len(dims), np.zeros(len(dims))
+        for d in set(dims.tolist()):
+            own = np.flatnonzero(dims == d)
+            values = raw[(ends[own] - d)[:, None] + np.arange(d)]
+            packed, factors[own] = binary_codes(values / np.linalg.norm(values, axis=1, keepdims=True))
+            for i, code in zip(own.tolist(), packed):
+                codes[i] = code.tobytes()
+        yield append_columns(batch, {"code": pa.array(codes, pa.binary()), "factor": pa.array(factors)})
+
+
 def _rows(threshold, miss):
     def rows(batches):
         for batch in batches:
-            rep, n, label, vec, dim, classes = (batch.column(i) for i in range(6))
+            rep, n, label, vec, dim, classes, code, factor = (batch.column(i) for i in range(8))
             raw = vec.flatten().to_numpy().astype(np.float64)
             dims, sizes = dim.to_numpy(), classes.to_numpy()
             ends = np.cumsum(dims)
@@ -89,22 +112,24 @@ def _rows(threshold, miss):
                 for t in range(tables):
                     yield pa.RecordBatch.from_arrays(
                         [rep.take(pick), n.take(pick), label.take(pick), vec.take(pick), dim.take(pick),
-                         classes.take(pick), pa.array(np.full(len(own), t, np.int32)), pa.array(at[:, t])],
-                        names=["rep", "n", "label", "embedding", "dim", "classes", "tbl", "bucket"])
+                         classes.take(pick), code.take(pick), factor.take(pick),
+                         pa.array(np.full(len(own), t, np.int32)), pa.array(at[:, t])],
+                        names=["rep", "n", "label", "embedding", "dim", "classes", "code", "factor", "tbl", "bucket"])
     return rows
 
 
-def linked_pairs(vectors: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float):
+def linked_pairs(vectors: np.ndarray, codes: np.ndarray, factor: np.ndarray, left: np.ndarray, right: np.ndarray,
+                 threshold: float):
     """Pairs (i of left, j of right) with a cosine of at least threshold, in
-    parts; estimated from codes, recomputed where the bound allows it."""
-    norm = np.linalg.norm(vectors, axis=1)
-    turned = (vectors / norm[:, None]) @ rotation(vectors.shape[1], 0).T
-    dim = vectors.shape[1]
-    code = np.where(turned >= 0, 1.0, -1.0).astype(np.float32) / np.float32(math.sqrt(dim))
-    factor = np.abs(turned).sum(1) / math.sqrt(dim)
+    parts; estimated from the codes and factors of left, recomputed where the
+    bound allows it."""
+    norm, dim = np.linalg.norm(vectors, axis=1), vectors.shape[1]
+    code = (np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1) / np.float32(math.sqrt(dim))
     error = SIGMAS * np.sqrt(np.maximum(1 - factor**2, 0) / factor**2 / max(dim - 1, 1)) + 1e-5
     least = ((threshold - error) * factor).astype(np.float32)
-    turned = turned.astype(np.float32)
+    # only the other side is turned, without a code
+    turned = np.zeros(vectors.shape, np.float32)
+    turned[right] = (vectors[right] / norm[right][:, None]) @ rotation(dim, 0).T
     step = max(1, (1 << 21) // max(len(right), 1))
     for at in range(0, len(left), step):
         own = left[at:at + step]
@@ -142,6 +167,8 @@ def _bucket(threshold, miss):
         dim, classes = table.column("dim")[0].as_py(), table.column("classes")[0].as_py()
         flat = np.concatenate([c.flatten().to_numpy() for c in table.column("embedding").chunks])
         vectors = flat.astype(np.float64).reshape(-1, dim)
+        codes = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(len(rep), -1)
+        factor = table.column("factor").to_numpy()
         bits, tables = plan_tables(classes, threshold, miss)
         earlier = None
         if table_no:
@@ -152,7 +179,7 @@ def _bucket(threshold, miss):
         count = np.zeros(len(rep), np.int64)
 
         def pairs():
-            for a, b in linked_pairs(vectors, left, right, threshold):
+            for a, b in linked_pairs(vectors, codes, factor, left, right, threshold):
                 if earlier is not None:
                     new = ~(earlier[a] == earlier[b]).any(1)
                     a, b = a[new], b[new]
@@ -199,13 +226,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, miss: float = 1
     table = materialise(table.withColumn("usable", F.coalesce(usable, F.lit(False))))
     good = table.where("usable")
     classes = good.groupBy("label", "embedding").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("n"))
-    classes = materialise(classes.withColumn("dim", F.size("embedding").cast("long")), narrow=True)
+    classes = classes.withColumn("dim", F.size("embedding").cast("long"))
+    classes = materialise(classes.mapInArrow(_coded, schema_with(classes, "code binary, factor double")), narrow=True)
     sizes = materialise(classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("classes")), narrow=True)
-    rows = classes.join(sizes, ["label", "dim"]).select("rep", "n", "label", "embedding", "dim", "classes")
+    rows = classes.join(sizes, ["label", "dim"]).select(
+        "rep", "n", "label", "embedding", "dim", "classes", "code", "factor")
     label = dict(rows.dtypes)["label"]
     rows = materialise(rows.where("classes > 1").mapInArrow(
         _rows(threshold, miss), f"rep long, n long, label {label}, embedding {kind}, dim long, classes long, "
-        "tbl int, bucket long"))
+        "code binary, factor double, tbl int, bucket long"))
     found = materialise(_blocks(rows).groupBy("label", "dim", "tbl", "bucket", "i", "j").applyInArrow(
         _bucket(threshold, miss), "a long, b long, n long"), narrow=True)
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("links")).withColumnRenamed("a", "rep")
