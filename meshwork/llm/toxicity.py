@@ -19,13 +19,12 @@ landmarks, times the inverse root of their kernel matrix, gives the features
 of a linear SVM. Because kernel values are
 inner products, landmarks and weights fold into one number per subsequence.
 
-Bounds. ``fit_docs`` bounds the documents, ``examples`` the words that
-training sees: the first 20 * ``examples`` suspects by toxic sentences are
-tested, at most ``examples`` telling words and as many rarer ones that look
-like them are positive, and of the clean words the ``examples`` most frequent
-and the 2 * ``examples`` most like a positive of each round are negative. In
-a sample with many languages the rarer insults may be left out; raise
-``examples`` then. Scoring reads all words of all documents.
+Bounds. ``fit_docs`` bounds the documents of the sample. All its suspects are
+tested, and all telling words and all rarer ones that look like them are
+positive examples. ``examples`` bounds the negative ones: the ``examples``
+most frequent clean words and the 2 * ``examples`` most like a positive of
+each round, which are those that decide the margin. Scoring reads all words of
+all documents.
 
 Scoring. A sentence scores as its most toxic word; a document has the three
 highest margins of its words (repetitions count), and a logistic function of
@@ -238,9 +237,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_docs: int
     words = materialise(words, narrow=True)
     # at most one row per word of the bounded sample
     tests = words.count()
-    suspects = words.where(F.col("t") >= F.greatest(F.lit(2), 3 * F.col("c"))).orderBy(F.desc("t"), "word").limit(20 * examples)
+    suspects = words.where(F.col("t") >= F.greatest(F.lit(2), 3 * F.col("c"))).orderBy(F.desc("t"), "word")
     suspects = [(r.word, r.t, r.c) for r in suspects.collect()]
-    found = telling(suspects, toxic_n, clean_n, tests)[:examples] if toxic_n and clean_n else []
+    found = telling(suspects, toxic_n, clean_n, tests) if toxic_n and clean_n else []
     toxic = {w: t for w, t, _ in found}
     if not toxic:
         return None, base
@@ -257,7 +256,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fit_docs: int
         if turn == ROUNDS - 1:
             m = margins([w for w, _, _ in suspects], weights[0]) + weights[1]
             rarer = sorted(((x, w, t) for (w, t, _), x in zip(suspects, m.tolist()) if x > 0.5), reverse=True)
-            toxic = {**toxic, **{w: t for _, w, t in rarer[:examples] if w not in toxic}}
+            toxic = {**toxic, **{w: t for _, w, t in rarer if w not in toxic}}
         weights = train_words(toxic, common)
     rows = sample.mapInArrow(_score((weights, None), "text", "z"), schema_with(sample, "z array<double>"))
     rows = [(r.z, int(r.label > 0)) for r in rows.select("z", "label").collect()]
