@@ -113,7 +113,7 @@ def _pct1(x):
 def _outside(vc: DataFrame, lists: DataFrame) -> DataFrame:
     """Value counts outside the allowed list of their column."""
     return (vc.where(F.col("value").isNotNull())
-            .join(F.broadcast(lists.select("column_name", "allowed_values")), "column_name")
+            .join(lists.select("column_name", "allowed_values"), "column_name")
             .where(~F.array_contains("allowed_values", F.col("value")))
             .select("column_name", "value", "n"))
 
@@ -236,7 +236,8 @@ def check_expectations(product: str, dims: DataFrame, dup: DataFrame,
     valid = col_quality.agg(F.min("validity").alias("validity"))
     uniq = col_quality.agg(F.max("uniqueness").alias("uniqueness"))
     row = (expect.where(F.col("product") == product)
-           .crossJoin(comp).crossJoin(dupr).crossJoin(valid).crossJoin(uniq))
+           .crossJoin(F.broadcast(comp)).crossJoin(F.broadcast(dupr))  # one row each
+           .crossJoin(F.broadcast(valid)).crossJoin(F.broadcast(uniq)))
     def arm(name, threshold, actual, passed):
         return F.struct(F.lit(name).alias("expectation"),
                         threshold.cast("double").alias("threshold"),

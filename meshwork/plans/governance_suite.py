@@ -114,7 +114,7 @@ def access_decisions(spark, sf):
     req = (cols.groupBy("product")
            .agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "column_name"))),
                             lambda s: s["column_name"]).alias("columns"))
-           .crossJoin(spark.createDataFrame([(r,) for r in ROLES], "role string")))
+           .crossJoin(F.broadcast(spark.createDataFrame([(r,) for r in ROLES], "role string"))))
     # the decision comes before the data: rows of refused requests are not returned
     return E.check_access(req, pol).join(_row_counts(spark, sf), "product").select(
         "product", "role", "allowed", "reason",

@@ -119,6 +119,28 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` written as a table in the shared checkpoint folder and read
     back, so that Spark plans with its true size."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/meshwork-{uuid.uuid4().hex}"
+    path = intermediate_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Application -> folders of intermediate tables written by it.
+_written: dict[str, list[str]] = {}
+
+
+def intermediate_path(spark: SparkSession) -> str:
+    """A new folder in the shared checkpoint folder for an intermediate table."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/meshwork-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Delete the intermediate tables that this application has written;
+    their number. For callers that have written out what they want: results
+    are lazy and read these tables."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
