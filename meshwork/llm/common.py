@@ -2,7 +2,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -10,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..plans.session import checkpoint_dir
+from ..plans.session import checkpoint_dir, intermediate_path
 
 #: Text handled at once by the numpy kernels; bounds a task's memory whatever
 #: the number of documents in an Arrow batch.
@@ -41,12 +40,12 @@ def materialise(df: DataFrame, narrow: bool = False) -> DataFrame:
     table again, and rows and their numbering stay as they were written.
     ``narrow`` tables hold a few numbers per row: they are written by at most
     four tasks per core, so that many shuffle partitions don't become as many
-    tiny files.
+    tiny files. ``plans.session.clean_up`` deletes what was written.
     """
     spark = df.sparkSession
     if narrow:
         df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
-    path = f"{shared_folder(spark)}/meshwork-{uuid.uuid4().hex}"
+    path = intermediate_path(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

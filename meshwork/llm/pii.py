@@ -250,6 +250,8 @@ def with_spans(docs: DataFrame, text_col: str = "text", threshold: float = 0.8,
     known = _score(rows, threshold, tolerance)
     found = rows.where("kind < 0").drop("kind", "patterns").join(known, "value").groupBy("id").agg(
         F.collect_set(F.struct("start", "kind", "end")).alias("found"))
+    # stored: where little was found the texts stay in place
+    found = materialise(found, narrow=True)
     return table.select("id", "row", "base").join(found, "id", "left").select(
         "row", "base", F.coalesce("found", F.array()).alias("found"))
 

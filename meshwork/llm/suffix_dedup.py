@@ -21,8 +21,9 @@ first bytes and refined from there:
    still left is cut into single windows. ``classify`` is used for each of
    the three levels, on the few suffixes that the level before left open.
 
-Rows in Spark are identifiers and places; text crosses the network only to
-meet the places found in its document. A bucket of any size is counted with
+Rows in Spark are identifiers and places; all texts cross the network once, by
+a 64-bit key of id and text, to meet the places found in them (later levels
+only those left open), unless these are few enough to be broadcast. A bucket of any size is counted with
 map-side aggregation and joined back, where adaptive execution splits it.
 Identifiers have 64 bits, those that must agree together 128.
 
