@@ -83,12 +83,13 @@ def column_facts(df: DataFrame, vc: DataFrame | None = None) -> DataFrame:
     return P.column_facts(df, vc)
 
 
-def infer_contract(product: str, df: DataFrame,
-                   vc: DataFrame | None = None) -> DataFrame:
+def infer_contract(product: str, df: DataFrame, vc: DataFrame | None = None,
+                   prof: DataFrame | None = None) -> DataFrame:
     """Per column: type, nullable (has a missing value), unique (distinct
     count equals rows), allowed values (distinct values of a text column with
-    at most 20 of them, sorted) and a description."""
-    facts = P.small_cached(column_facts(df, vc))
+    at most 20 of them, sorted) and a description. ``prof`` is the stored
+    column profile of ``df``, if there is one."""
+    facts = P.small_cached(column_facts(df, vc)) if prof is None else P.column_facts(df, prof=prof)
     # one row per column decides which columns are counted again, and read
     few = [r["column_name"] for r in facts.where(
         F.col("column_name").isin(P.text_columns(df)) & (F.col("distinct_count") <= CATEGORICAL_MAX_DISTINCT)).collect()]
@@ -130,7 +131,7 @@ def invalid_values(product: str, df: DataFrame, contract_columns: DataFrame,
 
 
 def contract_violations(product: str, df: DataFrame, contract_columns: DataFrame,
-                        vc: DataFrame | None = None) -> DataFrame:
+                        vc: DataFrame | None = None, prof: DataFrame | None = None) -> DataFrame:
     """One row per violation: (product, column_name, check, message).
 
     * missing   contract column absent from the data (other checks skipped)
@@ -138,15 +139,16 @@ def contract_violations(product: str, df: DataFrame, contract_columns: DataFrame
     * unique    ``unique=True`` but a value repeats (null counts as a value)
     * allowed   non-null values outside the allowed list, listed in order
 
-    Counts come from one column profile (value counts + wide statistics);
+    Counts come from one column profile (``prof``, if one built with this
+    contract's lists is stored);
     only columns with unexpected values go back to the value counts to list
     them. A list of more than ``MESSAGE_VALUES`` values or ``MESSAGE_CHARS``
     characters names the most frequent ones and how many there are in all;
     :func:`invalid_values` has every one as a row.
     """
-    vc = P.value_counts(df) if vc is None else vc
     cc = contract_columns.where(F.col("product") == product)
-    prof = P.small_cached(P.column_profile(df, vc, cc.select("column_name", "allowed_values")))
+    if prof is None:
+        prof = P.small_cached(P.column_profile(df, vc, cc.select("column_name", "allowed_values")))
     missing = (cc.join(F.broadcast(P.schema_table(df)), "column_name", "left_anti")
                .select(F.lit(product).alias("product"), "column_name",
                        F.lit("missing").alias("check"),

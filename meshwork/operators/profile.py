@@ -122,6 +122,8 @@ def column_profile(df: DataFrame, vc: DataFrame | None = None,
     """Everything the column-level checks need, from the value counts alone
     (of ``df`` only the schema is used if ``vc`` is given): one scan.
 
+    Without ``vc`` the values are counted under 128-bit hashes; two different
+    values of a column share one with probability ``2**-128``.
     The values of a column are first counted by how often they occur, then
     added up per column, so the second shuffle moves a few numbers for each
     number of occurrences. Per column:
@@ -134,40 +136,100 @@ def column_profile(df: DataFrame, vc: DataFrame | None = None,
     The result has one row per column; callers persist it and derive every
     contract, completeness, uniqueness, validity and column score from it.
     """
-    vc = value_counts(df) if vc is None else vc
     side = schema_table(df)
     if allowed is None:
         side = side.withColumn("allowed_values", F.lit(None).cast("array<string>"))
-        tagged = vc.withColumn("allowed_values", F.lit(None).cast("array<string>"))
     else:
         side = side.join(allowed.select("column_name", "allowed_values"), "column_name", "left")
-        tagged = vc.join(side.select("column_name", "allowed_values"), "column_name", "left")
-    lst, val, n = F.col("allowed_values"), F.col("value"), F.col("n")
-    has_list = lst.isNotNull() & (F.size(lst) > 0)
-    there = val.isNotNull()
-    by_size = tagged.groupBy("column_name", "n").agg(
+    lst = F.col("allowed_values")
+    if vc is None:
+        column, *value = keys = ["ordinal", "a", "b"]
+        cells = _hashed_cells(df).withColumn("n", F.lit(1).cast("bigint"))
+        entry = _entry_hashes(df)
+    else:
+        column, *value = keys = ["column_name", "value"]
+        cells, entry = vc.select(*keys, "n"), [F.col("value")]
+    if allowed is not None:
+        # the lists go through the same grouping as the values: no column comes together in one task
+        entries = side.select(column, F.explode(lst).alias("value")).where(F.col("value").isNotNull()).select(
+            column, *entry, F.lit(0).cast("bigint").alias("n"), F.lit(1).alias("list"))
+        cells = cells.withColumn("list", F.lit(0)).unionByName(entries.where(F.col(value[0]).isNotNull()))
+    if vc is None or allowed is not None:
+        list_ = [] if allowed is None else [F.max("list").alias("list")]
+        cells = cells.groupBy(*keys).agg(F.sum("n").alias("n"), *list_).where(F.col("n") > 0)
+    if allowed is None:
+        cells = cells.withColumn("list", F.lit(0))
+    n, there = F.col("n"), F.col(value[0]).isNotNull()
+    by_size = cells.groupBy(column, "n").agg(
         F.count_if(there).alias("values"), F.count(F.lit(1)).alias("sizes"),
-        F.count_if(there & has_list & F.array_contains(lst, val)).alias("listed"),
-        F.count_if(there & has_list & ~F.array_contains(lst, val)).alias("outside"))
-    by_column = Window.partitionBy("column_name")
+        F.count_if(there & (F.col("list") == 1)).alias("listed"))
+    by_column = Window.partitionBy(column)
     limit = F.greatest(F.lit(2.0), F.sum(n * F.col("values")).over(by_column) * 0.001)
-    per = by_size.withColumn("rare", F.when(n < limit, F.col("values")).otherwise(0)).groupBy("column_name").agg(
+    per = by_size.withColumn("rare", F.when(n < limit, F.col("values")).otherwise(0)).groupBy(column).agg(
         F.sum(n * F.col("sizes")).alias("row_count"),
         F.sum(n * (F.col("sizes") - F.col("values"))).alias("null_count"),
         F.sum("values").alias("distinct_count"), F.sum("sizes").alias("groups"), F.sum(n * F.col("listed")).alias("in_list"),
-        F.sum("outside").alias("invalid_count"), F.sum("rare").alias("rare_count"))
+        F.sum(F.col("values") - F.col("listed")).alias("outside"), F.sum("rare").alias("rare_count"))
     z = F.lit(0).cast("bigint")
+    has_list = lst.isNotNull() & (F.size(lst) > 0)
+    # a null entry leaves open what else is allowed
+    closed = has_list & ~F.exists(lst, lambda x: x.isNull())
     numbers = ("row_count", "null_count", "distinct_count", "groups", "in_list", "invalid_count", "rare_count")
-    return side.join(per, "column_name", "left").select(
+    return side.join(per, column, "left").withColumn("invalid_count", F.when(closed, F.col("outside"))).select(
         "column_name", "ordinal", "data_type", *(F.coalesce(c, z).cast("bigint").alias(c) for c in numbers),
         "allowed_values", has_list.alias("has_allowed"))
 
 
-def column_facts(df: DataFrame, vc: DataFrame | None = None) -> DataFrame:
+#: Types whose values are equal exactly if their texts are.
+_PLAIN = (T.IntegralType, T.FloatType, T.DoubleType, T.DateType, T.TimestampNTZType)
+
+
+def _normal(value, dtype):
+    """-0.0 is 0.0 and NaN is missing."""
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return F.when(~F.isnan(value), value + F.lit(0.0).cast(dtype))
+    return value
+
+
+def _hashable(name: str, dtype):
+    """A value that is equal where ``as_text`` is, without the text if it can be."""
+    return _normal(q(name), dtype) if isinstance(dtype, _PLAIN) else as_text(name, dtype)
+
+
+def _hashes(value, there=None) -> list:
+    """128 bits of a value, null where it is null."""
+    there = value.isNotNull() if there is None else there
+    return [F.when(there, F.xxhash64(F.lit(seed), value)) for seed in (1, 2)]
+
+
+def _entry_hashes(df: DataFrame) -> list:
+    """The hashes that values of ``df`` with the text ``value`` have in the
+    column ``ordinal``; an entry that is no text of its type has none."""
+    pairs = []
+    for i, f in enumerate(df.schema.fields):
+        value = F.col("value")
+        same = F.col("ordinal") == i
+        if isinstance(f.dataType, _PLAIN):
+            typed = _normal(value.try_cast(f.dataType), f.dataType)
+            same, value = same & (typed.cast("string") == value), typed
+        pairs.append(_hashes(value, same))
+    return [F.coalesce(*(pair[k] for pair in pairs)).alias(name) for k, name in enumerate("ab")]
+
+
+def _hashed_cells(df: DataFrame) -> DataFrame:
+    """(ordinal, a, b) for every cell: 20 bytes whatever the value."""
+    fields = df.schema.fields
+    values = df.select(*(_hashable(f.name, f.dataType).alias(f"v{i}") for i, f in enumerate(fields)))
+    hashed = values.select(*(h.alias(f"{name}{i}") for i in range(len(fields)) for h, name in zip(_hashes(F.col(f"v{i}")), "ab")))
+    return hashed.select(F.inline(F.array(*(F.struct(
+        F.lit(i).alias("ordinal"), F.col(f"a{i}").alias("a"), F.col(f"b{i}").alias("b")) for i in range(len(fields))))))
+
+
+def column_facts(df: DataFrame, vc: DataFrame | None = None, prof: DataFrame | None = None) -> DataFrame:
     """Counts per column: (column_name, ordinal, data_type, row_count,
     null_count, distinct_count, groups) - a projection of
-    :func:`column_profile`."""
-    return column_profile(df, vc).select("column_name", "ordinal", "data_type", "row_count",
+    :func:`column_profile` (``prof`` if made before)."""
+    return (column_profile(df, vc) if prof is None else prof).select("column_name", "ordinal", "data_type", "row_count",
                                          "null_count", "distinct_count", "groups")
 
 
