@@ -12,8 +12,8 @@ Outputs are tables:
 Every product is assessed by one plan that reuses two intermediates (the
 wide column statistics and the value-count table); Spark reuses their
 shuffles where several branches need them. Duplicate rows are found by a
-128-bit row hash plus a null mask (see :func:`duplicate_rows`), so the
-shuffle carries 24 bytes per row instead of whole rows.
+128-bit hash of values and nulls (see :func:`duplicate_rows`), so the
+shuffle carries 16 bytes per row instead of whole rows.
 """
 from __future__ import annotations
 
@@ -147,6 +147,13 @@ def row_key(df: DataFrame) -> list[Column]:
             F.xxhash64(F.lit(2), *cols).alias("_h2"), mask.alias("_nm")]
 
 
+def row_hashes(df: DataFrame) -> list[Column]:
+    """The key of :func:`row_key` as 16 bytes: the null mask is hashed too."""
+    cols = _hash_ready(df)
+    nulls = [c.isNull() for c in cols]
+    return [F.xxhash64(F.lit(seed), *cols, *nulls).alias(name) for seed, name in ((1, "_h1"), (2, "_h2"))]
+
+
 def duplicate_rows(product: str, df: DataFrame, exact: bool = False) -> DataFrame:
     """D3: rows after the first of each group of identical rows.
 
@@ -157,7 +164,7 @@ def duplicate_rows(product: str, df: DataFrame, exact: bool = False) -> DataFram
         groups = df.select(*keys).groupBy(*[f"_c{i}" for i in range(len(keys))]).agg(
             F.count(F.lit(1)).alias("n"))
     else:
-        groups = df.select(*row_key(df)).groupBy("_h1", "_h2", "_nm").agg(
+        groups = df.select(*row_hashes(df)).groupBy("_h1", "_h2").agg(
             F.count(F.lit(1)).alias("n"))
     return duplicates_of_groups(product, groups)
 
@@ -500,6 +507,7 @@ class Assessment:
     duplicates: DataFrame
     outliers: DataFrame
     rare_values: DataFrame
+    profile: DataFrame | None = None
 
 
 @dataclass
@@ -514,11 +522,10 @@ class Facts:
 def facts_of(product: str, df: DataFrame, contract_columns: DataFrame | None = None,
              exact_duplicates: bool = False, **quantile_kw) -> Facts:
     """The data passes of an assessment, as jobs submitted together: the
-    value-count shuffle and the wide statistics (one small column profile), the
-    row-key shuffle for duplicates, and the quantile passes for outliers."""
-    vc = P.value_counts(df)
+    shuffle of hashed values (one small column profile), the row-key shuffle
+    for duplicates, and the quantile passes for outliers."""
     prof, dup, outl = together(
-        lambda: P.small_cached(P.column_profile(df, vc, allowed_lists(product, contract_columns))),
+        lambda: P.small_cached(P.column_profile(df, allowed=allowed_lists(product, contract_columns))),
         lambda: P.small_cached(duplicate_rows(product, df, exact=exact_duplicates)),
         lambda: P.small_cached(outlier_columns(product, df, **quantile_kw)))
     return Facts(prof, dup, outl, rare_value_columns(product, df))
@@ -546,7 +553,7 @@ def assess(product: str, df: DataFrame, contract_columns: DataFrame | None = Non
     time = timeliness_dimension(product, spark, last_modified, as_of)
     dims = comp.unionByName(uniq).unionByName(valid).unionByName(cons).unionByName(time).coalesce(1)
     cols = column_quality(product, df, contract_columns, facts=prof)
-    return Assessment(dims, cols, report_from_dimensions(dims), dup, outl, facts.rare_values)
+    return Assessment(dims, cols, report_from_dimensions(dims), dup, outl, facts.rare_values, prof)
 
 
 def assess_many(products: dict, contract_columns: DataFrame | None = None,

@@ -28,6 +28,8 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -64,10 +66,10 @@ class _Target:
             inside = inside & (x < F.lit(self.high))
         return F.when(inside, x)
 
-    def sketch(self):
+    def ends(self):
+        """Shares of the band's values around the rank."""
         at, margin = (self.rank - self.below) / self.inside, 8.0 / self.accuracy
-        ends = [max(at - margin, 0.0), min(at + 1 / self.inside + margin, 1.0)]
-        return F.percentile_approx(self.band(), ends, self.accuracy)
+        return [max(at - margin, 0.0), min(at + 1 / self.inside + margin, 1.0)]
 
     def narrow(self, low, high, counts):
         """Take the ends of a sketch and the numbers of values below and up
@@ -113,15 +115,19 @@ def exact_quantiles(df: DataFrame, columns, probs, small: int = DEFAULT_SMALL,
             for r in ranks:
                 targets.setdefault((c, r), _Target(c, r, counts[c], accuracy=accuracy))
     while wide := [t for t in targets.values() if t.value is None and t.inside > small]:
-        ends = _wide(df, [t.sketch() for t in wide])
-        tests = []
-        for t, (low, high) in zip(wide, ends):
-            x = t.number()
-            tests += [F.count_if(x < F.lit(low)), F.count_if(x <= F.lit(low)),
-                      F.count_if(x < F.lit(high)), F.count_if(x <= F.lit(high))]
-        got = _wide(df, tests)
-        for i, (t, (low, high)) in enumerate(zip(wide, ends)):
-            t.narrow(low, high, got[4 * i:4 * i + 4])
+        # ranks of the same band share its sketch, and their ends are counted once
+        sketches = {}
+        for t in wide:
+            sketches.setdefault((t.column, t.low, t.high, t.accuracy), []).append(t)
+        found = _wide(df, [F.percentile_approx(own[0].band(), [e for t in own for e in t.ends()], own[0].accuracy)
+                           for own in sketches.values()])
+        pairs = [(t, *at[2 * i:2 * i + 2]) for own, at in zip(sketches.values(), found) for i, t in enumerate(own)]
+        points = {(t.column, end): t.number() for t, low, high in pairs for end in (low, high)}
+        got = _wide(df, [test for (_, end), x in points.items()
+                         for test in (F.count_if(x < F.lit(end)), F.count_if(x <= F.lit(end)))])
+        counts_at = {point: got[2 * i:2 * i + 2] for i, point in enumerate(points)}
+        for t, low, high in pairs:
+            t.narrow(low, high, counts_at[t.column, low] + counts_at[t.column, high])
     found = {(t.column, t.rank): t.value for t in targets.values() if t.value is not None}
     open_ = [t for t in targets.values() if t.value is None]
     if open_:
@@ -131,7 +137,8 @@ def exact_quantiles(df: DataFrame, columns, probs, small: int = DEFAULT_SMALL,
             bands.setdefault((t.column, t.low, t.high, t.below), []).append(t)
         arms = F.array(*[F.struct(F.lit(i).alias("band"), own[0].band().alias("v"))
                          for i, own in enumerate(bands.values())])
-        band = (df.select(F.inline(arms)).where(F.col("v").isNotNull())
+        some = reduce(or_, (own[0].band().isNotNull() for own in bands.values()))
+        band = (df.where(some).select(F.inline(arms)).where(F.col("v").isNotNull())
                 .groupBy("band", "v").agg(F.count(F.lit(1)).alias("n")))
         upto = Window.partitionBy("band").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         last, first = F.col("end"), F.col("end") - F.col("n")
