@@ -8,7 +8,7 @@ from ..operators import catalog as M
 from ..operators import contract as C
 from ..operators import profile as P
 from ..operators import quality as D
-from .quality_suite import reports, sql_report
+from .quality_suite import assessments, clean_contract, reports, sql_report
 from .profile_suite import _VIOL_SQL
 from .registry import register
 from .tables import TABLES, all_tables, table
@@ -51,10 +51,10 @@ def _entries(spark, sf):
     return rows
 
 
-def _status(spark, sf):
+def _status(spark, sf, **made):
     from .profile_suite import _violations
     contracts = C.default_contract(C.product_table(spark, VIEW3))
-    return contracts, C.contract_status(contracts, _violations(spark, sf))
+    return contracts, C.contract_status(contracts, _violations(spark, sf, **made))
 
 
 _VIOL_CTE = _VIOL_SQL.strip()[5:].replace(
@@ -194,12 +194,15 @@ union all select product, 'nulls', 'Column ''' || column_name || ''' has ' || pr
 from nc where pct > 20
 """, *VIEW3))
 def recommendations(spark, sf):
-    contracts, status = _status(spark, sf)
+    # one contract and one stored profile a view serve all rules
+    contract = clean_contract(spark, sf)
+    found = assessments(spark, sf, VIEW3, contract=contract)
+    contracts, status = _status(spark, sf, contract=contract, profiles={name: one.profile for name, one in found.items()})
     prods = M.quality_badge(M.catalog_products(_entries(spark, sf), contracts, status),
-                            _report(spark, sf))
+                            reports(spark, sf, VIEW3, found=found))
     cols = None
     for name in VIEW3:
-        c = P.column_facts(VIEWS[name](spark, sf)).select(
+        c = P.column_facts(VIEWS[name](spark, sf), prof=found[name].profile).select(
             F.lit(name).alias("product"), "column_name", "null_count")
         cols = c if cols is None else cols.unionByName(c)
     return M.recommendations(prods, cols, usage_log(spark, sf))

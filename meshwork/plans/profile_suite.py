@@ -192,12 +192,12 @@ def infer_contract(spark, sf):
     return _flat_contract(C.infer_contract("orders_nulls", VIEWS["orders_nulls"](spark, sf)))
 
 
-def orders_contract(spark, sf):
-    """The contract inferred on clean ``orders``, with one column more than
-    the data has."""
+def orders_contract(spark, sf, contract=None):
+    """The contract inferred on clean ``orders`` (``contract`` if made
+    before), with one column more than the data has."""
     from .quality_suite import clean_contract
     absent = spark.createDataFrame([("orders", "o_comment", "string", True, False, None, "")], C.COLUMN_SCHEMA)
-    return clean_contract(spark, sf).unionByName(absent)
+    return (clean_contract(spark, sf) if contract is None else contract).unionByName(absent)
 
 
 def _viol_arms(view):
@@ -232,10 +232,12 @@ _VIOL_SQL = ("with v as (\n" + "\nunion all ".join(
     + "\n)\nselect product, column_name, \"check\", message from v where hit\n")
 
 
-def _violations(spark, sf, clean=False):
-    contract = orders_contract(spark, sf)
+def _violations(spark, sf, clean=False, contract=None, profiles=None):
+    """``profiles``: stored column profiles of the views, made with the lists of ``contract``."""
+    contract = orders_contract(spark, sf, contract)
     frames = {name: VIEWS[name](spark, sf) for name in ("orders_nulls", "orders_dups", "orders_badvals")}
-    jobs = [lambda name=name, df=df: C.contract_violations(name, df, contract.withColumn("product", F.lit(name)))
+    jobs = [lambda name=name, df=df: C.contract_violations(
+        name, df, contract.withColumn("product", F.lit(name)), prof=(profiles or {}).get(name))
             for name, df in frames.items()]
     if clean:
         # the clean table against its own contract: no violation

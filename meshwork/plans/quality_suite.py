@@ -160,19 +160,21 @@ def grade_sql(x):
 REPORT_VIEWS = ("orders_nulls", "orders_dups", "orders_badvals")
 
 
-def assessments(spark, sf, names=REPORT_VIEWS, shared=True):
-    """Assessments of order views by the contract of clean orders; ``shared``:
-    from the store that all keys of a checkpoint folder share."""
-    contract = clean_contract(spark, sf)
+def assessments(spark, sf, names=REPORT_VIEWS, shared=True, contract=None):
+    """Assessments of order views by the contract of clean orders (``contract``
+    if made before); ``shared``: from the store that all keys of a checkpoint
+    folder share."""
+    contract = clean_contract(spark, sf) if contract is None else contract
     store = AssessmentStore(spark, f"{checkpoint_dir(spark).rstrip('/')}/meshwork-assessments")
     one = store.assess if shared else D.assess
     return dict(zip(names, together(*(lambda name=name: one(
         name, VIEWS[name](spark, sf), orders_contract(spark, sf, name, contract)) for name in names))))
 
 
-def reports(spark, sf, names=REPORT_VIEWS, shared=True):
-    out = None
-    for one in assessments(spark, sf, names, shared).values():
+def reports(spark, sf, names=REPORT_VIEWS, shared=True, found=None):
+    """Their reports, of the assessments ``found`` if made before."""
+    out, found = None, assessments(spark, sf, names, shared) if found is None else found
+    for one in found.values():
         out = one.report if out is None else out.unionByName(one.report)
     return out
 
